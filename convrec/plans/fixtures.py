@@ -77,7 +77,7 @@ def movie_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("', 'popularity': "), F.col("s_acctbal").cast("string"),
         F.lit(", 'adult': False, 'profile_path': None}"),
     )
-    casts = ps.groupBy("l_partkey").agg(
+    casts = ps.groupBy(F.col("l_partkey").alias("c_partkey")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", cast_entry.alias("e")))), lambda x: x["e"]), ", "
         ).alias("cast_txt")
@@ -90,15 +90,15 @@ def movie_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("Production")),
         F.lit("'}"),
     )
-    crews = pn.groupBy("l_partkey").agg(
+    crews = pn.groupBy(F.col("l_partkey").alias("w_partkey")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", crew_entry.alias("e")))), lambda x: x["e"]), ", "
         ).alias("crew_txt")
     )
     key = F.col("p_partkey").cast("string")
     return (
-        p.join(casts, p.p_partkey == casts.l_partkey, "left")
-        .join(crews, p.p_partkey == crews.l_partkey, "left")
+        p.join(casts, F.col("p_partkey") == F.col("c_partkey"), "left")
+        .join(crews, F.col("p_partkey") == F.col("w_partkey"), "left")
         .select(
             key.alias("asin"),
             key.alias("parent_asin"),

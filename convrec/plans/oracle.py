@@ -36,3 +36,110 @@ def kcore_cte(k: int, rounds: int, src: str = "inter") -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+REVIEWS = """reviews AS (
+  SELECT o_custkey AS user_id, l_partkey AS item_id,
+         CAST(1 + (CAST(l_quantity AS INTEGER) % 5) AS INTEGER) AS rating,
+         'order ' || CAST(o_orderkey AS VARCHAR) AS title,
+         CASE WHEN l_returnflag = 'R' THEN 'ok' ELSE o_orderpriority || ' ' || l_returnflag || l_linestatus END AS text,
+         l_shipdate AS ts
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+# Catalogue expected from the relational source of the movie-metadata stand-in.
+CATQ = """ps AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+psx AS (SELECT ps.l_partkey, s_suppkey, s_name, s_acctbal, s_nationkey FROM ps JOIN supplier ON ps.l_suppkey = s_suppkey),
+act AS (SELECT l_partkey, string_agg(s_name, ', ' ORDER BY s_acctbal DESC, s_suppkey) AS acting FROM (
+          SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY s_acctbal DESC, s_suppkey) AS rn
+          FROM psx WHERE s_suppkey % 4 <> 0) WHERE rn <= 10 GROUP BY l_partkey),
+pnat AS (SELECT DISTINCT psx.l_partkey, n_nationkey, n_name FROM psx JOIN nation ON s_nationkey = n_nationkey),
+crewq AS (SELECT l_partkey,
+          coalesce(string_agg(n_name, ', ' ORDER BY n_nationkey) FILTER (WHERE n_nationkey % 3 = 0), '') AS directing,
+          coalesce(string_agg(n_name, ', ' ORDER BY n_nationkey) FILTER (WHERE n_nationkey % 3 = 1), '') AS sound,
+          coalesce(string_agg(n_name, ', ' ORDER BY n_nationkey) FILTER (WHERE n_nationkey % 3 = 2), '') AS production
+          FROM pnat GROUP BY l_partkey),
+catq AS (SELECT CAST(p_partkey AS VARCHAR) AS item, p_name || ' (' || p_brand || ') [' || p_type || ']' AS title,
+          p_type AS genres, replace(p_name, ' ', ', ') AS keywords, coalesce(acting, '') AS acting,
+          coalesce(directing, '') AS directing, coalesce(sound, '') AS sound, coalesce(production, '') AS production,
+          CASE WHEN p_size > 25 THEN p_type || ' collection' ELSE '' END AS collection,
+          'A ' || lower(p_type) || ' ' || p_name || ' of size ' || CAST(p_size AS VARCHAR) AS overview,
+          p_brand AS country,
+          p_name || ' on a ' || lower(p_type) || ' shelf' AS caption
+   FROM part LEFT JOIN act ON act.l_partkey = p_partkey LEFT JOIN crewq ON crewq.l_partkey = p_partkey)"""
+
+SCEN_NAMES = "['Cold-Start Browser', 'Cold-Start Task-Oriented', 'History-Only Explorer', 'History + Hint Seeker', 'Fully Expressive Seeker']"
+
+
+def scen_idx(key: str) -> str:
+    return f"CAST((('0x' || substr(md5('42:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT) % 5 AS INTEGER)"
+
+
+def item_text_sql(p: str, flag) -> str:
+    """SQL of one item block; ``p`` is the column prefix, ``flag(feature)`` the SQL condition."""
+    def line(feat, label, expr, cond):
+        return f"CASE WHEN {flag(feat)} AND {cond} THEN '{label}: ' || {expr} || chr(10) ELSE '' END"
+
+    return " || ".join(
+        [
+            f"'Item: ' || coalesce({p}title, '') || ', ID: <id_' || {p}item || '>' || chr(10)",
+            line("Genres", "Genres", f"{p}genres", f"{p}genres <> ''"),
+            line("Keywords", "Keywords", f"{p}keywords", f"{p}keywords <> ''"),
+            line("Actors", "Actors", f"{p}acting", f"{p}acting <> ''"),
+            line("Directors", "Directors", f"{p}directing", f"{p}directing <> ''"),
+            line("Collection", "Collection", f"{p}collection", f"length({p}collection) > 2"),
+            line("Overview", "Overview", f"{p}overview", f"length({p}overview) > 2"),
+            line("Visual Caption", "Visual Caption", f"{p}caption", f"length({p}caption) > 2"),
+            f"CASE WHEN {flag('Review')} AND length({p}rtext) > 2 THEN 'User Review Title: ' || {p}rtitle || chr(10)"
+            f" || 'User Review: ' || {p}rtext || chr(10) ELSE '' END",
+        ]
+    )
+
+
+HIST_FLAGS = {
+    "Genres": (2, 3, 4), "Keywords": (2, 3, 4), "Actors": (4,), "Directors": (4,), "Overview": (4,),
+    "Review": (4,), "Collection": (4,), "Visual Caption": (4,),
+}
+TARGET_FLAGS = {
+    "Genres": (0, 1, 3, 4), "Keywords": (0, 1, 3, 4), "Actors": (1, 4), "Directors": (1, 4), "Overview": (1, 4),
+    "Collection": (1, 4), "Visual Caption": (1, 4), "Review": (4,),
+}
+
+
+def flag_fn(table):
+    return lambda feat: f"sidx IN ({', '.join(str(i) for i in table[feat])})"
+
+
+def prompt_sql(k: int, n: int, rounds: int) -> str:
+    """Oracle of the stage-A minimum slice (prompt per core user)."""
+    ht = item_text_sql("", flag_fn(HIST_FLAGS))
+    tt = item_text_sql("t_", flag_fn(TARGET_FLAGS))
+    return (
+        with_(INTER, REVIEWS, kcore_cte(k, rounds), CATQ)
+        + f""", rev AS (
+  SELECT * FROM reviews WHERE user_id IN (SELECT user_id FROM core) AND item_id IN (SELECT item_id FROM core)),
+ranked AS (
+  SELECT user_id, CAST(item_id AS VARCHAR) AS item, rating, title AS rtitle, text AS rtext, {scen_idx('user_id')} AS sidx,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, rating DESC, CAST(item_id AS VARCHAR) DESC, title DESC, text DESC) AS rd
+  FROM rev),
+j AS (SELECT r.*, c.title, c.genres, c.keywords, c.acting, c.directing, c.collection, c.overview, c.caption
+      FROM ranked r LEFT JOIN catq c ON r.item = c.item),
+h AS (SELECT *, ({ht}) || chr(10) AS block FROM j WHERE rd BETWEEN 2 AND {n}),
+hu AS (SELECT user_id,
+         coalesce(string_agg(block, '' ORDER BY rd DESC) FILTER (WHERE rating > 3), '') AS liked,
+         coalesce(string_agg(block, '' ORDER BY rd DESC) FILTER (WHERE NOT (rating > 3)), '') AS disliked,
+         count(*) AS nh
+       FROM h GROUP BY user_id),
+t AS (SELECT user_id, sidx, item AS t_item, title AS t_title, genres AS t_genres, keywords AS t_keywords, acting AS t_acting,
+         directing AS t_directing, collection AS t_collection, overview AS t_overview, caption AS t_caption,
+         rtitle AS t_rtitle, rtext AS t_rtext
+      FROM j WHERE rd = 1)
+SELECT t.user_id, {SCEN_NAMES}[t.sidx + 1] AS scenario, t.t_item AS target_item,
+  regexp_replace(
+    CASE WHEN t.sidx IN (2, 3, 4) AND coalesce(hu.nh, 0) > 0 THEN
+      'The user has interacted with the following items:' || chr(10)
+      || CASE WHEN length(hu.liked) > 2 THEN 'User liked the following items:' || chr(10) || hu.liked || chr(10) ELSE '' END
+      || CASE WHEN length(hu.disliked) > 2 THEN 'User disliked the following items:' || chr(10) || hu.disliked || chr(10) ELSE '' END
+    ELSE '' END
+    || chr(10) || 'Consider the following one the target item to recommend:' || chr(10) || ({tt}),
+    '^\\s+|\\s+$', '', 'g') AS prompt
+FROM t LEFT JOIN hu ON t.user_id = hu.user_id"""
+    )
