@@ -41,46 +41,55 @@ def k_core(
     user_col: str = "user_id",
     item_col: str = "item_id",
     max_rounds: int = 200,
-    checkpoint_every: int = 1,
 ) -> KCoreResult:
     """A1: iterated k-core of an interaction log.
 
     Each round counts rows (not distinct pairs) per user and per item on the
-    same input and keeps rows whose user *and* item reach ``k``; rounds repeat
-    until a round removes nothing.  Per round the data is scanned once: the
-    two counts are partial (map-side) aggregates, so only one small row per
-    key and map task crosses the shuffle; the keep-sets are applied with semi
-    joins, which AQE turns into broadcast joins when the runtime size of a
-    keep-set is below the broadcast threshold and leaves as shuffle joins
-    otherwise.  Lineage is cut with a reliable ``checkpoint`` (shared
-    ``spark.checkpoint.dir``) so a lost executor recomputes at most one round.
-
-    An input with nobody reaching ``k`` gives an empty DataFrame (no error).
-    Reaching ``max_rounds`` raises instead of returning a partial core.
+    same input (A2); when both minima reach ``k`` (A3) the loop stops, otherwise
+    rows whose user *or* item is below ``k`` are dropped and the next round runs.
+
+    Plan per round: the two counts are partial (map-side) aggregates, so only
+    one small row per key and map task crosses the shuffle; they are persisted
+    (one row per key: far smaller than the data) so the stop test and the
+    filter share them.  The keep-sets are applied with semi joins that AQE
+    turns into broadcast joins when the runtime size of a keep-set is below the
+    broadcast threshold and leaves as shuffle joins otherwise.  Each round's
+    output is cut from its lineage with a reliable ``checkpoint`` into the
+    shared ``spark.checkpoint.dir``, so a lost executor recomputes at most one
+    round.  Ids are never collected to the driver; only two numbers are.
+
+    An input where nobody reaches ``k`` gives an empty DataFrame (no error);
+    hitting ``max_rounds`` raises instead of returning a partial core.
     """
     ensure_checkpoint_dir(ratings.sparkSession)
-    cur = ratings.checkpoint(eager=True)
-    n_prev = cur.count()
+    cur = ratings
     rounds = 0
+    prev = []
     while True:
-        if n_prev == 0:
+        users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
+        items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
+        s = (
+            users.agg(F.min("__n").alias("mu"), F.sum("__n").alias("rows"))
+            .crossJoin(items.agg(F.min("__n").alias("mi")))
+            .first()
+        )
+        for p in prev:
+            p.unpersist()
+        prev = [users, items]
+        if s["rows"] is None or (s["mu"] >= k and s["mi"] >= k):
+            n_rows = int(s["rows"] or 0)
+            if n_rows == 0:
+                cur = cur.limit(0)
             break
-        users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(user_col)
-        items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(item_col)
-        nxt = cur.join(users, user_col, "left_semi").join(items, item_col, "left_semi")
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        n = nxt.count()
-        if n == n_prev:
-            rounds -= 1  # the last round removed nothing: the core was already reached
-            break
-        cur, n_prev = nxt, n
         if rounds >= max_rounds:
             raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
-    return KCoreResult(core=cur, rounds=rounds, rows=n_prev)
+        keep_u = users.filter(F.col("__n") >= k).select(user_col)
+        keep_i = items.filter(F.col("__n") >= k).select(item_col)
+        cur = cur.join(keep_u, user_col, "left_semi").join(keep_i, item_col, "left_semi").checkpoint(eager=True)
+        rounds += 1
+    for p in prev:
+        p.unpersist()
+    return KCoreResult(core=cur, rounds=rounds, rows=n_rows)
 
 
 def core_stats(core: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
