@@ -144,3 +144,50 @@ def marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("response")
     )
+
+
+def tagged_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tagged`` folded into one row per dialogue: ``conv_id, conversation array<struct<role, content>>``
+    (system turns kept, turn order) and ``target_asin`` = the second tag's key of the dialogue."""
+    t = tagged(spark, sf_dir)
+    return t.groupBy("conv_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+            lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")),
+        ).alias("conversation"),
+        F.pmod(F.col("conv_id") * 5, F.lit(2400)).cast("string").alias("target_asin"),
+    )
+
+
+def tagged_marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated responses (D8 of stage C): ``[USR]: ``/``[AI]: `` lines of the tagged turns
+    (system turns left out), ``target_asin`` and a scenario name from the conv_id."""
+    from convrec.config import SCENARIOS
+    from convrec.functions.text import seeded_bucket
+
+    c = tagged(spark, sf_dir).filter(F.col("role") != "system")
+    line = F.concat(F.when(F.col("role") == "user", F.lit("[USR]: ")).otherwise(F.lit("[AI]: ")), F.col("text"))
+    g = c.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("response")
+    )
+    names = F.array(*[F.lit(s) for s in SCENARIOS])
+    return g.select(
+        "conv_id",
+        "response",
+        F.pmod(F.col("conv_id") * 5, F.lit(2400)).cast("string").alias("target_asin"),
+        F.element_at(names, (seeded_bucket("conv_id", 5) + 1).cast("int")).alias("scenario"),
+    )
+
+
+def chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat``: per dialogue, the chat-template text of all its turns (``conv_id, text``)."""
+    from convrec.functions.dialogue import render_chat
+
+    c = table(spark, sf_dir, "conversations")
+    g = c.groupBy("conv_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+            lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")),
+        ).alias("m")
+    )
+    return g.select("conv_id", render_chat(F.col("m")).alias("text"))

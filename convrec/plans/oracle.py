@@ -143,3 +143,42 @@ SELECT t.user_id, {SCEN_NAMES}[t.sidx + 1] AS scenario, t.t_item AS target_item,
     '^\\s+|\\s+$', '', 'g') AS prompt
 FROM t LEFT JOIN hu ON t.user_id = hu.user_id"""
     )
+
+MARKER = """marker AS (
+  SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[USR]: ' ELSE '[AI]: ' END || text, chr(10) ORDER BY turn) AS response
+  FROM conversations WHERE role <> 'system' GROUP BY conv_id)"""
+
+TAGGED_MARKER = """tmarker AS (
+  SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[USR]: ' ELSE '[AI]: ' END || text, chr(10) ORDER BY turn) AS response
+  FROM tagged WHERE role <> 'system' GROUP BY conv_id)"""
+
+CHAT = """chat AS (
+  SELECT conv_id, '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)
+         || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '<|eot_id|>', '' ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id)"""
+
+
+def marker_parse_sql(src: str, text_col: str = "response") -> str:
+    """T4 oracle: emulate the split with captured markers, strip/drop blanks, then pair.
+
+    A piece is content iff the run of consecutive markers right before it has odd length.
+    """
+    return f"""mp_split AS (
+  SELECT conv_id, regexp_split_to_array({text_col}, '\\[USR\\]:?|\\[AI\\]:?') AS pieces,
+         regexp_extract_all({text_col}, '\\[USR\\]:?|\\[AI\\]:?') AS marks FROM {src}),
+mp_tok AS (
+  SELECT conv_id, unnest(list_concat([pieces[1]], flatten(list_transform(range(1, len(marks) + 1), lambda i: [marks[i], pieces[i + 1]])))) AS tok,
+         unnest(range(1, 2 * len(marks) + 2)) AS pos
+  FROM mp_split),
+mp_clean AS (
+  SELECT conv_id, pos, regexp_replace(tok, '^\\s+|\\s+$', '', 'g') AS tok, (pos % 2 = 0) AS is_marker FROM mp_tok),
+mp_ne AS (
+  SELECT conv_id, tok, is_marker, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM mp_clean WHERE tok <> ''),
+mp_runs AS (
+  SELECT *, i - 1 - coalesce(max(CASE WHEN NOT is_marker THEN i END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run_before,
+         lag(tok) OVER (PARTITION BY conv_id ORDER BY i) AS prev_tok
+  FROM mp_ne),
+mp_out AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS idx,
+         CASE WHEN prev_tok LIKE '[USR]%' THEN 'user' ELSE 'AI' END AS role, tok AS content
+  FROM mp_runs WHERE run_before % 2 = 1)"""
