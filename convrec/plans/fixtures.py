@@ -191,3 +191,34 @@ def chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("m")
     )
     return g.select("conv_id", render_chat(F.col("m")).alias("text"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ent_p`` source: one ``name`` row per part name."""
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+
+
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_p``: per part, ``'i like the <name>, and <name of part (key*7) mod 2000>!'``."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p2 = p.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("n2"))
+    return p.join(p2, F.pmod(F.col("p_partkey") * 7, F.lit(2000)) == F.col("k2")).select(
+        F.col("p_partkey").alias("text_id"),
+        F.concat(F.lit("i like the "), F.col("p_name"), F.lit(", and "), F.col("n2"), F.lit("!")).alias("text"),
+    )
+
+
+def part_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fuzzy_p``: per part, its name with the last character replaced by ``x``."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").alias("text_id"),
+        F.concat(F.expr("substring(p_name, 1, length(p_name) - 1)"), F.lit("x")).alias("text"),
+    )
+
+
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ent_d`` source: the first two whitespace words of every document as a name."""
+    d = table(spark, sf_dir, "documents")
+    w = F.split(F.regexp_replace(F.col("text"), r"(?U)^\s+", ""), r"(?U)\s+")
+    return d.select(F.concat_ws(" ", F.slice(w, 1, 2)).alias("name"))

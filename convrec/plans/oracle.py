@@ -182,3 +182,26 @@ mp_out AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS idx,
          CASE WHEN prev_tok LIKE '[USR]%' THEN 'user' ELSE 'AI' END AS role, tok AS content
   FROM mp_runs WHERE run_before % 2 = 1)"""
+
+ENT_P = """ents AS (SELECT DISTINCT lower(p_name) AS entity FROM part WHERE p_name NOT IN ('about', 'by', 'of', 'for'))"""
+TEXT_P = """texts AS (SELECT p.p_partkey AS text_id, 'i like the ' || p.p_name || ', and ' || p2.p_name || '!' AS text
+                 FROM part p JOIN part p2 ON p2.p_partkey = (p.p_partkey * 7) % 2000)"""
+FUZZY_P = """texts AS (SELECT p_partkey AS text_id, substr(p_name, 1, length(p_name) - 1) || 'x' AS text FROM part)"""
+
+
+def ngram_sql(x: str, n: int = 3) -> str:
+    s = f"regexp_replace(trim(regexp_replace(regexp_replace(lower({x}), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+', ' ', 'g')"
+    return f"list_distinct(list_transform(range(1, length({s}) - {n} + 2), lambda i: substr({s}, i, {n})))"
+
+
+def mentions_sql(threshold: float = 0.7, n: int = 3) -> str:
+    """Brute-force oracle over all (text, entity) pairs (ASCII text: RE2's \\b is ASCII)."""
+    return f""", tw AS (SELECT text_id, lower(text) AS tl, list_distinct(string_split_regex(trim(lower(text)), '\\s+')) AS words,
+               {ngram_sql('text', n)} AS tg FROM texts WHERE trim(text) <> ''),
+ew AS (SELECT entity, list_distinct(string_split_regex(trim(entity), '\\s+')) AS ewords, {ngram_sql('entity', n)} AS eg FROM ents),
+pairs AS (SELECT text_id, entity, tl, tg, eg,
+            regexp_matches(tl, '\\b' || regexp_escape(entity) || '\\b') AS exact,
+            len(list_intersect(tg, eg)) AS i, len(list_distinct(list_concat(tg, eg))) AS u
+          FROM tw, ew WHERE list_has_any(words, ewords))
+SELECT text_id, entity, CASE WHEN exact THEN 1.0 ELSE round(i / u, 6) END AS score FROM pairs
+WHERE exact OR (len(eg) >= 2 AND i >= {threshold} * len(eg) AND i / u >= {threshold})"""
