@@ -222,3 +222,33 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     w = F.split(F.regexp_replace(F.col("text"), r"(?U)^\s+", ""), r"(?U)\s+")
     return d.select(F.concat_ws(" ", F.slice(w, 1, 2)).alias("name"))
+
+
+def kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kg``: ``(s_nationkey, 0, s_suppkey)`` per supplier and ``(n_regionkey, 1, n_nationkey)`` per nation."""
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("head_id"), F.lit(0).alias("relation_id"), F.col("s_suppkey").cast("string").alias("tail_id")
+    )
+    n = table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").cast("string").alias("head_id"), F.lit(1).alias("relation_id"), F.col("n_nationkey").cast("string").alias("tail_id")
+    )
+    return s.unionByName(n)
+
+
+def kg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KG entity table ``id, name``: nations and regions (ids of regions offset by 1000)."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    r = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).cast("string").alias("id"), F.col("r_name").alias("name"))
+    return n.unionByName(r)
+
+
+def old_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An existing concept dictionary: ``<id_k>`` -> 0 for every part and a
+    ``@``-key per nation (which the upsert drops)."""
+    n = table(spark, sf_dir, "nation").select(
+        F.concat(F.col("n_name"), F.lit("@kg")).alias("concept"), F.col("n_nationkey").cast("bigint").alias("concept_id")
+    )
+    p = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("<id_"), F.col("p_partkey").cast("string"), F.lit(">")).alias("concept"), F.lit(0).cast("bigint").alias("concept_id")
+    )
+    return n.unionByName(p)

@@ -205,3 +205,13 @@ pairs AS (SELECT text_id, entity, tl, tg, eg,
           FROM tw, ew WHERE list_has_any(words, ewords))
 SELECT text_id, entity, CASE WHEN exact THEN 1.0 ELSE round(i / u, 6) END AS score FROM pairs
 WHERE exact OR (len(eg) >= 2 AND i >= {threshold} * len(eg) AND i / u >= {threshold})"""
+
+KG = """kg AS (SELECT CAST(s_nationkey AS VARCHAR) AS head_id, 0 AS relation_id, CAST(s_suppkey AS VARCHAR) AS tail_id FROM supplier
+        UNION ALL SELECT CAST(n_regionkey AS VARCHAR), 1, CAST(n_nationkey AS VARCHAR) FROM nation)"""
+KG_ENT = """kgent AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation
+           UNION ALL SELECT CAST(r_regionkey + 1000 AS VARCHAR), r_name FROM region)"""
+DICT = """dict AS (SELECT CAST(item_id AS VARCHAR) AS k, min(regexp_replace(title, '[\\(\\[].*?[\\)\\]]', '', 'g')) AS title FROM cat GROUP BY 1)"""
+
+
+def sid(x: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 15)) AS BIGINT)"
