@@ -261,3 +261,74 @@ def a15_audit(spark, sf_dir):
     dic = dl.title_dictionary(fx.cat(spark, sf_dir), "item_id", "title")
     r = dl.render_dialogues(dl.format_dialogues(dl.replace_ids_with_titles(d, dic)))
     return dl.missing_token_audit(r)
+
+
+def _t14(spark, sf_dir):
+    r = _t8(spark, sf_dir)
+    f = dl.format_dialogues(r).drop("conversation").withColumnRenamed("messages", "conversation")
+    dic = dl.title_dictionary(fx.cat(spark, sf_dir), "item_id", "title")
+    return dl.names_to_ids(f, dic)
+
+
+_SP = __import__("convrec.config", fromlist=["x"]).DIALOGUE_SYSTEM_PROMPT.replace("'", "''")
+_T14_SQL = (
+    _T8_SQL
+    + f""", known AS (SELECT DISTINCT r.conv_id, r.tag FROM rep r WHERE r.title IS NOT NULL),
+tgt AS (SELECT DISTINCT conv_id, CAST((conv_id * 5) % 2400 AS VARCHAR) AS tag FROM tagged),
+msgs AS (SELECT conv_id, 0 AS idx, 'system' AS role, '{_SP}' AS content FROM (SELECT DISTINCT conv_id FROM tagged)
+         UNION ALL SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER),
+                CASE WHEN role = 'AI' THEN 'assistant' ELSE role END, content FROM t8_out),
+cand AS (SELECT conv_id, 'user' AS kind, tag FROM known UNION SELECT conv_id, 'other', tag FROM tgt),
+cand_t AS (SELECT c.conv_id, c.kind, '<id_' || c.tag || '>' AS tagf, d.title FROM cand c JOIN dict d ON c.tag = d.k WHERE d.title <> ''),
+best AS (SELECT conv_id, kind, title, max(tagf) AS tagf FROM cand_t GROUP BY ALL),
+plist AS (SELECT conv_id, kind, list(title || chr(1) || tagf ORDER BY tagf) AS pairs FROM best GROUP BY ALL)
+"""
+)
+
+
+@register(
+    "t14_names_to_ids",
+    _T14_SQL
+    + """SELECT m.conv_id, CAST(m.idx AS BIGINT) AS idx, m.role,
+       CASE WHEN p.pairs IS NULL THEN m.content
+            ELSE list_reduce(p.pairs, lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), m.content) END AS content
+FROM msgs m LEFT JOIN plist p ON m.conv_id = p.conv_id AND p.kind = CASE WHEN m.role = 'user' THEN 'user' ELSE 'other' END""",
+)
+def t14_names_to_ids(spark, sf_dir):
+    return _explode_conv(_t14(spark, sf_dir))
+
+
+@register(
+    "t16_w8_w9_toolkit_rows",
+    _T14_SQL
+    + """, t14 AS (
+  SELECT m.conv_id, m.idx, m.role,
+       CASE WHEN p.pairs IS NULL THEN m.content
+            ELSE list_reduce(p.pairs, lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), m.content) END AS content
+  FROM msgs m LEFT JOIN plist p ON m.conv_id = p.conv_id AND p.kind = CASE WHEN m.role = 'user' THEN 'user' ELSE 'other' END
+  WHERE m.role <> 'system'),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS utt FROM t14),
+mv AS (SELECT u.conv_id, u.utt, u.role, x.tag, x.pos FROM u,
+         (SELECT unnest(regexp_extract_all(u.content, '<id_([^<>]+)>', 1)) AS tag, unnest(range(1, len(regexp_extract_all(u.content, '<id_([^<>]+)>', 1)) + 1)) AS pos) x),
+mvt AS (SELECT mv.*, regexp_replace(coalesce(d.title, '<id_' || mv.tag || '>'), '^\\s+|\\s+$', '', 'g') AS title FROM mv LEFT JOIN dict d ON mv.tag = d.k),
+mvk AS (SELECT a.* FROM mvt a WHERE a.role <> 'assistant'
+          OR NOT EXISTS (SELECT 1 FROM mvt b WHERE b.conv_id = a.conv_id AND b.utt < a.utt AND b.title = a.title)),
+movies AS (SELECT conv_id, utt, string_agg(title, '|' ORDER BY pos) AS movies FROM mvk GROUP BY ALL),
+words AS (SELECT conv_id, utt,
+            regexp_replace(regexp_replace(replace(content, '<|reserved_special_token_10|>', ''), '<id_(.*?)>', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS w FROM u)
+SELECT CAST(u.conv_id AS VARCHAR) AS conv_id, CAST(u.utt AS INTEGER) AS utt_id,
+       CASE WHEN u.role = 'user' THEN 'Seeker' WHEN u.role = 'assistant' THEN 'Recommender' END AS role,
+       coalesce(movies.movies, '') AS movies,
+       CASE WHEN words.w = '' THEN '' ELSE array_to_string(string_split_regex(words.w, '\\s+'), '|') END AS word
+FROM u LEFT JOIN movies ON u.conv_id = movies.conv_id AND u.utt = movies.utt JOIN words ON u.conv_id = words.conv_id AND u.utt = words.utt""",
+)
+def t16_toolkit(spark, sf_dir):
+    dic = dl.title_dictionary(fx.cat(spark, sf_dir), "item_id", "title")
+    t = dl.toolkit_rows(_t14(spark, sf_dir), dic, mentions_col=None)
+    return t.select("conv_id", F.explode("conv").alias("u")).select(
+        "conv_id",
+        F.col("u.utt_id").alias("utt_id"),
+        F.col("u.role").alias("role"),
+        F.array_join("u.movies", "|").alias("movies"),
+        F.array_join("u.word", "|").alias("word"),
+    )
