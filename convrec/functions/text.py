@@ -93,3 +93,9 @@ def has_items(c) -> Column:
 def has_text(c) -> Column:
     """F16: string longer than 2 characters."""
     return F.coalesce(F.length(col_(c)) > 2, F.lit(False))
+
+
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (lambda bodies get no common-subexpression
+    elimination, so a value used several times inside a higher-order function is bound here)."""
+    return F.transform(F.array(value), fn).getItem(0)
