@@ -25,7 +25,7 @@ def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str |
     keys = right.select(F.col(right_key).alias("__k")).distinct() if right_key != left_key else right.select(left_key)
     if right_key != left_key:
         return left.join(keys, F.col(left_key) == F.col("__k"), "left_semi")
-    return left.join(keys, left_key, "left_semi")
+    return left.join(keys, left_key, "left_semi").select(*left.columns)
 
 
 @dataclass
@@ -85,7 +85,12 @@ def k_core(
             raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
         keep_u = users.filter(F.col("__n") >= k).select(user_col)
         keep_i = items.filter(F.col("__n") >= k).select(item_col)
-        cur = cur.join(keep_u, user_col, "left_semi").join(keep_i, item_col, "left_semi").checkpoint(eager=True)
+        cur = (
+            cur.join(keep_u, user_col, "left_semi")
+            .join(keep_i, item_col, "left_semi")
+            .select(*ratings.columns)
+            .checkpoint(eager=True)
+        )
         rounds += 1
     for p in prev:
         p.unpersist()
