@@ -99,3 +99,16 @@ def let(value, fn) -> Column:
     """Evaluate ``value`` once and pass it to ``fn`` (lambda bodies get no common-subexpression
     elimination, so a value used several times inside a higher-order function is bound here)."""
     return F.transform(F.array(value), fn).getItem(0)
+
+
+
+def compute_then_filter(df, cols: dict, predicate: Column):
+    """Add the computed ``cols``, then keep rows where ``predicate`` (over those columns) holds.
+
+    Catalyst pushes a filter below the projection that defines its columns (and through
+    repartitions and sorts), substituting the expressions: an expensive expression would
+    then run twice, and before any repartition meant to spread it.  The projection here
+    also carries a non-deterministic column that the filter reads, which keeps the filter
+    above it, so every expression runs once per row, where it is written."""
+    out = df.select("*", *[c.alias(n) for n, c in cols.items()], F.spark_partition_id().alias("__pid"))
+    return out.filter(predicate & (F.col("__pid") >= 0)).drop("__pid")

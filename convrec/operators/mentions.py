@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from convrec.config import ENTITY_STOP_WORDS
-from convrec.functions.ngrams import char_ngrams, whole_word_pattern, word_runs
-from convrec.functions.text import usplit, ustrip
+from convrec.functions.ngrams import char_ngrams, char_ngrams_of_normalized, normalize_for_ngrams, whole_word_pattern, word_runs
+from convrec.functions.text import compute_then_filter, usplit, ustrip
+from convrec.session import ensure_checkpoint_dir, ensure_parallelism
 
 EPS = 1e-9
 
@@ -70,14 +71,24 @@ def detect_mentions(
     threshold: float = 0.7,
 ) -> DataFrame:
     """T9 + T11 (via J10 candidates): one row per (key, entity, score) with a mention."""
-    t = texts.select(*key_cols, F.col(text_col).alias("__text")).filter(
+    t = ensure_parallelism(texts.select(*key_cols, F.col(text_col).alias("__text"))).filter(
         F.col("__text").isNotNull() & (ustrip("__text") != "")
     )
-    t = t.select(*key_cols, F.lower("__text").alias("tl")).withColumn("t_words", F.array_distinct(usplit("tl")))
-    ents = _prepare_entities(entities, n).filter(F.size("e_words") > 0)
+    t = (
+        t.select(*key_cols, F.lower("__text").alias("tl"))
+        .withColumn("t_words", F.array_distinct(usplit("tl")))
+        .withColumn("t_runs", word_runs("tl"))
+    )
+    # four plan branches read the texts with their word lists: compute those once and cut
+    # the lineage with a reliable checkpoint instead of re-running the regexes per branch
+    ensure_checkpoint_dir(texts.sparkSession)
+    t = t.checkpoint(eager=True)
+    # The entity side (one row per entity) is read by a dozen plan branches below; it is
+    # cut once with a reliable checkpoint in the shared checkpoint folder as well.
+    ents = _prepare_entities(entities, n).filter(F.size("e_words") > 0).checkpoint(eager=True)
 
     # ---- exact path (T9) -------------------------------------------------------------
-    t_runs = t.select(*key_cols, F.explode(word_runs("tl")).alias("run"))
+    t_runs = t.select(*key_cols, F.explode("t_runs").alias("run"))
     run_df = t_runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
     er = ents.select("entity", F.explode("e_runs").alias("run"))
     er = er.join(run_df, "run", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -89,18 +100,22 @@ def detect_mentions(
         .filter((F.col("__rn") == 1) & ~F.col("__zero"))
         .select("entity", "run")
     )
-    exact_c = t_runs.join(anchors, "run").select(*key_cols, "entity")
+    cand = t_runs.join(anchors, "run").select(*key_cols, "entity")
     # entities without word characters: shared whitespace word join (J10 as written)
     odd = ents.filter(F.size("e_runs") == 0).select("entity", F.explode("e_words").alias("w"))
-    odd_c = (
-        t.select(*key_cols, F.explode("t_words").alias("w")).join(odd, "w").select(*key_cols, "entity").distinct()
+    odd_c = t.select(*key_cols, F.explode("t_words").alias("w")).join(odd, "w").select(*key_cols, "entity")
+    # fold candidates per text so the text itself crosses the shuffle once, not once per candidate
+    per_text = cand.unionByName(odd_c).groupBy(*key_cols).agg(F.collect_set("entity").alias("__ents"))
+    x = t.join(per_text, key_cols).select(*key_cols, "tl", "t_words", "t_runs", F.explode("__ents").alias("entity"))
+    x = compute_then_filter(
+        x,
+        {"e_words": F.array_distinct(usplit("entity")), "e_runs": word_runs("entity")},
+        F.arrays_overlap("t_words", "e_words") & F.forall("e_runs", lambda r: F.array_contains(F.col("t_runs"), r)),
     )
-    exact_c = exact_c.unionByName(odd_c)
-    exact = (
-        exact_c.join(t, key_cols)
-        .join(ents.select("entity", "e_words"), "entity")
-        .filter(F.arrays_overlap("t_words", "e_words") & F.regexp_like(F.col("tl"), whole_word_pattern(F.col("entity"))))
-        .select(*key_cols, "entity", F.lit(1.0).alias("score"))
+    # rows of one entity next to each other: the regex is compiled once per entity and task
+    x = x.sortWithinPartitions("entity")
+    exact = compute_then_filter(x, {"__hit": F.regexp_like(F.col("tl"), whole_word_pattern(F.col("entity")))}, F.col("__hit")).select(
+        *key_cols, "entity", F.lit(1.0).alias("score")
     )
 
     # ---- fuzzy path (T11) --------------------------------------------------------------
@@ -109,11 +124,16 @@ def detect_mentions(
     if max_e is None:
         return exact
     limit = int(math.floor(max_e / threshold + EPS))
-    # cheap upper bound first: a text with more than ``limit`` n-gram positions may still
-    # have few distinct n-grams, so the exact set size decides
-    tf = t.withColumn("t_grams", char_ngrams("tl", n)).withColumn("t_n", F.size("t_grams")).filter(
-        (F.col("t_n") >= 1) & (F.col("t_n") <= limit)
+    # Jaccard >= t needs |T| <= |E|/t <= limit.  Exclusion test without building every
+    # n-gram of a long text: the n-grams of the first ``limit + n`` normalized characters
+    # are a subset of the text's, so more than ``limit`` of them rules the text out.
+    t_n = compute_then_filter(t, {"__norm": normalize_for_ngrams(F.col("tl"))}, F.lit(True))
+    t_n = compute_then_filter(
+        t_n, {"__head": F.size(char_ngrams_of_normalized(F.col("__norm").substr(F.lit(1), F.lit(limit + n)), n))}, F.col("__head") <= limit
     )
+    tf = compute_then_filter(
+        t_n, {"t_grams": char_ngrams_of_normalized(F.col("__norm"), n)}, (F.size("t_grams") >= 1) & (F.size("t_grams") <= limit)
+    ).withColumn("t_n", F.size("t_grams")).drop("__norm", "__head")
     # global n-gram order: rarest first (ties by the n-gram)
     g_all = tf.select(F.explode("t_grams").alias("g")).unionByName(fe.select(F.explode("e_grams").alias("g")))
     g_freq = g_all.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
@@ -126,9 +146,9 @@ def detect_mentions(
 
     tp = prefixes(tf, "t_grams", "t_n", key_cols)
     ep = prefixes(fe, "e_grams", "e_n", ["entity"])
-    cand = tp.join(ep, "g").select(*key_cols, "entity").distinct()
+    cand_f = tp.join(ep, "g").select(*key_cols, "entity").distinct()
     scored = (
-        cand.join(tf.select(*key_cols, "t_words", "t_grams", "t_n", "tl"), key_cols)
+        cand_f.join(tf.select(*key_cols, "t_words", "t_grams", "t_n", "tl"), key_cols)
         .join(fe.select("entity", "e_words", "e_grams", "e_n"), "entity")
         .filter(
             (F.col("t_n") >= F.col("e_n") * F.lit(threshold) - F.lit(EPS))

@@ -220,8 +220,10 @@ def part_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ent_d`` source: the first two whitespace words of every document as a name."""
     d = table(spark, sf_dir, "documents")
-    w = F.split(F.regexp_replace(F.col("text"), r"(?U)^\s+", ""), r"(?U)\s+")
-    return d.select(F.concat_ws(" ", F.slice(w, 1, 2)).alias("name"))
+    first_two = r"^(?U)\s*(\S+)(?:\s+(\S+))?"
+    return d.select(
+        F.concat_ws(" ", F.regexp_extract("text", first_two, 1), F.nullif(F.regexp_extract("text", first_two, 2), F.lit(""))).alias("name")
+    )
 
 
 def kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
