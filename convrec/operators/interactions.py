@@ -35,12 +35,30 @@ class KCoreResult:
     rows: int
 
 
+def _checkpoint_keeping_partitioning(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint whose result still reports the hash partitioning it was written
+    with (so the next round's per-user work needs no shuffle).  An adaptive plan does not
+    expose its final partitioning before it runs, so adaptive execution is switched off for
+    this one action and restored afterwards."""
+    conf = df.sparkSession.conf
+    old = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", old)
+
+
+BROADCAST_MAX_KEYS = 5_000_000  # keep-sets up to this many keys are broadcast (about 100 MB)
+
+
 def k_core(
     ratings: DataFrame,
     k: int,
     user_col: str = "user_id",
     item_col: str = "item_id",
     max_rounds: int = 200,
+    num_partitions: int | None = None,
 ) -> KCoreResult:
     """A1: iterated k-core of an interaction log.
 
@@ -48,29 +66,34 @@ def k_core(
     same input (A2); when both minima reach ``k`` (A3) the loop stops, otherwise
     rows whose user *or* item is below ``k`` are dropped and the next round runs.
 
-    Plan per round: the two counts are partial (map-side) aggregates, so only
-    one small row per key and map task crosses the shuffle; they are persisted
-    (one row per key: far smaller than the data) so the stop test and the
-    filter share them.  The keep-sets are applied with semi joins that AQE
-    turns into broadcast joins when the runtime size of a keep-set is below the
-    broadcast threshold and leaves as shuffle joins otherwise.  Each round's
-    output is cut from its lineage with a reliable ``checkpoint`` into the
-    shared ``spark.checkpoint.dir``, so a lost executor recomputes at most one
-    round.  Ids are never collected to the driver; only two numbers are.
+    Plan: the log is hash-partitioned by user once; every round's output is cut
+    from its lineage with a reliable ``checkpoint`` (shared
+    ``spark.checkpoint.dir``), which keeps that partitioning.  So per round:
+
+    * per-user counts and the user filter are partition-local (no shuffle);
+    * per-item counts are partial aggregates: one row per item and task crosses
+      the shuffle;
+    * the item keep-set is broadcast when its size (known from the same job that
+      computes the stop test) is at most ``BROADCAST_MAX_KEYS``, else joined by
+      shuffle; a broadcast join keeps the user partitioning for the next round.
 
+    Only two minima and three counts reach the driver per round; ids never do.
     An input where nobody reaches ``k`` gives an empty DataFrame (no error);
     hitting ``max_rounds`` raises instead of returning a partial core.
     """
-    ensure_checkpoint_dir(ratings.sparkSession)
-    cur = ratings
+    spark = ratings.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = ratings.columns
+    cur = _checkpoint_keeping_partitioning(ratings.repartition(parts, user_col))
     rounds = 0
-    prev = []
+    prev: list[DataFrame] = []
     while True:
         users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
         items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
         s = (
             users.agg(F.min("__n").alias("mu"), F.sum("__n").alias("rows"))
-            .crossJoin(items.agg(F.min("__n").alias("mi")))
+            .crossJoin(items.agg(F.min("__n").alias("mi"), F.count_if(F.col("__n") >= k).alias("keep_i")))
             .first()
         )
         for p in prev:
@@ -78,18 +101,15 @@ def k_core(
         prev = [users, items]
         if s["rows"] is None or (s["mu"] >= k and s["mi"] >= k):
             n_rows = int(s["rows"] or 0)
-            if n_rows == 0:
-                cur = cur.limit(0)
             break
         if rounds >= max_rounds:
             raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
         keep_u = users.filter(F.col("__n") >= k).select(user_col)
         keep_i = items.filter(F.col("__n") >= k).select(item_col)
-        cur = (
-            cur.join(keep_u, user_col, "left_semi")
-            .join(keep_i, item_col, "left_semi")
-            .select(*ratings.columns)
-            .checkpoint(eager=True)
+        if s["keep_i"] <= BROADCAST_MAX_KEYS:
+            keep_i = F.broadcast(keep_i)
+        cur = _checkpoint_keeping_partitioning(
+            cur.join(keep_u, user_col, "left_semi").join(keep_i, item_col, "left_semi").select(*cols)
         )
         rounds += 1
     for p in prev:
