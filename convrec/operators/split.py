@@ -5,13 +5,11 @@ compute alike and which does not depend on partitioning.  A global rank would
 put a whole stratum into one task; instead rows are ranked inside
 ``(stratum, bucket)`` groups, where the bucket is a prefix of the order key, and
 each bucket's offset inside its stratum comes from prefix sums over the bucket
-counts (one small row per stratum and bucket).  The offsets table is broadcast
-only after its row count is checked.
+counts (one small row per stratum and bucket).
 """
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +17,6 @@ from pyspark.sql import Window
 
 from convrec.functions.text import seeded_order_key
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def check_ratios(train: float, valid: float, test: float) -> None:
     """The three ratios must sum to 1 (within 1e-10)."""
     total = train + valid + test
@@ -30,22 +25,24 @@ def check_ratios(train: float, valid: float, test: float) -> None:
 
 
 def _ranked(df: DataFrame, key: str, strata: list[str], seed: int, bucket_hex: int) -> DataFrame:
-    """Adds ``__rn`` (1-based rank by seeded order key inside the stratum) and ``__n``."""
-    ok = seeded_order_key(key, seed)
-    d = df.withColumn("__ok", ok).withColumn("__b", F.substring("__ok", 1, bucket_hex))
-    counts = d.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__bn"))
+    """Adds ``__rn`` (1-based rank by seeded order key inside the stratum) and ``__n``.
+
+    One shuffle of the rows on ``(stratum, bucket)``: the rank and the bucket size come
+    from the same window; the per-bucket offsets are prefix sums over the small
+    ``(stratum, bucket, size)`` table, which AQE broadcasts back after checking its
+    runtime size (the input is read once; no action runs here)."""
+    d = df.withColumn("__ok", seeded_order_key(key, seed)).withColumn("__b", F.substring("__ok", 1, bucket_hex))
+    wb = Window.partitionBy(*strata, "__b")
+    r = d.withColumn("__r", F.row_number().over(wb.orderBy("__ok", F.col(key)))).withColumn("__bn", F.count(F.lit(1)).over(wb))
+    sizes = r.select(*strata, "__b", "__bn").distinct()
     w = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    wn = Window.partitionBy(*strata)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__bn").over(w), F.lit(0))).withColumn("__n", F.sum("__bn").over(wn))
-    offsets = offsets.select(*strata, "__b", "__off", "__n")
-    if offsets.count() <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
-    rank_w = Window.partitionBy(*strata, "__b").orderBy("__ok", F.col(key))
+    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__bn").over(w), F.lit(0))).withColumn(
+        "__n", F.sum("__bn").over(Window.partitionBy(*strata))
+    ).select(*strata, "__b", "__off", "__n")
     return (
-        d.withColumn("__r", F.row_number().over(rank_w))
-        .join(offsets, [*strata, "__b"])
+        r.join(offsets, [*strata, "__b"])
         .withColumn("__rn", F.col("__off") + F.col("__r"))
-        .drop("__ok", "__b", "__r", "__off")
+        .drop("__ok", "__b", "__r", "__bn", "__off")
     )
 
 
