@@ -215,3 +215,28 @@ DICT = """dict AS (SELECT CAST(item_id AS VARCHAR) AS k, min(regexp_replace(titl
 
 def sid(x: str) -> str:
     return f"CAST(('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 15)) AS BIGINT)"
+
+_W = "\\p{L}\\p{N}\\p{M}_"  # Unicode word characters
+
+
+def uni_ngram_sql(x: str, n: int = 3) -> str:
+    s = (
+        f"regexp_replace(trim(regexp_replace(regexp_replace(lower({x}), '[^{_W}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+', ' ', 'g')"
+    )
+    return f"list_distinct(list_transform(range(1, length({s}) - {n} + 2), lambda i: substr({s}, i, {n})))"
+
+
+def unicode_mentions_sql(threshold: float = 0.7, n: int = 3) -> str:
+    """Brute-force mention oracle with Unicode word boundaries: ``\\b`` before the entity is
+    ``(^|[^W])`` when it starts with a word character, else ``[W]`` (and mirrored after)."""
+    left = f"CASE WHEN regexp_matches(entity, '^[{_W}]') THEN '(^|[^{_W}])' ELSE '[{_W}]' END"
+    right = f"CASE WHEN regexp_matches(entity, '[{_W}]$') THEN '([^{_W}]|$)' ELSE '[{_W}]' END"
+    return f""", tw AS (SELECT conv_id, idx, lower(text) AS tl, list_distinct(string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) AS words,
+               {uni_ngram_sql('text', n)} AS tg FROM msgs WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+ew AS (SELECT entity, list_distinct(string_split_regex(trim(entity), '\\s+')) AS ewords, {uni_ngram_sql('entity', n)} AS eg,
+              {left} || regexp_escape(entity) || {right} AS pat FROM ents WHERE trim(entity) <> ''),
+pairs AS (SELECT conv_id, idx, entity, regexp_matches(tl, pat) AS exact,
+            len(list_intersect(tg, eg)) AS i, len(list_distinct(list_concat(tg, eg))) AS u, eg
+          FROM tw, ew WHERE list_has_any(words, ewords)),
+m AS (SELECT conv_id, idx, entity, CASE WHEN exact THEN 1.0 ELSE round(i / u, 6) END AS score FROM pairs
+      WHERE exact OR (len(eg) >= 2 AND i >= {threshold} * len(eg) AND i / u >= {threshold}))"""

@@ -80,12 +80,29 @@ def t12_dialogue_mentions(spark, sf_dir):
     return dialogue_mentions(d, ents)
 
 
-@register("t12_dialogue_mentions", None)
+_T12_SQL = (
+    """WITH docs AS (SELECT regexp_extract(text, '^\\s*(\\S+)(?:\\s+(\\S+))?', 1) AS w1,
+                     regexp_extract(text, '^\\s*(\\S+)(?:\\s+(\\S+))?', 2) AS w2 FROM documents),
+names AS (SELECT CASE WHEN w2 = '' THEN w1 ELSE w1 || ' ' || w2 END AS name FROM docs),
+ents AS (SELECT DISTINCT lower(name) AS entity FROM names WHERE name IS NOT NULL AND name NOT IN ('about', 'by', 'of', 'for')),
+msgs AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS idx, role, text FROM conversations)"""
+    + sql.unicode_mentions_sql()
+    + """
+SELECT g.conv_id, g.idx, g.role,
+       coalesce((SELECT string_agg(m.entity || ':' || CAST(m.score AS VARCHAR), ',' ORDER BY m.score DESC, m.entity)
+                 FROM m WHERE m.conv_id = g.conv_id AND m.idx = g.idx), '') AS mentions
+FROM msgs g"""
+)
+
+
+@register("t12_dialogue_mentions", _T12_SQL)
 def t12_query(spark, sf_dir):
     r = t12_dialogue_mentions(spark, sf_dir)
     return r.select("conv_id", F.posexplode("conversation").alias("idx", "m")).select(
         "conv_id",
         F.col("idx").cast("bigint").alias("idx"),
         F.col("m.role").alias("role"),
-        F.array_join(F.transform("m.mentions", lambda x: F.concat(x["entity"], F.lit(":"), F.round(x["score"], 6).cast("string"))), ",").alias("mentions"),
+        F.array_join(
+            F.transform("m.mentions", lambda x: F.concat(x["entity"], F.lit(":"), F.round(x["score"], 6).cast("string"))), ","
+        ).alias("mentions"),
     )
