@@ -34,13 +34,14 @@ def with_relation_names(triples: DataFrame, relations: DataFrame | None = None)
 
 
 def user_item_sets(inter: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
-    """Distinct items per user, sorted (``items``)."""
-    return inter.groupBy(user_col).agg(F.array_sort(F.collect_set(F.col(item_col).cast("string"))).alias("items"))
+    """The distinct items of each user, as distinct ``(user, item)`` rows (a set per user
+    in long form: de-duplicated by a partial aggregate, never gathered per user)."""
+    return inter.select(user_col, F.col(item_col).cast("string").alias("item")).distinct()
 
 
-def all_items(user_items: DataFrame, items_col: str = "items") -> DataFrame:
+def all_items(user_items: DataFrame, item_col: str = "item") -> DataFrame:
     """A10: distinct items over all users (``id``)."""
-    return user_items.select(F.explode(items_col).alias("id")).distinct()
+    return user_items.select(F.col(item_col).alias("id")).distinct()
 
 
 def item_names(items: DataFrame, dictionary: DataFrame, strict: bool = False) -> DataFrame:

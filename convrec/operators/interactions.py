@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from convrec.session import ensure_checkpoint_dir
@@ -35,20 +36,6 @@ class KCoreResult:
     rows: int
 
 
-def _checkpoint_keeping_partitioning(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint whose result still reports the hash partitioning it was written
-    with (so the next round's per-user work needs no shuffle).  An adaptive plan does not
-    expose its final partitioning before it runs, so adaptive execution is switched off for
-    this one action and restored afterwards."""
-    conf = df.sparkSession.conf
-    old = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set("spark.sql.adaptive.enabled", old)
-
-
 BROADCAST_MAX_KEYS = 5_000_000  # keep-sets up to this many keys are broadcast (about 100 MB)
 
 
@@ -58,7 +45,6 @@ def k_core(
     user_col: str = "user_id",
     item_col: str = "item_id",
     max_rounds: int = 200,
-    num_partitions: int | None = None,
 ) -> KCoreResult:
     """A1: iterated k-core of an interaction log.
 
@@ -66,33 +52,30 @@ def k_core(
     same input (A2); when both minima reach ``k`` (A3) the loop stops, otherwise
     rows whose user *or* item is below ``k`` are dropped and the next round runs.
 
-    Plan: the log is hash-partitioned by user once; every round's output is cut
-    from its lineage with a reliable ``checkpoint`` (shared
-    ``spark.checkpoint.dir``), which keeps that partitioning.  So per round:
-
-    * per-user counts and the user filter are partition-local (no shuffle);
-    * per-item counts are partial aggregates: one row per item and task crosses
-      the shuffle;
-    * the item keep-set is broadcast when its size (known from the same job that
-      computes the stop test) is at most ``BROADCAST_MAX_KEYS``, else joined by
-      shuffle; a broadcast join keeps the user partitioning for the next round.
+    Plan per round: both counts are partial (map-side) aggregates, so only one
+    small row per key and task crosses the shuffle, whatever the skew (a user
+    with a third of all rows costs one partial row per task).  The counts are
+    persisted (one row per key) and shared by the stop test and the filter.  The
+    same job that computes the stop test counts the two keep-sets; a keep-set of
+    at most ``BROADCAST_MAX_KEYS`` keys is broadcast, a larger one is joined by
+    shuffle, where AQE splits the partition of a hot key.  Each round's output is
+    cut from its lineage with a reliable ``checkpoint`` into the shared
+    ``spark.checkpoint.dir``, so a lost executor recomputes at most one round.
+    Ids never reach the driver; five numbers per round do.
 
-    Only two minima and three counts reach the driver per round; ids never do.
     An input where nobody reaches ``k`` gives an empty DataFrame (no error);
     hitting ``max_rounds`` raises instead of returning a partial core.
     """
-    spark = ratings.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(ratings.sparkSession)
     cols = ratings.columns
-    cur = _checkpoint_keeping_partitioning(ratings.repartition(parts, user_col))
+    cur = ratings
     rounds = 0
     prev: list[DataFrame] = []
     while True:
         users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
         items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
         s = (
-            users.agg(F.min("__n").alias("mu"), F.sum("__n").alias("rows"))
+            users.agg(F.min("__n").alias("mu"), F.sum("__n").alias("rows"), F.count_if(F.col("__n") >= k).alias("keep_u"))
             .crossJoin(items.agg(F.min("__n").alias("mi"), F.count_if(F.col("__n") >= k).alias("keep_i")))
             .first()
         )
@@ -106,10 +89,15 @@ def k_core(
             raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
         keep_u = users.filter(F.col("__n") >= k).select(user_col)
         keep_i = items.filter(F.col("__n") >= k).select(item_col)
+        if s["keep_u"] <= BROADCAST_MAX_KEYS:
+            keep_u = F.broadcast(keep_u)
         if s["keep_i"] <= BROADCAST_MAX_KEYS:
             keep_i = F.broadcast(keep_i)
-        cur = _checkpoint_keeping_partitioning(
-            cur.join(keep_u, user_col, "left_semi").join(keep_i, item_col, "left_semi").select(*cols)
+        cur = (
+            cur.join(keep_u, user_col, "left_semi")
+            .join(keep_i, item_col, "left_semi")
+            .select(*cols)
+            .checkpoint(eager=True)
         )
         rounds += 1
     for p in prev:
@@ -136,35 +124,81 @@ def min_count(df: DataFrame, key: str) -> DataFrame:
     return key_counts(df, key).agg(F.min("n").alias("min_n"))
 
 
-def user_histories(
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """Exact 1-based position (``__pos``) of every row inside its group by ``order_cols``
+    ascending, and the group size (``__len``), without sending a group to one task.
+
+    The rows are range-partitioned on ``group + order`` (Spark samples the key
+    distribution, so a group holding a third of all rows is cut into many
+    partitions, each a contiguous slice of the group's order); rows are ranked
+    inside ``(group, partition)``; each slice's offset is the prefix sum of the
+    slice sizes of the same group, a table with one row per group and partition."""
+    spark = df.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(parts, *[F.col(c).asc() for c in group_cols + order_cols]).withColumn(
+        "__part", F.spark_partition_id()
+    )
+    w = Window.partitionBy(*group_cols, "__part")
+    r = r.withColumn("__lr", F.row_number().over(w.orderBy(*order_cols))).withColumn("__pc", F.count(F.lit(1)).over(w))
+    slices = r.select(*group_cols, "__part", "__pc").distinct()
+    wo = Window.partitionBy(*group_cols).orderBy("__part")
+    offsets = slices.withColumn(
+        "__off", F.coalesce(F.sum("__pc").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).withColumn("__len", F.sum("__pc").over(Window.partitionBy(*group_cols)))
+    return (
+        r.join(offsets.select(*group_cols, "__part", "__off", "__len"), [*group_cols, "__part"])
+        .withColumn("__pos", F.col("__off") + F.col("__lr"))
+        .drop("__part", "__lr", "__pc", "__off")
+    )
+
+
+def history_positions(
     inter: DataFrame,
     user_col: str = "user_id",
-    fields: tuple[str, ...] = ("timestamp", "rating", "item_id", "title", "text"),
+    order_cols: tuple[str, ...] = ("timestamp", "rating", "item_id", "title", "text"),
 ) -> DataFrame:
-    """A6 + W2 + A7: one row per user with ``history array<struct<fields...>>`` sorted by the
-    whole tuple ascending (the arrival order of the reference is not reproducible on
-    a distributed input, so the full tuple defines the order) and ``interaction_len``.
+    """A6 + W2 + A7 in long form: every interaction with its position in the user's history
+    sorted by the whole tuple ascending (``pos``, 1-based) and the user's ``interaction_len``.
 
-    Grouping is a single shuffle on the user key with map-side partial
-    collection; each group holds one user's own interactions only.
-    """
-    s = F.struct(*[F.col(f) for f in fields])
-    return (
-        inter.groupBy(user_col)
-        .agg(F.array_sort(F.collect_list(s)).alias("history"))
-        .withColumn("interaction_len", F.size("history"))
-    )
+    The reference keeps five parallel lists per user; here the history stays one row per
+    interaction, so no user's history is ever gathered into one row or one task (a user
+    with a third of all rows is ranked by many tasks, see ``rank_within``)."""
+    r = rank_within(inter, [user_col], list(order_cols))
+    return r.withColumnRenamed("__pos", "pos").withColumnRenamed("__len", "interaction_len")
 
 
-def sample_history(groups: DataFrame, n: int, history_col: str = "history") -> DataFrame:
-    """W3 + W4: target = last element of the sorted history; history window =
-    ``all[-k:-1]`` with ``k = min(len, n)`` (at most n-1 items, empty for one item).
-    """
-    h = F.col(history_col)
+def latest_interactions(
+    inter: DataFrame,
+    n: int,
+    user_col: str = "user_id",
+    order_cols: tuple[str, ...] = ("timestamp", "rating", "item_id", "title", "text"),
+    salt_buckets: int = 64,
+) -> DataFrame:
+    """W2 + W3 + W4: per user the ``target`` (last interaction by the whole tuple) and the
+    history window ``sampled`` = ``all[-k:-1]`` with ``k = min(len, n)`` (at most n-1 items,
+    in order; empty for a user with one interaction), plus ``interaction_len``.
+
+    Only the last ``n`` rows of a user matter, so they are found in two steps: the last
+    ``n`` inside ``(user, salt)`` groups (the salt is a hash of the row, so a hot user is
+    spread over ``salt_buckets`` tasks), then the last ``n`` of those at most
+    ``n * salt_buckets`` rows per user.  The user's length is a partial-aggregate count.
+    Every collected array holds at most ``n`` rows."""
+    key = [F.col(c) for c in order_cols]
+    desc = [F.col(c).desc() for c in order_cols]
+    salted = inter.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(salt_buckets)))
+    top1 = salted.withColumn("__r", F.row_number().over(Window.partitionBy(user_col, "__salt").orderBy(*desc))).filter(
+        F.col("__r") <= n
+    )
+    top = top1.withColumn("__r", F.row_number().over(Window.partitionBy(user_col).orderBy(*desc))).filter(F.col("__r") <= n)
+    lens = inter.groupBy(user_col).agg(F.count(F.lit(1)).alias("interaction_len"))
+    s = F.struct(*[F.col(c) for c in order_cols])
+    g = top.groupBy(user_col).agg(F.array_sort(F.collect_list(s)).alias("__last"))  # <= n rows, ascending
+    g = g.join(lens, user_col)
+    h = F.col("__last")
     size = F.size(h)
-    k = F.least(size, F.lit(n))
-    start = size - k + 1  # 1-based start of the last k elements
-    length = k - 1
-    return groups.withColumn("target", F.element_at(h, -1)).withColumn(
-        "sampled", F.when(length > 0, F.slice(h, start, length)).otherwise(F.array().cast(groups.schema[history_col].dataType))
+    return g.select(
+        user_col,
+        "interaction_len",
+        F.element_at(h, -1).alias("target"),
+        F.when(size > 1, F.slice(h, 1, size - 1)).otherwise(F.array().cast(g.schema["__last"].dataType)).alias("sampled"),
     )

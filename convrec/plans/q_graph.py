@@ -50,12 +50,9 @@ def _core_items(spark, sf_dir, k=23):
 _CORE = sql.with_(sql.INTER, sql.kcore_cte(23, UNROLL))
 
 
-@register(
-    "a9_user_item_sets_k23",
-    _CORE + "SELECT CAST(user_id AS BIGINT) AS user_id, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM core GROUP BY user_id",
-)
+@register("a9_user_item_sets_k23", _CORE + "SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, CAST(item_id AS VARCHAR) AS item FROM core")
 def a9_sets(spark, sf_dir):
-    return _core_items(spark, sf_dir).select("user_id", F.array_join("items", ",").alias("items"))
+    return _core_items(spark, sf_dir)
 
 
 @register("a10_all_items_k23", _CORE + "SELECT DISTINCT CAST(item_id AS VARCHAR) AS id FROM core")

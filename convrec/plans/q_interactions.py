@@ -77,30 +77,18 @@ def a5_core_sets(spark, sf_dir):
     return u.unionByName(i)
 
 
-def _histories(spark, sf_dir, k=23):
-    c = _core(spark, sf_dir, k)
-    return ops.user_histories(c, fields=("ts", "rating", "item_id"))
-
-
 _HIST_SQL = sql.with_(sql.INTER, sql.kcore_cte(23, UNROLL))
 
 
 @register(
-    "a6_w2_user_history_k23",
+    "a6_w2_a7_history_positions_k23",
     _HIST_SQL
-    + "SELECT user_id, CAST(count(*) AS BIGINT) AS interaction_len,"
-    " string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY ts, rating, item_id) AS items,"
-    " string_agg(CAST(rating AS VARCHAR), ',' ORDER BY ts, rating, item_id) AS ratings"
-    " FROM core GROUP BY user_id",
+    + "SELECT user_id, item_id, rating, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, rating, item_id) AS INTEGER) AS pos,"
+    " CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS interaction_len FROM core",
 )
-def a6_user_history(spark, sf_dir):
-    h = _histories(spark, sf_dir)
-    return h.select(
-        "user_id",
-        F.col("interaction_len").cast("bigint").alias("interaction_len"),
-        F.array_join(F.transform("history", lambda x: x["item_id"].cast("string")), ",").alias("items"),
-        F.array_join(F.transform("history", lambda x: x["rating"].cast("string")), ",").alias("ratings"),
-    )
+def a6_history_positions(spark, sf_dir):
+    h = ops.history_positions(_core(spark, sf_dir, 23), order_cols=("ts", "rating", "item_id"))
+    return h.select("user_id", "item_id", "rating", F.col("pos").cast("int").alias("pos"), F.col("interaction_len").cast("bigint").alias("interaction_len"))
 
 
 @register(
@@ -112,16 +100,18 @@ def a6_user_history(spark, sf_dir):
 SELECT user_id,
   max(CASE WHEN rd = 1 THEN item_id END) AS target_item,
   coalesce(string_agg(CASE WHEN rd BETWEEN 2 AND 10 THEN CAST(item_id AS VARCHAR) END, ',' ORDER BY rd DESC), '') AS history_items,
-  CAST(count(CASE WHEN rd BETWEEN 2 AND 10 THEN 1 END) AS BIGINT) AS n_history
+  CAST(count(CASE WHEN rd BETWEEN 2 AND 10 THEN 1 END) AS BIGINT) AS n_history,
+  CAST(count(*) AS BIGINT) AS interaction_len
 FROM ranked GROUP BY user_id""",
 )
 def w3_w4_sample(spark, sf_dir):
-    s = ops.sample_history(_histories(spark, sf_dir), 10)
+    s = ops.latest_interactions(_core(spark, sf_dir, 23), 10, order_cols=("ts", "rating", "item_id"))
     return s.select(
         "user_id",
         F.col("target.item_id").alias("target_item"),
         F.array_join(F.transform("sampled", lambda x: x["item_id"].cast("string")), ",").alias("history_items"),
         F.size("sampled").cast("bigint").alias("n_history"),
+        F.col("interaction_len").cast("bigint").alias("interaction_len"),
     )
 
 

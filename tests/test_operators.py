@@ -45,16 +45,31 @@ def test_kcore_empty(spark):
     assert res.rows == 0 and res.core.count() == 0
 
 
-def test_sample_history_edges(spark):
+def test_latest_interactions_edges(spark):
     one = spark.createDataFrame([(1, 10, 5, "a")], "user_id int, ts int, rating int, item_id string")
-    s = ops.sample_history(ops.user_histories(one, fields=("ts", "rating", "item_id")), 10).first()
-    assert s["target"]["item_id"] == "a" and s["sampled"] == []
+    s = ops.latest_interactions(one, 10, order_cols=("ts", "rating", "item_id")).first()
+    assert s["target"]["item_id"] == "a" and s["sampled"] == [] and s["interaction_len"] == 1
     twelve = spark.createDataFrame([(1, t, 3, f"i{t:02d}") for t in range(1, 13)], "user_id int, ts int, rating int, item_id string")
-    s = ops.sample_history(ops.user_histories(twelve, fields=("ts", "rating", "item_id")), 10).first()
+    s = ops.latest_interactions(twelve, 10, order_cols=("ts", "rating", "item_id")).first()
     assert s["target"]["item_id"] == "i12"
     assert [x["item_id"] for x in s["sampled"]] == [f"i{t:02d}" for t in range(3, 12)]
 
 
+def test_hot_user_history_positions(spark):
+    # one user holds a third of all rows: positions stay exact and the user is ranked by many tasks
+    rows = [(0, t, t % 5, f"i{t}") for t in range(3000)] + [(u, t, 1, f"j{t}") for u in range(1, 601) for t in range(10)]
+    df = spark.createDataFrame(rows, "user_id int, ts int, rating int, item_id string")
+    h = ops.history_positions(df, order_cols=("ts", "rating", "item_id"))
+    hot = h.filter("user_id = 0")
+    assert sorted(r["pos"] for r in hot.select("pos").collect()) == list(range(1, 3001))
+    assert hot.filter("pos = 3000").first()["item_id"] == "i2999"
+    assert {r["interaction_len"] for r in hot.select("interaction_len").distinct().collect()} == {3000}
+    spread = df.repartitionByRange(8, "user_id", "ts").withColumn("p", F.spark_partition_id()).filter("user_id = 0")
+    assert spread.select("p").distinct().count() > 1
+    s = ops.latest_interactions(df, 10, order_cols=("ts", "rating", "item_id")).filter("user_id = 0").first()
+    assert s["target"]["item_id"] == "i2999" and [x["item_id"] for x in s["sampled"]] == [f"i{t}" for t in range(2990, 2999)]
+
+
 def test_top_actors_stable_ties(spark):
     meta = spark.createDataFrame(
         [("1", "t", "{'cast': [{'name': 'a', 'known_for_department': 'Acting', 'popularity': 5},"
