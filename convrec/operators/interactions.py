@@ -8,7 +8,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,15 @@ class KCoreResult:
     rows: int
 
 
-BROADCAST_MAX_KEYS = 5_000_000  # keep-sets up to this many keys are broadcast (about 100 MB)
+def _observed_rows(obs: Observation, df: DataFrame) -> int:
+    """Row count observed by the job that produced ``df``; when the optimizer removed the
+    observed node (AQE replaces a join with an empty keep-set by an empty relation) the
+    count is taken from ``df`` itself."""
+    try:
+        v = obs.get.get("rows")
+    except Exception:  # noqa: BLE001 - no metrics were reported for the removed node
+        v = None
+    return int(v) if v is not None else df.count()
 
 
 def k_core(
@@ -48,20 +58,20 @@ def k_core(
 ) -> KCoreResult:
     """A1: iterated k-core of an interaction log.
 
-    Each round counts rows (not distinct pairs) per user and per item on the
-    same input (A2); when both minima reach ``k`` (A3) the loop stops, otherwise
-    rows whose user *or* item is below ``k`` are dropped and the next round runs.
-
-    Plan per round: both counts are partial (map-side) aggregates, so only one
-    small row per key and task crosses the shuffle, whatever the skew (a user
-    with a third of all rows costs one partial row per task).  The counts are
-    persisted (one row per key) and shared by the stop test and the filter.  The
-    same job that computes the stop test counts the two keep-sets; a keep-set of
-    at most ``BROADCAST_MAX_KEYS`` keys is broadcast, a larger one is joined by
-    shuffle, where AQE splits the partition of a hot key.  Each round's output is
-    cut from its lineage with a reliable ``checkpoint`` into the shared
-    ``spark.checkpoint.dir``, so a lost executor recomputes at most one round.
-    Ids never reach the driver; five numbers per round do.
+    Each round counts rows (not distinct pairs) per user and per item on the same
+    input (A2) and keeps rows whose user *and* item reach ``k``; rounds repeat until
+    a round removes nothing, which is exactly when both minima reach ``k`` (A3).
+
+    One job per round: the two counts are partial (map-side) aggregates, so one
+    small row per key and task crosses the shuffle whatever the skew (a user with
+    a third of all rows costs one partial row per task); the keep-sets are applied
+    with semi joins that AQE turns into broadcast joins after measuring the
+    keep-set's runtime size against the broadcast threshold, and otherwise runs as
+    shuffle joins with skew splitting.  The round's output row count is observed
+    inside the same job (``DataFrame.observe``), and its output is cut from its
+    lineage with a reliable ``checkpoint`` into the shared ``spark.checkpoint.dir``,
+    so a lost executor recomputes at most one round.  Only one number per round
+    reaches the driver; ids never do.
 
     An input where nobody reaches ``k`` gives an empty DataFrame (no error);
     hitting ``max_rounds`` raises instead of returning a partial core.
@@ -70,39 +80,27 @@ def k_core(
     cols = ratings.columns
     cur = ratings
     rounds = 0
-    prev: list[DataFrame] = []
     while True:
-        users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
-        items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
-        s = (
-            users.agg(F.min("__n").alias("mu"), F.sum("__n").alias("rows"), F.count_if(F.col("__n") >= k).alias("keep_u"))
-            .crossJoin(items.agg(F.min("__n").alias("mi"), F.count_if(F.col("__n") >= k).alias("keep_i")))
-            .first()
-        )
-        for p in prev:
-            p.unpersist()
-        prev = [users, items]
-        if s["rows"] is None or (s["mu"] >= k and s["mi"] >= k):
-            n_rows = int(s["rows"] or 0)
-            break
-        if rounds >= max_rounds:
-            raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
-        keep_u = users.filter(F.col("__n") >= k).select(user_col)
-        keep_i = items.filter(F.col("__n") >= k).select(item_col)
-        if s["keep_u"] <= BROADCAST_MAX_KEYS:
-            keep_u = F.broadcast(keep_u)
-        if s["keep_i"] <= BROADCAST_MAX_KEYS:
-            keep_i = F.broadcast(keep_i)
-        cur = (
-            cur.join(keep_u, user_col, "left_semi")
-            .join(keep_i, item_col, "left_semi")
+        obs_in = Observation(f"kcore-in-{uuid.uuid4().hex}")
+        users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(user_col)
+        items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(item_col)
+        obs = Observation(f"kcore-{uuid.uuid4().hex}")
+        nxt = (
+            cur.observe(obs_in, F.count(F.lit(1)).alias("rows"))  # rows entering the round
+            .join(users, user_col, "left_semi")
+            .join(items, item_col, "left_semi")
             .select(*cols)
+            .observe(obs, F.count(F.lit(1)).alias("rows"))
             .checkpoint(eager=True)
         )
+        n = _observed_rows(obs, nxt)
+        n_in = _observed_rows(obs_in, cur)
+        if n == n_in:  # this round removed nothing: the input already was the core
+            return KCoreResult(core=nxt, rounds=rounds, rows=n)
         rounds += 1
-    for p in prev:
-        p.unpersist()
-    return KCoreResult(core=cur, rounds=rounds, rows=n_rows)
+        if rounds >= max_rounds:
+            raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
+        cur = nxt
 
 
 def core_stats(core: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
