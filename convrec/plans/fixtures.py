@@ -254,3 +254,19 @@ def old_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<id_"), F.col("p_partkey").cast("string"), F.lit(">")).alias("concept"), F.lit(0).cast("bigint").alias("concept_id")
     )
     return n.unionByName(p)
+
+
+def item_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item metadata (D2) from part: description = [type], features = the words of the name,
+    details = size text, price = retail price text (null for sizes above 45), categories =
+    [type, brand] for even sizes (null otherwise)."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").cast("string").alias("parent_asin"),
+        F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") ["), F.col("p_type"), F.lit("]")).alias("title"),
+        F.array(F.col("p_type")).alias("description"),
+        F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("details"),
+        F.split(F.col("p_name"), " ").alias("features"),
+        F.when(F.col("p_size") <= 45, F.col("p_retailprice").cast("string")).alias("price"),
+        F.when(F.col("p_size") % 2 == 0, F.array(F.col("p_type"), F.col("p_brand"))).alias("categories"),
+    )
