@@ -14,17 +14,28 @@ from convrec.config import relations_table
 from convrec.functions.text import clean_title, item_tag, stable_id
 
 
-def group_triples(triples: DataFrame, order_col: str | None = None) -> DataFrame:
-    """A8 + N19: triples grouped by head -> ``head_id string, triples array<struct<relation_id, tail_id>>``.
-
-    Pairs keep ``order_col`` order when given (file order), else (relation_id, tail_id).
-    One shuffle on the head key with map-side partial collection; a head's list is its
-    own out-edges (the reference builds the same list per head)."""
-    o = F.col(order_col) if order_col else F.lit(0)
-    g = triples.groupBy(F.col("head_id").cast("string").alias("head_id")).agg(
-        F.array_sort(F.collect_list(F.struct(o.alias("__o"), F.col("relation_id"), F.col("tail_id")))).alias("__t")
+def group_triples(triples: DataFrame, order_cols: list[str] | None = None, chunk_size: int = 100_000) -> DataFrame:
+    """A8 + N19: triples grouped by head -> ``head_id string, chunk int, triples
+    array<struct<relation_id, tail_id>>`` in ``order_cols`` order (file order when given,
+    else relation_id, tail_id).
+
+    Each head's list is cut into chunks of at most ``chunk_size`` pairs (chunk 0, 1, ...;
+    a head with fewer pairs has one row), so a head holding a third of all triples never
+    becomes one unbounded row or task: positions come from ``rank_within`` (range
+    partitioning splits a hot head), and each chunk is folded on its own."""
+    from convrec.operators.interactions import rank_within
+
+    order = order_cols or ["relation_id", "tail_id"]
+    t = triples.withColumn("head_id", F.col("head_id").cast("string"))
+    r = rank_within(t, ["head_id"], order).withColumn("chunk", ((F.col("__pos") - 1) / chunk_size).cast("int"))
+    g = r.groupBy("head_id", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__pos"), F.col("relation_id"), F.col("tail_id")))).alias("__t")
+    )
+    return g.select(
+        "head_id",
+        "chunk",
+        F.transform("__t", lambda x: F.struct(x["relation_id"].alias("relation_id"), x["tail_id"].alias("tail_id"))).alias("triples"),
     )
-    return g.select("head_id", F.transform("__t", lambda x: F.struct(x["relation_id"].alias("relation_id"), x["tail_id"].alias("tail_id"))).alias("triples"))
 
 
 def with_relation_names(triples: DataFrame, relations: DataFrame | None = None) -> DataFrame:

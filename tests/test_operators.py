@@ -164,3 +164,13 @@ def test_group_triples(spark):
     t = spark.createDataFrame([("1", 2, "b"), ("1", 0, "a"), ("2", 1, "c")], "head_id string, relation_id int, tail_id string")
     got = {r["head_id"]: [(x["relation_id"], x["tail_id"]) for x in r["triples"]] for r in g.group_triples(t).collect()}
     assert got == {"1": [(0, "a"), (2, "b")], "2": [(1, "c")]}
+
+
+def test_group_triples_chunks_hot_head(spark):
+    rows = [("h", i % 3, f"t{i:04d}") for i in range(250)] + [("x", 0, "a")]
+    t = spark.createDataFrame(rows, "head_id string, relation_id int, tail_id string")
+    out = g.group_triples(t, chunk_size=100).collect()
+    hot = sorted((r["chunk"], r["triples"]) for r in out if r["head_id"] == "h")
+    assert [c for c, _ in hot] == [0, 1, 2] and [len(x) for _, x in hot] == [100, 100, 50]
+    flat = [(p["relation_id"], p["tail_id"]) for _, x in hot for p in x]
+    assert flat == sorted((r, tl) for _, r, tl in rows[:250])
