@@ -25,8 +25,10 @@ def ustrip(c) -> Column:
 
 
 def usplit(c) -> Column:
-    """``str.split()``: split on runs of Unicode whitespace, no empty pieces."""
-    return F.filter(F.split(ustrip(c), r"(?U)\s+"), lambda x: x != F.lit(""))
+    """``str.split()``: split on runs of Unicode whitespace, no empty pieces (after the strip
+    only an empty text can give an empty piece, so no per-element filter is needed)."""
+    s = ustrip(c)
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
 
 
 def clean_title(c) -> Column:
