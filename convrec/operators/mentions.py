@@ -131,9 +131,15 @@ def detect_mentions(
     t_n = compute_then_filter(
         t_n, {"__head": F.size(char_ngrams_of_normalized(F.col("__norm").substr(F.lit(1), F.lit(limit + n)), n))}, F.col("__head") <= limit
     )
-    tf = compute_then_filter(
-        t_n, {"t_grams": char_ngrams_of_normalized(F.col("__norm"), n)}, (F.size("t_grams") >= 1) & (F.size("t_grams") <= limit)
-    ).withColumn("t_n", F.size("t_grams")).drop("__norm", "__head")
+    # the short texts are read three times below: materialize them once (reliable checkpoint)
+    tf = (
+        compute_then_filter(
+            t_n, {"t_grams": char_ngrams_of_normalized(F.col("__norm"), n)}, (F.size("t_grams") >= 1) & (F.size("t_grams") <= limit)
+        )
+        .withColumn("t_n", F.size("t_grams"))
+        .drop("__norm", "__head")
+        .checkpoint(eager=True)
+    )
     # global n-gram order: rarest first (ties by the n-gram)
     g_all = tf.select(F.explode("t_grams").alias("g")).unionByName(fe.select(F.explode("e_grams").alias("g")))
     g_freq = g_all.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
