@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from convrec.session import ensure_checkpoint_dir
+from convrec.session import ensure_checkpoint_dir, ensure_parallelism
 
 
 def filter_titled(meta: DataFrame, title_col: str = "title", min_len: int = 2) -> DataFrame:
@@ -78,7 +78,7 @@ def k_core(
     """
     ensure_checkpoint_dir(ratings.sparkSession)
     cols = ratings.columns
-    cur = ratings
+    cur = ensure_parallelism(ratings)  # a small input read as a few splits is spread over all cores
     rounds = 0
     while True:
         obs_in = Observation(f"kcore-in-{uuid.uuid4().hex}")
