@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from convrec.config import relations_table
-from convrec.functions.text import clean_title, item_tag, stable_id
+from convrec.functions.text import item_tag, stable_id
 
 
 def group_triples(triples: DataFrame, order_cols: list[str] | None = None, chunk_size: int = 100_000) -> DataFrame:

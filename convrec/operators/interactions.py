@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 import uuid
 
 from pyspark.sql import DataFrame, Observation

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convrec.functions.dialogue import last_marker_line, parse_chat, parse_markers, parse_prompt_chat, render_chat
+from convrec.functions.dialogue import last_marker_line, parse_chat, parse_markers, parse_prompt_chat
 from convrec.operators import dialogue as dl
 from convrec.operators.split import random_split, stratified_split
 from convrec.plans import fixtures as fx

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convrec.functions.text import seeded_bucket
 from convrec.operators import interactions as ops
 from convrec.operators.prompts import assign_scenario
 from convrec.plans import fixtures as fx

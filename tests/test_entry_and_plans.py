@@ -5,7 +5,6 @@ import tempfile
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tests.conftest import SF001, SF01

@@ -4,7 +4,6 @@ implementations of the same rules on small fixtures."""
 import difflib
 import re
 
-from pyspark.sql import functions as F
 
 from convrec.operators.fuzzy_titles import replace_titles_with_ids
 from convrec.operators.mentions import detect_mentions, dialogue_mentions, entity_set
