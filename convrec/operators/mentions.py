@@ -110,7 +110,7 @@ def detect_mentions(
     x = compute_then_filter(
         x,
         {"e_words": F.array_distinct(usplit("entity")), "e_runs": word_runs("entity")},
-        F.arrays_overlap("t_words", "e_words") & F.forall("e_runs", lambda r: F.array_contains(F.col("t_runs"), r)),
+        F.arrays_overlap("t_words", "e_words") & (F.size(F.array_except("e_runs", "t_runs")) == 0),
     )
     # rows of one entity next to each other: the regex is compiled once per entity and task
     x = x.sortWithinPartitions("entity")
