@@ -121,6 +121,24 @@ def min_count(df: DataFrame, key: str) -> DataFrame:
     return key_counts(df, key).agg(F.min("n").alias("min_n"))
 
 
+def min_counts(df: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
+    """A3 for both keys in one pass: ``min_user``, ``min_item`` (one row).  Users and items are
+    counted by one partial aggregate over a tagged stack of the two key columns."""
+    stacked = df.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("u").alias("kind"), F.col(user_col).cast("string").alias("key")),
+                F.struct(F.lit("i").alias("kind"), F.col(item_col).cast("string").alias("key")),
+            )
+        ).alias("s")
+    ).select("s.*")
+    counts = stacked.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(
+        F.min(F.when(F.col("kind") == "u", F.col("n"))).cast("bigint").alias("min_user"),
+        F.min(F.when(F.col("kind") == "i", F.col("n"))).cast("bigint").alias("min_item"),
+    )
+
+
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
     """Exact 1-based position (``__pos``) of every row inside its group by ``order_cols``
     ascending, and the group size (``__len``), without sending a group to one task.

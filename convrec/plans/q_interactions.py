@@ -59,9 +59,9 @@ def a2_user_counts(spark, sf_dir):
 )
 def a3_min_counts(spark, sf_dir):
     i = fx.inter(spark, sf_dir)
-    u = ops.min_count(i, "user_id").withColumnRenamed("min_n", "min_user")
-    it = ops.min_count(i, "item_id").withColumnRenamed("min_n", "min_item")
-    return u.crossJoin(it)  # two one-row aggregates
+    return ops.min_counts(i, "user_id", "item_id").select(
+        F.col("min_user").alias("min_user"), F.col("min_item").alias("min_item")
+    )
 
 
 @register(
