@@ -76,9 +76,7 @@ def movie_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", 'adult': False, 'profile_path': None}"),
     )
     casts = ps.groupBy(F.col("l_partkey").alias("c_partkey")).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", cast_entry.alias("e")))), lambda x: x["e"]), ", "
-        ).alias("cast_txt")
+        F.array_join(F.array_sort(F.collect_list(F.struct("s_suppkey", cast_entry.alias("e"))))["e"], ", ").alias("cast_txt")
     )
     pn = ps.join(n, ps.s_nationkey == n.n_nationkey).select("l_partkey", "n_nationkey", "n_name").distinct()
     crew_entry = F.concat(
@@ -89,9 +87,7 @@ def movie_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("'}"),
     )
     crews = pn.groupBy(F.col("l_partkey").alias("w_partkey")).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", crew_entry.alias("e")))), lambda x: x["e"]), ", "
-        ).alias("crew_txt")
+        F.array_join(F.array_sort(F.collect_list(F.struct("n_nationkey", crew_entry.alias("e"))))["e"], ", ").alias("crew_txt")
     )
     key = F.col("p_partkey").cast("string")
     return (
@@ -140,7 +136,7 @@ def marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
     line = F.concat(F.when(F.col("role") == "user", F.lit("[USR]: ")).otherwise(F.lit("[AI]: ")), F.col("text"))
     return c.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("response")
+        F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))["l"], "\n").alias("response")
     )
 
 
@@ -166,7 +162,7 @@ def tagged_marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tagged(spark, sf_dir).filter(F.col("role") != "system")
     line = F.concat(F.when(F.col("role") == "user", F.lit("[USR]: ")).otherwise(F.lit("[AI]: ")), F.col("text"))
     g = c.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("response")
+        F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))["l"], "\n").alias("response")
     )
     names = F.array(*[F.lit(s) for s in SCENARIOS])
     return g.select(
