@@ -78,6 +78,7 @@ def k_core(
     ensure_checkpoint_dir(ratings.sparkSession)
     cols = ratings.columns
     cur = ensure_parallelism(ratings)  # a small input read as a few splits is spread over all cores
+    want = ratings.sparkSession.sparkContext.defaultParallelism
     rounds = 0
     while True:
         obs_in = Observation(f"kcore-in-{uuid.uuid4().hex}")
@@ -94,6 +95,10 @@ def k_core(
         )
         n = _observed_rows(obs, nxt)
         n_in = _observed_rows(obs_in, cur)
+        if rounds == 0 and nxt.rdd.getNumPartitions() < want:
+            # few partitions only happen for a small log (a large one is read as many splits):
+            # spread it once so the following rounds use every core
+            nxt = nxt.repartition(want).checkpoint(eager=True)
         if n == n_in:  # this round removed nothing: the input already was the core
             return KCoreResult(core=nxt, rounds=rounds, rows=n)
         rounds += 1
