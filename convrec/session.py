@@ -35,25 +35,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is.  Only when it is unset (local tests) do we create a
-    scratch folder of our own.
+    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and is used
+    as is; a cluster job without it raises, since a machine-local folder would be lost with
+    its executor.  Only a local session (tests, bench) gets a scratch folder of its own.
+    The folder is set once; later calls return it.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir()
-    if hasattr(d, "isDefined"):  # scala Option
-        d = d.get() if d.isDefined() else None
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="convrec-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
-    return d
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def ensure_parallelism(df, min_partitions: int | None = None, small_bytes: int = 256 << 20):
