@@ -64,3 +64,37 @@ SELECT p.page_id, p.host, p.path, s.rule,
        coalesce(s.listed, CASE WHEN c.c IS NULL OR d.score >= c.c THEN 'allow' ELSE 'block' END) AS verdict
 FROM parts p JOIN strings s USING (host, path) JOIN scored d USING (host, path), cutoff c
 """
+
+SAMPLE_MIX = r"""
+WITH docs AS (
+  SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         CASE l.q WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS weight
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) l USING (doc_id)
+), keyed AS (
+  SELECT *, -ln((('0x' || substr(md5(doc_id::VARCHAR || 'mix-1'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / weight AS k
+  FROM docs
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w
+  FROM docs GROUP BY source
+), ordered AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER o AS rank,
+         (sum(source_size) OVER ())::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+         sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining_w
+  FROM sizes WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST)
+), level AS (
+  SELECT arg_min(remaining / remaining_w, rank) AS l FROM ordered WHERE remaining / remaining_w * w <= cap
+), targets AS (
+  SELECT source, source_size, round(CASE WHEN l IS NULL THEN cap ELSE least(cap, l * w) END, 6) AS target FROM ordered, level
+), budget AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets
+), run AS (
+  SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, b.target - b.epochs * b.source_size AS rest,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id NULLS LAST, k.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN budget b ON k.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN before < rest AND (before + size <= rest OR before + size - rest < rest - before) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+"""

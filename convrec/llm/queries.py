@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convrec.llm import oracles
-from convrec.llm.common import table
+from convrec.llm.common import cut, table
+from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.url_filter import judge_urls
 
 LLM_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -38,3 +39,18 @@ URL_RULES = [
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def quality_weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with a ``weight``: labelled good 1, unlabelled 0.5, labelled bad 0.25."""
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("__q"))
+    weight = F.when(F.col("__q") == 1, 1.0).when(F.col("__q") == 0, 0.25).otherwise(0.5)
+    return docs.join(good, "doc_id", "left").withColumn("weight", weight).drop("__q")
+
+
+@llm_query("op4_sample_mix", oracles.SAMPLE_MIX)
+def op4_sample_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = cut(quality_weighted(spark, docs, sf_dir))  # read for the key ranges and for the result
+    out = sample_mix(docs, weight_col="weight")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
