@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from convrec.llm import oracles
 from convrec.llm.common import cut, table
 from convrec.llm.mixing import sample_mix, word_count
+from convrec.llm.simhash import near_duplicates
 from convrec.llm.url_filter import judge_urls
 
 LLM_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -54,3 +55,13 @@ def op4_sample_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(quality_weighted(spark, docs, sf_dir))  # read for the key ranges and for the result
     out = sample_mix(docs, weight_col="weight")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
+
+
+def hex16(fp):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+@llm_query("op5_simhash_groups")
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return out.select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), "component_id")
