@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convrec.llm import oracles
+from convrec.llm import oracles, quality
 from convrec.llm.common import cut, table
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.simhash import near_duplicates
@@ -65,3 +65,19 @@ def hex16(fp):
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return out.select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def scored_as_contract(out: DataFrame, parts: int, rest: int) -> DataFrame:
+    return out.select(
+        "doc_id",
+        F.coalesce(quality.held_out("doc_id", parts, rest), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@llm_query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", parts=5, rest=0)
+    return scored_as_contract(quality.score_texts(docs, model, keep=["doc_id"]), 5, 0)
