@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convrec.llm import oracles, quality
+from convrec.llm import oracles, quality, toxicity
 from convrec.llm.common import cut, table
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.simhash import near_duplicates
@@ -81,3 +81,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", parts=5, rest=0)
     return scored_as_contract(quality.score_texts(docs, model, keep=["doc_id"]), 5, 0)
+
+
+@llm_query("op3_toxicity_neighbours")
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", parts=4, rest=2)
+    return scored_as_contract(toxicity.score_texts(docs, model, keep=["doc_id"]), 4, 2)
