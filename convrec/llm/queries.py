@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convrec.llm import oracles, quality, toxicity
+from convrec.llm import bpe, oracles, quality, toxicity
 from convrec.llm.common import cut, table
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.simhash import near_duplicates
@@ -88,3 +89,12 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", parts=4, rest=2)
     return scored_as_contract(toxicity.score_texts(docs, model, keep=["doc_id"]), 4, 2)
+
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+@llm_query("op7_bpe_round_trip")
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return out.withColumnRenamed("id", "doc_id")
