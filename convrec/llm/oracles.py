@@ -98,3 +98,16 @@ SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN before < rest AND (before + size <= rest OR before + size - rest < rest - before) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run
 """
+
+EXACT_TOPK = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from convrec.llm import bpe, oracles, quality, toxicity
 from convrec.llm.common import cut, table
+from convrec.llm.exact_topk import top_products
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.simhash import near_duplicates
 from convrec.llm.url_filter import judge_urls
@@ -98,3 +99,8 @@ VOCABULARY = "word_bpe_49k.json"
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@llm_query("op8_exact_topk", oracles.EXACT_TOPK)
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
