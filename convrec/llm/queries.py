@@ -15,6 +15,7 @@ from convrec.llm import bpe, oracles, quality, toxicity
 from convrec.llm.common import cut, table
 from convrec.llm.exact_topk import top_products
 from convrec.llm.mixing import sample_mix, word_count
+from convrec.llm.nn_descent import nearest_products
 from convrec.llm.simhash import near_duplicates
 from convrec.llm.url_filter import judge_urls
 
@@ -104,3 +105,8 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op8_exact_topk", oracles.EXACT_TOPK)
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
+@llm_query("op9_nn_descent")
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
