@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, whatever their working
+    folder (a cluster that has it installed does not need this and is not disturbed)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` with a reliable checkpoint in the shared folder, so that several
     readers (or later rounds) do not recompute it and a lost executor costs nothing."""

@@ -5,6 +5,7 @@ derives the result columns its contract names."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convrec.llm import bpe, oracles, quality, toxicity
-from convrec.llm.common import cut, table
+from convrec.llm.common import cut, table, workers_import
 from convrec.llm.exact_topk import top_products
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.nn_descent import nearest_products
@@ -24,8 +25,13 @@ LLM_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
 
 def llm_query(name: str, oracle: str | None = None):
     def deco(fn):
-        LLM_REGISTRY[name] = (fn, oracle)
-        return fn
+        @functools.wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_import(spark)
+            return fn(spark, sf_dir)
+
+        LLM_REGISTRY[name] = (query, oracle)
+        return query
 
     return deco
 
