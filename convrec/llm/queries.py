@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from convrec.llm import bpe, oracles, quality, toxicity
 from convrec.llm.common import cut, table, workers_import
 from convrec.llm.exact_topk import top_products
+from convrec.llm.html_extract import extract_text
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.nn_descent import nearest_products
 from convrec.llm.simhash import near_duplicates
@@ -116,3 +117,9 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op9_nn_descent")
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@llm_query("op1_site_style_tree")
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

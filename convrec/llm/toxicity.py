@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convrec.llm.common import cut, id_text
-from convrec.llm.quality import held_out
+from convrec.llm.quality import labelled_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -113,47 +114,68 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples of positive cosine, nearest first, ties to
-        the smaller row; ``skip`` leaves one row out."""
-        spans = [(self.bound_start[t], self.bound_start[t + 1], w) for t, w in zip(terms, weights)]
+        the smaller row; ``skip`` leaves one row out.
+
+        The blocks of the highest bounds are opened first, enough of them to hold k examples
+        twice over; then those whose bound reaches the k-th cosine found, and no others."""
         upper = np.zeros(self.blocks)
-        for a, b, w in spans:
+        for t, w in zip(terms, weights):
+            a, b = self.bound_start[t], self.bound_start[t + 1]
             upper[self.bound_block[a:b]] += w * self.bound[a:b]
-        best_row, best_cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or (len(best_row) >= k and upper[b] < best_cos[k - 1] - 1e-12):
-                break
-            cos = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                s, e = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                cos[self.row[s:e] - b * self.block] += w * self.weight[s:e]
-            hit = np.flatnonzero(cos > 0)
-            rows = hit + b * self.block
-            hit, rows = hit[rows != skip], rows[rows != skip]
-            best_row, best_cos = np.r_[best_row, rows], np.r_[best_cos, cos[hit]]
-            order = np.lexsort((best_row, -best_cos.round(12)))[:k]
-            best_row, best_cos = best_row[order], best_cos[order]
-        return best_row, best_cos
-
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of the non-decreasing fit of ``y`` on ``x``, each pool
-    smoothed by one observation of the overall mean."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # [weighted x, sum y, n]
-    for a, b in zip(x[order], y[order]):
-        if pools and pools[-1][3] == a:
-            pools[-1][0] += a
-            pools[-1][1] += b
-            pools[-1][2] += 1
+        first = np.argsort(-upper, kind="stable")[: max(2, -(-2 * k // self.block))]
+        opened = np.zeros(self.blocks, bool)
+        opened[first[upper[first] > 0]] = True
+        rows, cos = self._open(opened, terms, weights, k, skip)
+        least = cos[k - 1] - 1e-12 if len(cos) >= k else 0.0
+        rest = (upper >= least) & (upper > 0) & ~opened
+        if rest.any():
+            more, more_cos = self._open(rest, terms, weights, k, skip)
+            rows, cos = np.r_[rows, more], np.r_[cos, more_cos]
+            order = np.lexsort((rows, -cos.round(12)))[:k]
+            rows, cos = rows[order], cos[order]
+        return rows, cos
+
+    def _open(self, chosen: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        cos = np.zeros(self.examples)
+        for t, w in zip(terms, weights):
+            s, e = self.start[t * self.blocks], self.start[(t + 1) * self.blocks]
+            row = self.row[s:e]
+            use = chosen[row // self.block]
+            cos[row[use]] += w * self.weight[s:e][use]
+        if skip >= 0:
+            cos[skip] = 0.0
+        rows = np.flatnonzero(cos > 0)
+        order = np.lexsort((rows, -cos[rows].round(12)))[:k]
+        return rows[order], cos[rows[order]]
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots of the weighted non-decreasing fit of ``y`` on ``x``, each
+    pool smoothed by one observation of the overall mean."""
+    pools: list[list[float]] = []  # sum of w x, sum of w y, sum of w
+    at = None
+    for a, b, c in sorted(zip(x.tolist(), y.tolist(), w.tolist())):
+        if a == at:
+            last = pools.pop()
+            pools.append([last[0] + a * c, last[1] + b * c, last[2] + c])
         else:
-            pools.append([a, b, 1, a])
+            pools.append([a * c, b * c, c])
+        at = a
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             q = pools.pop()
-            pools[-1] = [pools[-1][0] + q[0], pools[-1][1] + q[1], pools[-1][2] + q[2], q[3]]
-    mean = float(np.mean(y)) if len(y) else 0.5
-    at = np.array([p[0] / p[2] for p in pools])
+            pools[-1] = [u + v for u, v in zip(pools[-1], q)]
+    mean = float(np.average(y, weights=w))
     share = np.array([(p[1] + mean) / (p[2] + 1) for p in pools])
-    return at, np.maximum.accumulate(share) if len(share) else share
+    return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate(share)
+
+
+def is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def unit(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(tf)) * idf[ids]
+    return ids, w / math.sqrt(float(w @ w)) if len(w) else w
 
 
 @dataclass
@@ -166,24 +188,38 @@ class ToxicityModel:
     base: float  # share of label 1 among training texts without any term
     k: int
     knots: tuple[np.ndarray, np.ndarray] | None = None
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
-
-    def vector(self, text: str, cache: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector ((1 + ln tf) idf) of a whole text over the vocabulary."""
-        words, known = self.words, self.vocabulary
+    finder: ahocorasick.Automaton | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"finder": None}  # built again by each worker
+
+    def term_frequencies(self, text: str) -> dict[int, int]:
+        """How often each term of the vocabulary stands in a whole text: one pass of a keyword
+        automaton, whose hits count where a word begins (and, for whole words, ends)."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            both: dict[str, list[int | None]] = {}
+            for t, i in self.vocabulary.items():
+                both.setdefault(t.rstrip("-"), [None, None])[t.endswith("-")] = i
+            for key, ids in both.items():
+                self.finder.add_word(key, (len(key), *ids))
+            self.finder.make_automaton()
         tf: dict[int, int] = {}
-        for w in _LETTERS.findall(text.lower()):
-            terms = words.get(w)
-            if terms is None:
-                if len(words) >= cache:
-                    words.clear()
-                terms = words[w] = tuple(known[t] for t in word_terms(w) if t in known)
-            for t in terms:
-                tf[t] = tf.get(t, 0) + 1
-        ids = np.array(sorted(tf), np.int64)
-        weights = (1 + np.log(np.array([tf[i] for i in ids], float))) * self.idf[ids]
-        norm = math.sqrt(float(weights @ weights))
-        return ids, weights / norm if norm else weights
+        low = text.lower()
+        if self.vocabulary:
+            for end, (length, whole, start) in self.finder.iter(low):
+                before = end - length
+                if before >= 0 and is_letter(low[before]):
+                    continue
+                i = start if end + 1 < len(low) and is_letter(low[end + 1]) else whole
+                if i is not None:
+                    tf[i] = tf.get(i, 0) + 1
+        return tf
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector ((1 + ln tf) idf) of a whole text over the vocabulary."""
+        tf = self.term_frequencies(text)
+        return unit(np.array(sorted(tf), np.int64), np.array([tf[i] for i in sorted(tf)], float), self.idf)
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Distance-weighted vote of the nearest examples, and those examples."""
@@ -193,11 +229,11 @@ class ToxicityModel:
         w = 1.0 / (0.1 + np.sqrt(np.maximum(0.0, 2 - 2 * cos)))
         return float((w @ self.labels[rows] + 0.5 * self.base) / (w.sum() + 0.5)), rows, cos
 
-    def calibrate(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]]) -> None:
+    def calibrate(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], importance: np.ndarray) -> None:
         """Isotonic map from votes to shares of label 1, each example judged by the others."""
         if len(vectors) >= 20:
             votes = np.array([self.vote(i, w, skip=r)[0] for r, (i, w) in enumerate(vectors)])
-            self.knots = isotonic(votes, self.labels)
+            self.knots = isotonic(votes, self.labels, importance)
 
     def judge(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         ids, weights = self.vector(text)
@@ -215,77 +251,70 @@ def fit(
     text_col: str = "text",
     parts: int = 4,
     rest: int = 2,
+    per_class: int = 6000,
     max_terms: int = 4096,
     max_examples: int = 6000,
     k: int = 15,
 ) -> ToxicityModel:
-    """Learn from labelled rows outside the held-out part.
+    """Learn from a bounded sample of labelled rows outside the held-out part: up to
+    ``per_class`` of each label, weighted back to the labels' shares among all training rows.
 
-    Terms: those whose G-squared with the label, counted over all training rows, exceeds what
-    the largest of as many random terms would reach (2 ln(terms) + 4); the strongest
-    ``max_terms``.  Their document frequencies come from all documents.  Examples: up to
-    ``max_examples`` training rows that hold a term, chosen by a hash of the id.  The votes of
+    Terms: those whose G-squared with the label in the sample exceeds what the largest of as
+    many random terms would reach (2 ln(terms) + 4); the strongest ``max_terms``.  Their
+    document frequencies come from whole texts of all documents.  Examples: up to
+    ``max_examples`` of the sample that hold a term, chosen by a hash of the id.  The votes of
     the examples on each other calibrate the score.
 
-    Defined cases: no training rows: 0.5 for every text; no term found: the share of
-    label 1; a document labelled twice counts once, by its larger label."""
-    known = labels.filter(F.col(label_col).isNotNull() & ~F.coalesce(held_out(id_col, parts, rest), F.lit(True)))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    everything = id_text(docs, id_col, text_col)
-    training = everything.join(known, "id")
-    sizes = training.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    total, positive = int(sizes["n"]), int(sizes["pos"] or 0)
-    if not 0 < positive < total:
-        base = 0.5 if not total else positive / total
-        return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), base, k)
-    counts = cut(term_counts(training, "label"))
+    Defined cases: no training rows: 0.5 for every text; one label only, or no term found: the
+    share of label 1; a document labelled twice counts once, by its larger label."""
+    sample, sizes = labelled_sample(docs, labels, label_col, id_col, text_col, parts, rest, per_class)
+    sample = cut(sample.dropDuplicates(["id"]))
+    had = {int(r["label"]): int(r["n"]) for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, positive = sum(had.values()), had.get(1, 0)
+    everything_n = sum(sizes.values())
+    share = sizes.get(1, 0) / everything_n if everything_n else 0.5
+    if not 0 < positive < rows:
+        return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
+    weight = {y: sizes[y] / had[y] for y in had}  # sampled rows back to all training rows
+    counts = cut(term_counts(sample, "label"))
     least = 2 * math.log(max(2, counts.count())) + 4
-    g2 = association(F.col("n"), F.col("pos"), total, positive)
-    terms = [r["term"] for r in counts.filter("n >= 3").withColumn("g", g2).filter(F.col("g") > least).orderBy(F.desc("g"), "term").limit(max_terms).collect()]
+    g2 = association(F.col("n"), F.col("pos"), rows, positive)
+    strong = counts.filter("n >= 3").withColumn("g", g2).filter(F.col("g") > least)
+    terms = [r["term"] for r in strong.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
     vocabulary = {t: i for i, t in enumerate(sorted(terms))}
 
-    # document frequencies of the vocabulary, from whole texts of all documents
     blank = ToxicityModel(vocabulary, np.ones(len(vocabulary)), BlockMaxIndex.build([], 0), [], np.zeros(0), 0.0, k)
     shared = docs.sparkSession.sparkContext.broadcast(blank)  # max_terms words
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(shared.value.vocabulary), np.int64)
-        n = 0
+        model = shared.value
+        df = np.zeros(len(model.vocabulary) + 1, np.int64)  # the last counts documents
         for b in batches:
             for t in b.column("text"):
-                df[shared.value.vector(t.as_py())[0]] += 1
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.r_[n, df])], names=["t", "n"])
+                df[list(model.term_frequencies(t.as_py()))] += 1
+            df[-1] += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["t", "n"])
 
+    everything = id_text(docs, id_col, text_col)
     df = {r["t"]: r["n"] for r in everything.mapInArrow(frequencies, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    n_docs = df.pop(-1, 0)
+    n_docs = df.get(len(vocabulary), 0)
     idf = np.log((n_docs + 1) / (np.array([df.get(i, 0) for i in range(len(vocabulary))], float) + 1)) + 1
 
-    def example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tf = []
-            for t in b.column("text"):
-                c: Counter = Counter()
-                for w in text_terms(t.as_py()):
-                    if (i := shared.value.vocabulary.get(w)) is not None:
-                        c[i] += 1
-                tf.append(sorted(c.items()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").cast(pa.string()), b.column("label"), pa.array([[i for i, _ in x] for x in tf], pa.list_(pa.int64())), pa.array([[n for _, n in x] for x in tf], pa.list_(pa.int64()))],
-                names=["id", "label", "terms", "tf"],
-            )
-
-    held = cut(training.mapInArrow(example_vectors, "id string, label int, terms array<bigint>, tf array<bigint>").dropDuplicates(["id"]))
-    empty = held.filter(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    base = (int(empty["pos"] or 0) + positive / total) / (int(empty["n"]) + 1)
-    rows = held.filter(F.size("terms") > 0).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()
-    rows.sort(key=lambda r: (r["terms"], r["id"]))  # examples alike share a block, which keeps its bounds tight
-    vectors = []
-    for r in rows:
-        w = (1 + np.log(np.array(r["tf"], float))) * idf[r["terms"]]
-        vectors.append((np.array(r["terms"], np.int64), w / math.sqrt(float(w @ w))))
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), [r["id"] for r in rows], np.array([r["label"] for r in rows], float), base, k)
-    model.calibrate(vectors)
+            tf = [sorted(shared.value.term_frequencies(t.as_py()).items()) for t in b.column("text")]
+            lists = [pa.array([[p[i] for p in x] for x in tf], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), *lists], names=["id", "label", "terms", "tf"])
+
+    held = cut(sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(example_terms, "id string, label int, terms array<bigint>, tf array<bigint>"))
+    empty = {int(r["label"]): int(r["n"]) * weight[int(r["label"])] for r in held.filter(F.size("terms") == 0).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = (empty.get(1, 0.0) + share) / (sum(empty.values()) + 1)
+    examples = held.filter(F.size("terms") > 0).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()
+    examples.sort(key=lambda r: (r["terms"], r["id"]))  # examples alike share a block, which keeps its bounds tight
+    vectors = [unit(np.array(r["terms"], np.int64), np.array(r["tf"], float), idf) for r in examples]
+    ids, ys = [r["id"] for r in examples], np.array([r["label"] for r in examples], float)
+    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), ids, ys, base, k)
+    model.calibrate(vectors, np.array([weight[int(y)] for y in ys]))
     return model
 
 
