@@ -53,6 +53,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a written table in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def ensure_parallelism(df, min_partitions: int | None = None, small_bytes: int = 256 << 20):
     """Spread a small but CPU-heavy input over ``min_partitions`` tasks (default: the default
     parallelism).  Decided from Catalyst's size estimate of the plan (nothing runs): an
