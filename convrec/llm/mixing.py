@@ -15,6 +15,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def length_weight(text: Column, size: Column) -> Column:
+    """A quality weight from the text alone, 0 to 1: the closer the mean length of its words to
+    six characters, the larger."""
+    mean = F.length(text) / F.greatest(size, F.lit(1))
+    return F.coalesce(1.0 / (1.0 + F.abs(F.log(F.greatest(mean, F.lit(0.1)) / 6.0))), F.lit(0.1))
+
+
 def uniform(c: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on the value and the seed only."""
     h = F.conv(F.substring(F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit(seed))), 1, 12), 16, 10)
@@ -90,17 +97,18 @@ def sample_mix(
     targets = targets.withColumn("__full", full).withColumn("__rest", F.col("target") - F.col("__full") * F.col("source_size"))
     targets = targets.withColumnRenamed("source", "__s")
     upto = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    plan = binned.withColumn("__off", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    plan = plan.join(targets, F.col("source").eqNullSafe(F.col("__s")))
-    state = F.when(F.col("__off") >= F.col("__rest"), "out").when(F.col("__off") + F.col("bin_size") <= F.col("__rest"), "in").otherwise("edge")
-    plan = plan.select(
-        F.col("__s"), F.col("__bin").alias("__b"), "__off", "__rest", "__full", state.alias("__state"),
-        F.col("source_size").alias("__size"), F.col("target").alias("__target"),
+    offsets = binned.withColumn("__off", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
+    offsets = offsets.join(targets, F.col("source").eqNullSafe(F.col("__s"))).filter(F.col("__off") < F.col("__rest"))
+    last = offsets.groupBy(F.col("source").alias("__s2")).agg(F.max(F.struct("__bin", "__off")).alias("__edge"))
+    plan = targets.join(last, F.col("__s").eqNullSafe(F.col("__s2")), "left").select(
+        "__s", "__full", "__rest", F.col("source_size").alias("__size"), F.col("target").alias("__target"),
+        F.col("__edge.__bin").alias("__edge"), F.col("__edge.__off").alias("__off"),
     )
-    plan = cut(plan)  # one row per source and key range: the joins below ship this, not documents
-    rows = rows.join(plan, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
-    decided = rows.filter(F.col("__state") != "edge").withColumn("__drawn", F.col("__state") == "in")
-    edge = rows.filter(F.col("__state") == "edge")  # one key range per source
+    plan = cut(plan)  # one row per source: the joins below ship this, not documents
+    rows = rows.join(plan, F.col("__src").eqNullSafe(F.col("__s")))
+    at_edge = F.coalesce(F.col("__bin") == F.col("__edge"), F.lit(False))
+    decided = rows.filter(~at_edge).withColumn("__drawn", F.coalesce(F.col("__bin") < F.col("__edge"), F.lit(False)))
+    edge = rows.filter(at_edge)  # the key range of each source in which its budget ends
     in_bin = Window.partitionBy("__src", "__bin").orderBy("__k", F.col(id_col).asc_nulls_last(), "__n")
     before = F.col("__off") + F.coalesce(F.sum("__n").over(in_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("__before", before)
