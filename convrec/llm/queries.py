@@ -19,6 +19,7 @@ from convrec.llm.html_extract import extract_text
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.nn_descent import nearest_products
 from convrec.llm.simhash import near_duplicates
+from convrec.llm.token_files import store_and_read
 from convrec.llm.url_filter import judge_urls
 
 LLM_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -123,3 +124,9 @@ def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_text(table(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@llm_query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=1)
+    return out.withColumnRenamed("id", "doc_id")
