@@ -14,34 +14,26 @@ from convrec.config import relations_table
 from convrec.functions.text import item_tag, stable_id
 
 
-def group_triples(triples: DataFrame, order_cols: list[str] | None = None, chunk_size: int = 100_000) -> DataFrame:
-    """A8 + N19: triples grouped by head -> ``head_id string, chunk int, triples
-    array<struct<relation_id, tail_id>>`` in ``order_cols`` order (file order when given,
-    else relation_id, tail_id).
-
-    Each head's list is cut into chunks of at most ``chunk_size`` pairs (chunk 0, 1, ...;
-    a head with fewer pairs has one row), so a head holding a third of all triples never
-    becomes one unbounded row or task: positions come from ``rank_within`` (range
-    partitioning splits a hot head), and each chunk is folded on its own."""
+def group_triples(triples: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+    """A8 + N19: triples grouped by head, in long form: ``head_id string, pos, relation_id,
+    tail_id`` with ``pos`` from 1 in ``order_cols`` order (file order when given, else
+    relation_id, tail_id), and ``n``, the head's triples.
+
+    One row per triple whatever the head's size, so a head holding a third of all triples is
+    neither one row nor one task (``rank_within`` splits it by ranges)."""
     from convrec.operators.interactions import rank_within
 
     order = order_cols or ["relation_id", "tail_id"]
     t = triples.withColumn("head_id", F.col("head_id").cast("string"))
-    r = rank_within(t, ["head_id"], order).withColumn("chunk", ((F.col("__pos") - 1) / chunk_size).cast("int"))
-    g = r.groupBy("head_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__pos"), F.col("relation_id"), F.col("tail_id")))).alias("__t")
-    )
-    return g.select(
-        "head_id",
-        "chunk",
-        F.transform("__t", lambda x: F.struct(x["relation_id"].alias("relation_id"), x["tail_id"].alias("tail_id"))).alias("triples"),
-    )
+    r = rank_within(t, ["head_id"], order)
+    return r.select("head_id", F.col("__pos").alias("pos"), "relation_id", "tail_id", F.col("__len").alias("n"))
 
 
 def with_relation_names(triples: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """Relation name per triple; the relation dictionary is a fixed 15-row table, so it is broadcast."""
-    rel = relations if relations is not None else relations_table(triples.sparkSession)
-    return triples.join(F.broadcast(rel), "relation_id", "left")
+    """Relation name per triple.  The library's own relation dictionary has 15 fixed rows and
+    is broadcast; of a table the caller passes in AQE decides by its size."""
+    rel = relations if relations is not None else F.broadcast(relations_table(triples.sparkSession))
+    return triples.join(rel, "relation_id", "left")
 
 
 def user_item_sets(inter: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
@@ -93,7 +85,3 @@ def upsert_concepts(old: DataFrame | None, new: DataFrame) -> DataFrame:
     kept = old.filter(~F.col("concept").contains("@")).join(new.select("concept"), "concept", "left_anti")
     return kept.unionByName(new)
 
-
-def kg_entity_table(raw: DataFrame) -> DataFrame:
-    """KG entity rows with ``ent`` = a copy of ``name``."""
-    return raw.withColumn("ent", F.col("name"))

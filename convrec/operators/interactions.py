@@ -7,13 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convrec.session import ensure_checkpoint_dir, ensure_parallelism
+from convrec.session import ensure_checkpoint_dir
 
 
 def filter_titled(meta: DataFrame, title_col: str = "title", min_len: int = 2) -> DataFrame:
@@ -22,12 +19,10 @@ def filter_titled(meta: DataFrame, title_col: str = "title", min_len: int = 2) -
 
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
-    """Rows of ``left`` whose key exists in ``right`` (never collects keys)."""
-    right_key = right_key or left_key
-    keys = right.select(F.col(right_key).alias("__k")).distinct() if right_key != left_key else right.select(left_key)
-    if right_key != left_key:
-        return left.join(keys, F.col(left_key) == F.col("__k"), "left_semi")
-    return left.join(keys, left_key, "left_semi").select(*left.columns)
+    """Rows of ``left`` whose key exists in ``right`` (never collects keys).  Only the
+    distinct keys of ``right`` are shuffled, whatever its rows."""
+    keys = right.select(F.col(right_key or left_key).alias("__k")).distinct()
+    return left.join(keys, F.col(left_key) == F.col("__k"), "left_semi")
 
 
 @dataclass
@@ -37,74 +32,65 @@ class KCoreResult:
     rows: int
 
 
-def _observed_rows(obs: Observation, df: DataFrame) -> int:
-    """Row count observed by the job that produced ``df``; when the optimizer removed the
-    observed node (AQE replaces a join with an empty keep-set by an empty relation) the
-    count is taken from ``df`` itself."""
-    try:
-        v = obs.get.get("rows")
-    except Exception:  # noqa: BLE001 - no metrics were reported for the removed node
-        v = None
-    return int(v) if v is not None else df.count()
-
-
 def k_core(
     ratings: DataFrame,
     k: int,
     user_col: str = "user_id",
     item_col: str = "item_id",
-    max_rounds: int = 200,
+    max_rounds: int | None = None,
 ) -> KCoreResult:
     """A1: iterated k-core of an interaction log.
 
-    Each round counts rows (not distinct pairs) per user and per item on the same
-    input (A2) and keeps rows whose user *and* item reach ``k``; rounds repeat until
-    a round removes nothing, which is exactly when both minima reach ``k`` (A3).
-
-    One job per round: the two counts are partial (map-side) aggregates, so one
-    small row per key and task crosses the shuffle whatever the skew (a user with
-    a third of all rows costs one partial row per task); the keep-sets are applied
-    with semi joins that AQE turns into broadcast joins after measuring the
-    keep-set's runtime size against the broadcast threshold, and otherwise runs as
-    shuffle joins with skew splitting.  The round's output row count is observed
-    inside the same job (``DataFrame.observe``), and its output is cut from its
-    lineage with a reliable ``checkpoint`` into the shared ``spark.checkpoint.dir``,
-    so a lost executor recomputes at most one round.  Only one number per round
-    reaches the driver; ids never do.
-
-    An input where nobody reaches ``k`` gives an empty DataFrame (no error);
-    hitting ``max_rounds`` raises instead of returning a partial core.
-    """
+    Users and items below ``k`` rows are taken out together until none is left, which is
+    when both minima reach ``k`` (A3).  Rows are counted once (A2, partial aggregates: a
+    hot user costs one row per task); after that a round only looks for the rows of the keys
+    that have just fallen below ``k``, and subtracts them from the counts of their other
+    ends.  The log itself is written twice, as the input and as the core, not once a round:
+    a round reads it against the fallen keys (few, and fewer each round; AQE broadcasts
+    them after measuring) and writes the table of counts.  One number a round reaches
+    the driver.
+
+    Rows without user or item belong to no core.  An input where nobody reaches ``k`` gives an
+    empty DataFrame; a ``max_rounds`` that is reached raises instead of returning a
+    partial core."""
     ensure_checkpoint_dir(ratings.sparkSession)
-    cols = ratings.columns
-    cur = ensure_parallelism(ratings)  # a small input read as a few splits is spread over all cores
-    want = ratings.sparkSession.sparkContext.defaultParallelism
-    rounds = 0
-    while True:
-        obs_in = Observation(f"kcore-in-{uuid.uuid4().hex}")
-        users = cur.groupBy(user_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(user_col)
-        items = cur.groupBy(item_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k).select(item_col)
-        obs = Observation(f"kcore-{uuid.uuid4().hex}")
-        nxt = (
-            cur.observe(obs_in, F.count(F.lit(1)).alias("rows"))  # rows entering the round
-            .join(users, user_col, "left_semi")
-            .join(items, item_col, "left_semi")
-            .select(*cols)
-            .observe(obs, F.count(F.lit(1)).alias("rows"))
-            .checkpoint(eager=True)
+    base = ratings.filter(F.col(user_col).isNotNull() & F.col(item_col).isNotNull()).checkpoint()
+
+    def per_key(rows: DataFrame, n: str) -> DataFrame:
+        """Rows per user and per item in one aggregate: ``(u, i, n)``, one of u and i null."""
+        ends = F.array(
+            F.struct(F.col(user_col).alias("u"), F.lit(None).cast(base.schema[item_col].dataType).alias("i")),
+            F.struct(F.lit(None).cast(base.schema[user_col].dataType).alias("u"), F.col(item_col).alias("i")),
         )
-        n = _observed_rows(obs, nxt)
-        n_in = _observed_rows(obs_in, cur)
-        if rounds == 0 and nxt.rdd.getNumPartitions() < want:
-            # few partitions only happen for a small log (a large one is read as many splits):
-            # spread it once so the following rounds use every core
-            nxt = nxt.repartition(want).checkpoint(eager=True)
-        if n == n_in:  # this round removed nothing: the input already was the core
-            return KCoreResult(core=nxt, rounds=rounds, rows=n)
+        return rows.select(F.explode(ends).alias("e")).groupBy("e.u", "e.i").agg(F.count(F.lit(1)).alias(n))
+
+    counts = per_key(base, "n").checkpoint()
+    gone: DataFrame | None = None  # keys taken out in earlier rounds
+    rounds = 0
+    while (fallen := counts.filter(F.col("n") < k)).count():
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"k-core not reached within {max_rounds} rounds")
         rounds += 1
-        if rounds >= max_rounds:
-            raise RuntimeError(f"k-core did not converge within {max_rounds} rounds")
-        cur = nxt
+        low_u = fallen.filter(F.col("u").isNotNull()).select(F.col("u").alias(user_col), F.lit(True).alias("__lu"))
+        low_i = fallen.filter(F.col("i").isNotNull()).select(F.col("i").alias(item_col), F.lit(True).alias("__li"))
+        leaving = base.select(user_col, item_col).join(low_u, user_col, "left").join(low_i, item_col, "left")
+        leaving = leaving.filter(F.col("__lu") | F.col("__li"))
+        if gone is not None:
+            leaving = _without(leaving, gone, user_col, item_col)
+        minus = per_key(leaving, "m").withColumnsRenamed({"u": "__u", "i": "__i"})
+        same = F.col("u").eqNullSafe(F.col("__u")) & F.col("i").eqNullSafe(F.col("__i"))
+        kept = counts.filter(F.col("n") >= k).join(minus, same, "left")
+        gone = fallen.select("u", "i") if gone is None else gone.unionByName(fallen.select("u", "i"))
+        counts = kept.select("u", "i", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).checkpoint()
+    rows = counts.filter(F.col("u").isNotNull()).agg(F.sum("n").alias("n")).first()["n"]
+    core = base if gone is None else _without(base, gone, user_col, item_col).select(*ratings.columns).checkpoint()
+    return KCoreResult(core=core, rounds=rounds, rows=int(rows or 0))
+
+
+def _without(rows: DataFrame, gone: DataFrame, user_col: str, item_col: str) -> DataFrame:
+    users = gone.filter(F.col("u").isNotNull()).select(F.col("u").alias(user_col))
+    items = gone.filter(F.col("i").isNotNull()).select(F.col("i").alias(item_col))
+    return rows.join(users, user_col, "left_anti").join(items, item_col, "left_anti")
 
 
 def core_stats(core: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
@@ -150,26 +136,33 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], num
 
     The rows are range-partitioned on ``group + order`` (Spark samples the key
     distribution, so a group holding a third of all rows is cut into many
-    partitions, each a contiguous slice of the group's order); rows are ranked
-    inside ``(group, partition)``; each slice's offset is the prefix sum of the
-    slice sizes of the same group, a table with one row per group and partition."""
+    partitions, each a contiguous slice of the group's order) and ranked inside
+    ``(group, partition)``.  This ranking is written once (a reliable checkpoint): both
+    branches below read the very same slices.  Each slice's offset is the prefix sum of
+    the slice sizes of the same group, a table with one row per group and partition; every
+    row must find its slice, else the job fails."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(parts, *[F.col(c).asc() for c in group_cols + order_cols]).withColumn(
         "__part", F.spark_partition_id()
     )
     w = Window.partitionBy(*group_cols, "__part")
     r = r.withColumn("__lr", F.row_number().over(w.orderBy(*order_cols))).withColumn("__pc", F.count(F.lit(1)).over(w))
-    slices = r.select(*group_cols, "__part", "__pc").distinct()
+    r = r.checkpoint()
+    slices = r.groupBy(*group_cols, "__part").agg(F.max("__pc").alias("__pc"))
     wo = Window.partitionBy(*group_cols).orderBy("__part")
     offsets = slices.withColumn(
         "__off", F.coalesce(F.sum("__pc").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("__len", F.sum("__pc").over(Window.partitionBy(*group_cols)))
-    return (
-        r.join(offsets.select(*group_cols, "__part", "__off", "__len"), [*group_cols, "__part"])
-        .withColumn("__pos", F.col("__off") + F.col("__lr"))
-        .drop("__part", "__lr", "__pc", "__off")
+    offsets = offsets.select(*[F.col(c).alias(f"__g{n}") for n, c in enumerate(group_cols)], F.col("__part").alias("__p"), "__off", "__len")
+    on = F.col("__part") == F.col("__p")
+    for n, c in enumerate(group_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"__g{n}"))
+    found = F.when(F.col("__off").isNotNull(), F.col("__off") + F.col("__lr")).otherwise(
+        F.raise_error(F.lit("a row's slice is missing")).cast("bigint")
     )
+    return r.join(offsets, on, "left").withColumn("__pos", found).select(*df.columns, "__pos", "__len")
 
 
 def history_positions(

@@ -36,7 +36,7 @@ from pyspark.sql import Window
 from convrec.config import ENTITY_STOP_WORDS
 from convrec.functions.ngrams import char_ngrams, char_ngrams_of_normalized, normalize_for_ngrams, whole_word_pattern, word_runs
 from convrec.functions.text import compute_then_filter, usplit, ustrip
-from convrec.session import ensure_checkpoint_dir, ensure_parallelism
+from convrec.session import ensure_checkpoint_dir, shuffle_partitions
 
 EPS = 1e-9
 
@@ -71,7 +71,7 @@ def detect_mentions(
     threshold: float = 0.7,
 ) -> DataFrame:
     """T9 + T11 (via J10 candidates): one row per (key, entity, score) with a mention."""
-    t = ensure_parallelism(texts.select(*key_cols, F.col(text_col).alias("__text"))).filter(
+    t = texts.select(*key_cols, F.col(text_col).alias("__text")).repartition(shuffle_partitions(texts.sparkSession), *key_cols).filter(
         F.col("__text").isNotNull() & (ustrip("__text") != "")
     )
     t = (
@@ -104,9 +104,9 @@ def detect_mentions(
     # entities without word characters: shared whitespace word join (J10 as written)
     odd = ents.filter(F.size("e_runs") == 0).select("entity", F.explode("e_words").alias("w"))
     odd_c = t.select(*key_cols, F.explode("t_words").alias("w")).join(odd, "w").select(*key_cols, "entity")
-    # fold candidates per text so the text itself crosses the shuffle once, not once per candidate
-    per_text = cand.unionByName(odd_c).groupBy(*key_cols).agg(F.collect_set("entity").alias("__ents"))
-    x = t.join(per_text, key_cols).select(*key_cols, "tl", "t_words", "t_runs", F.explode("__ents").alias("entity"))
+    # only keys and entities are shuffled to the texts, which stay where they are (one text's
+    # candidates are rows, never a collected set)
+    x = t.join(cand.unionByName(odd_c).distinct(), key_cols).select(*key_cols, "tl", "t_words", "t_runs", "entity")
     x = compute_then_filter(
         x,
         {"e_words": F.array_distinct(usplit("entity")), "e_runs": word_runs("entity")},

@@ -18,16 +18,11 @@ UNROLL = 24
 @register(
     "a8_n19_grouped_triples",
     sql.with_(sql.KG)
-    + "SELECT head_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(relation_id AS VARCHAR) || ':' || tail_id, ',' ORDER BY relation_id, tail_id) AS triples"
-    " FROM kg GROUP BY head_id",
+    + "SELECT CAST(head_id AS VARCHAR) AS head_id, row_number() OVER (PARTITION BY head_id ORDER BY relation_id, tail_id) AS pos,"
+    " relation_id, tail_id, count(*) OVER (PARTITION BY head_id) AS n FROM kg",
 )
 def a8_triples(spark, sf_dir):
-    t = g.group_triples(fx.kg_triples(spark, sf_dir))
-    return t.select(
-        "head_id",
-        F.size("triples").cast("bigint").alias("n"),
-        F.array_join(F.transform("triples", lambda x: F.concat(x["relation_id"].cast("string"), F.lit(":"), x["tail_id"])), ",").alias("triples"),
-    )
+    return g.group_triples(fx.kg_triples(spark, sf_dir))
 
 
 @register(

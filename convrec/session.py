@@ -58,19 +58,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_parallelism(df, min_partitions: int | None = None, small_bytes: int = 256 << 20):
-    """Spread a small but CPU-heavy input over ``min_partitions`` tasks (default: the default
-    parallelism).  Decided from Catalyst's size estimate of the plan (nothing runs): an
-    input estimated below ``small_bytes`` may arrive as one or two file splits and is
-    round-robin repartitioned (a cheap shuffle of little data); a large input already has
-    many partitions and is returned unchanged, so this never adds a shuffle at scale."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: leave the input as it is
-        return df
-    return df.repartition(want) if size < small_bytes else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

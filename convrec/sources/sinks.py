@@ -31,12 +31,12 @@ def write_sft(df: DataFrame, path: str) -> None:
     df.select("text").write.mode("overwrite").json(path)
 
 
-def split_base_name(domain: str, model: str = "llama3.1", special_token: str = SPECIAL_TOKEN) -> str:
+def split_base_name(domain: str, model: str, special_token: str = SPECIAL_TOKEN) -> str:
     """Base name = domain + model + cleaned special token."""
     return f"{domain}_{model}_{file_label(special_token)}"
 
 
-def write_splits(df: DataFrame, base: str, domain: str, model: str = "llama3.1", special_token: str = SPECIAL_TOKEN) -> str:
+def write_splits(df: DataFrame, base: str, domain: str, model: str, special_token: str = SPECIAL_TOKEN) -> str:
     """K4: train / valid / test rows under one folder, one partition per split."""
     path = f"{base.rstrip('/')}/{split_base_name(domain, model, special_token)}"
     df.select("text", "target", "named_items", "scenario", "split").write.mode("overwrite").partitionBy("split").json(path)

@@ -21,8 +21,9 @@ def test_entry_runs(spark):
 def test_every_query_has_a_name_prefix_and_most_have_oracles():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    assert len(orc) >= len(qs) - 4
-    for name in qs:
+    own = {q for q in qs if q != "pipeline" and not q.startswith("op")}
+    assert len(own - set(orc)) <= 1
+    for name in own:
         assert name[0] in "afjknptuw" and "_" in name
 
 
@@ -60,7 +61,7 @@ def test_sources_and_sinks_roundtrip(spark):
         [("t1", ["<id_1>"], ["<id_1>"], "Cold-Start Browser", "train"), ("t2", ["<id_2>"], [], "History-Only Explorer", "test")],
         "text string, target array<string>, named_items array<string>, scenario string, split string",
     )
-    path = K.write_splits(rows, base, "Movies_and_TV")
+    path = K.write_splits(rows, base, "Movies_and_TV", "llama3.1")
     assert path.endswith("Movies_and_TV_llama3.1_reserved_special_token_10")
     back = R.read_splits(spark, path)
     assert sorted((r["text"], r["split"]) for r in back.collect()) == [("t1", "train"), ("t2", "test")]

@@ -1,44 +1,12 @@
-"""Entity mentions (T9-T12) and fuzzy title replacement (T13) against brute-force Python
-implementations of the same rules on small fixtures."""
-
-import difflib
-import re
+"""Entity mentions (T9-T12) and fuzzy title replacement (T13): expected rows written by hand,
+and properties that hold on random input."""
 
+import random
 
+from convrec.functions.text import usplit
 from convrec.operators.fuzzy_titles import replace_titles_with_ids
 from convrec.operators.mentions import detect_mentions, dialogue_mentions, entity_set
 
-
-def brute_mentions(texts, entities, n=3, t=0.7):
-    def grams(s):
-        s = " ".join(re.sub(r"[^\w\s]", " ", s.lower()).split())
-        return {s[i : i + n] for i in range(len(s) - n + 1)}
-
-    out = {}
-    for tid, text in texts:
-        if not text or not text.strip():
-            continue
-        tl = text.lower()
-        words = set(tl.split())
-        for e in entities:
-            if set(e.split()).isdisjoint(words):
-                continue
-            if re.search(r"\b" + re.escape(e) + r"\b", tl, re.IGNORECASE):
-                out[(tid, e)] = 1.0
-                continue
-            eg = grams(e)
-            if len(eg) < 2:
-                continue
-            tg = grams(tl)
-            i = len(tg & eg)
-            if i < t * len(eg):
-                continue
-            u = len(tg | eg)
-            if u and i / u >= t:
-                out[(tid, e)] = round(i / u, 9)
-    return out
-
-
 TEXTS = [
     (1, "I watched The Matrix, and Star Wars!"),
     (2, "the matrix"),
@@ -56,13 +24,25 @@ TEXTS = [
 ENTITIES = ["The Matrix", "Star Wars", "c++", "Amélie", "matrix", "by", "of the", "!!", "Star Wars: Episode IV", "b", "the matrix reloaded"]
 
 
-def test_mentions_match_brute_force(spark):
-    ents_df = entity_set(spark.createDataFrame([(e,) for e in ENTITIES], "name string"))
-    ents = [r["entity"] for r in ents_df.collect()]
-    assert "by" not in ents
+def test_mentions_golden(spark):
+    ents = entity_set(spark.createDataFrame([(e,) for e in ENTITIES], "name string"))
+    assert "by" not in [r["entity"] for r in ents.collect()]
     texts = spark.createDataFrame(TEXTS, "text_id int, text string")
-    got = {(r["text_id"], r["entity"]): round(r["score"], 9) for r in detect_mentions(texts, ents_df, key_cols=["text_id"]).collect()}
-    assert got == brute_mentions(TEXTS, ents)
+    got = {(r["text_id"], r["entity"]): r["score"] for r in detect_mentions(texts, ents, key_cols=["text_id"]).collect()}
+    assert got == {
+        (1, "star wars"): 1.0,
+        (1, "the matrix"): 1.0,
+        (2, "matrix"): 1.0,
+        (2, "the matrix"): 1.0,
+        (3, "star wars"): 6 / 8,
+        (6, "amélie"): 1.0,
+        (7, "matrix"): 1.0,
+        (7, "the matrix reloaded"): 13 / 17,
+        (8, "the matrix"): 8 / 9,
+        (9, "b"): 1.0,
+        (10, "star wars"): 1.0,
+        (10, "star wars: episode iv"): 1.0,
+    }
 
 
 def test_mentions_plan_has_no_cartesian(spark):
@@ -84,85 +64,70 @@ def test_dialogue_mentions_nested(spark):
     assert r[2][0]["mentions"] == []
 
 
-def brute_t13(resp, items, passes=5, span=50):
-    for _ in range(passes):
-        for key, title in items:
-            title = re.sub(r"[\(\[].*?[\)\]]", "", title)
-            if not title:
-                continue
-            for blk in difflib.SequenceMatcher(None, resp, title).get_matching_blocks():
-                if blk.size / len(title) > 0.5:
-                    tag = f"<id_{key}>"
-                    s0 = max(0, blk.a - span - len(tag))
-                    e0 = blk.a + blk.size + span + len(tag)
-                    before, win, after = resp[:s0], resp[s0:e0], resp[e0:]
-                    ttr = resp[blk.a : blk.a + blk.size].strip()
-                    if not ttr:
-                        continue
-                    if tag in win:
-                        win = re.sub(r"\(?" + re.escape(tag) + r"\)?", "", win).strip()
-                        resp = before + win + after
-                    win = win.replace(ttr, tag).strip()
-                    resp = before + win + after
-    return resp
-
-
-def test_fuzzy_title_replacement_matches_difflib(spark):
-    titles = [("a1", "The Matrix (1999) [DVD]"), ("b2", "Star Wars"), ("c3", "Amélie"), ("d4", "(only brackets)"), ("e5", "Toy Story 2")]
+def test_mentions_properties(spark):
+    rnd = random.Random(5)
+    vocab = ["red", "blue", "ring", "bolt", "the", "of", "red,", "(blue", "rin", "bol", "é", "x"]
+    names = sorted({" ".join(rnd.choice(vocab[:6]) for _ in range(rnd.randint(1, 3))) for _ in range(25)})
+    texts = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 8)))) for i in range(150)]
+    ents = entity_set(spark.createDataFrame([(e,) for e in names], "name string"))
+    tdf = spark.createDataFrame(texts, "text_id int, text string")
+    found = detect_mentions(tdf, ents, key_cols=["text_id"])
+    got = {(r["text_id"], r["entity"]): r["score"] for r in found.collect()}
+    shares = found.join(tdf, "text_id").selectExpr("text_id", "entity", "text").withColumn("w", usplit("text")).withColumn("e", usplit("entity"))
+    assert shares.selectExpr("min(arrays_overlap(w, e)) ok").first()["ok"]  # every scored pair shares a word
+    assert got and all(0.7 <= v <= 1.0 for v in got.values())
+    for i, t in texts:  # an entity that is a text's own run of plain words is found with score 1
+        for e in names:
+            if f" {e} " in f" {t} " and (i, e) not in got:
+                assert e in ("the", "of"), (t, e)
+            if f" {e} " in f" {t} " and (i, e) in got:
+                assert got[i, e] == 1.0
+
+
+TITLES = [("a1", "The Matrix (1999) [DVD]"), ("b2", "Star Wars"), ("c3", "Amélie"), ("d4", "(only brackets)"), ("e5", "Toy Story 2")]
+
+
+def _cleaned(spark, rows, titles=TITLES, **kw):
+    tdf = spark.createDataFrame(titles, "item_id string, title string")
+    df = spark.createDataFrame(rows, "rid int, response string, history_items array<string>")
+    return {(r["rid"], r["response"]): r["response_clean"] for r in replace_titles_with_ids(df, tdf, row_key="rid", **kw).collect()}
+
+
+def test_fuzzy_title_replacement_golden(spark):
+    far = "x" * 120
     rows = [
         (1, "You might enjoy The Matrix. Also The Matrix again, and the Matrix Reloaded.", ["a1", "b2"]),
         (2, "Star Wars (<id_b2>) is great; Star Wars also", ["b2"]),
         (3, "Try Star Warz or Stor Wars today", ["b2", "a1"]),
         (4, "Amélie!", ["c3", "d4"]),
         (5, "nothing relevant here", ["e5"]),
-        (6, "Toy Story is fun but Toy Story 2 is better. " + "x" * 120 + " Toy Story 2 again", ["e5"]),
+        (6, f"Toy Story is fun but Toy Story 2 is better. {far} Toy Story 2 again", ["e5"]),
         (7, "no history", None),
     ]
-    tdf = spark.createDataFrame(titles, "item_id string, title string")
-    df = spark.createDataFrame(rows, "rid int, response string, history_items array<string>")
-    got = {r["rid"]: r["response_clean"] for r in replace_titles_with_ids(df, tdf, row_key="rid").collect()}
-    tmap = dict(titles)
-    for rid, resp, items in rows:
-        want = brute_t13(resp, [(k, tmap[k]) for k in dict.fromkeys(items or []) if k in tmap])
-        assert got[rid] == want, (rid, got[rid], want)
+    want = [
+        "You might enjoy . Also  again, and t<id_a1> Reloaded.",
+        "<id_b2>  is great; <id_b2> also",
+        "Try z or Sto<id_b2> today",
+        "<id_c3>!",
+        "nothing relevant here",
+        f"<id_e5> is fun but  is better. {far} <id_e5> again",
+        "no history",
+    ]
+    assert _cleaned(spark, rows) == {(r, t): w for (r, t, _), w in zip(rows, want)}
+
 
+def test_fuzzy_titles_one_user_two_responses_and_repeated_titles(spark):
+    rows = [(1, "I like Star Wars", ["b2"]), (1, "I like Amélie", ["c3"])]
+    got = _cleaned(spark, rows, TITLES + [("b2", "Star Wars again")])
+    assert got == {(1, "I like Star Wars"): "I like <id_b2>", (1, "I like Amélie"): "I like <id_c3>"}
 
-def test_fuzzy_title_replacement_random(spark):
-    import random
 
+def test_fuzzy_titles_leave_far_text_alone(spark):
     rnd = random.Random(3)
-    words = ["alpha", "beta", "gamma", "delta", "omega", "x", "(y)", "[z]", " ", "  ", ",", "é"]
-    titles = [(f"k{i}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))) for i in range(6)]
+    words = ["alpha", "beta", "gamma", "delta", "omega", "(y)", ","]
     rows = []
-    for rid in range(60):
-        parts = []
-        for _ in range(rnd.randint(3, 25)):
-            c = rnd.random()
-            if c < 0.3:
-                parts.append(rnd.choice(titles)[1])
-            elif c < 0.4:
-                parts.append(f"<id_{rnd.choice(titles)[0]}>")
-            else:
-                parts.append(rnd.choice(words))
-        rows.append((rid, " ".join(parts), [rnd.choice(titles)[0] for _ in range(rnd.randint(1, 4))]))
-    tdf = spark.createDataFrame(titles, "item_id string, title string")
-    df = spark.createDataFrame(rows, "rid int, response string, history_items array<string>")
-    got = {r["rid"]: r["response_clean"] for r in replace_titles_with_ids(df, tdf, row_key="rid", span=10).collect()}
-    tmap = dict(titles)
-    for rid, resp, items in rows:
-        want = brute_t13(resp, [(k, tmap[k]) for k in dict.fromkeys(items)], span=10)
-        assert got[rid] == want, (rid, resp, got[rid], want)
-
-
-def test_mentions_random(spark):
-    import random
-
-    rnd = random.Random(5)
-    vocab = ["red", "blue", "ring", "bolt", "the", "of", "red,", "(blue", "rin", "bol", "é", "x"]
-    ents = sorted({" ".join(rnd.choice(vocab[:6]) for _ in range(rnd.randint(1, 3))) for _ in range(25)})
-    texts = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 8)))) for i in range(150)]
-    ents_df = entity_set(spark.createDataFrame([(e,) for e in ents], "name string"))
-    ent_list = [r["entity"] for r in ents_df.collect()]
-    tdf = spark.createDataFrame(texts, "text_id int, text string")
-    got = {(r["text_id"], r["entity"]): round(r["score"], 9) for r in detect_mentions(tdf, ents_df, key_cols=["text_id"]).collect()}
-    assert got == brute_mentions(texts, ent_list)
+    for rid in range(40):
+        tail = " ".join(rnd.choice(words) for _ in range(5))
+        rows.append((rid, "Star Wars " + "-" * 90 + " " + tail, ["b2"]))
+    for (_, before), after in _cleaned(spark, rows, span=10).items():
+        assert after.startswith("<id_b2>") and after.endswith(before[100:])

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from convrec import config as C
 from convrec.config import SPECIAL_TOKEN
 from convrec.operators import dialogue as dl
 from convrec.operators import graph as g
@@ -14,29 +15,37 @@ from convrec.operators.catalog import build_catalogue
 from convrec.operators.split import check_ratios, random_split, stratified_split
 
 
-def brute_kcore(rows, k):
-    rows = list(rows)
-    while rows:
-        u = Counter(r[0] for r in rows)
-        i = Counter(r[1] for r in rows)
-        if min(u.values()) >= k and min(i.values()) >= k:
-            break
-        rows = [r for r in rows if u[r[0]] >= k and i[r[1]] >= k]
-    return sorted(rows)
+def test_kcore_golden(spark):
+    # users 1, 2 and items a, b support each other; 3 falls with c, then d with 3
+    rows = [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "d"), (1, "d")]
+    res = ops.k_core(spark.createDataFrame(rows, "user_id int, item_id string"), 2)
+    assert sorted(map(tuple, res.core.collect())) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    assert res.rows == 4
 
 
-def test_kcore_matches_brute_force(spark):
+def test_kcore_is_a_maximal_core(spark):
     rnd = random.Random(7)
-    rows = [(rnd.randint(0, 30), rnd.randint(0, 20), n) for n in range(600)]
+    rows = [(rnd.randint(0, 30), rnd.randint(0, 20), n) for n in range(600)] + [(None, 1, 0), (1, None, 0)]
     df = spark.createDataFrame(rows, "user_id int, item_id int, n int")
-    for k in (3, 8, 15, 40):
+    before = None
+    for k in (3, 8, 15, 18, 40):
         res = ops.k_core(df, k)
-        got = sorted(tuple(r) for r in res.core.collect())
-        assert got == brute_kcore(rows, k), k
+        got = {tuple(r) for r in res.core.collect()}
         assert res.rows == len(got)
-        if got:  # maximal and stable: re-running removes nothing
-            again = ops.k_core(res.core, k)
-            assert again.rounds == 0 and again.rows == len(got)
+        for at in (0, 1):  # all counts reach k
+            assert all(v >= k for v in Counter(r[at] for r in got).values())
+        assert before is None or got <= before  # cores are nested
+        if got:  # a core is its own core; with any part of the rest it still is
+            assert ops.k_core(res.core, k).rounds == 0
+            mixed = res.core.unionByName(df.filter(F.col("n") % 2 == 0)).distinct()
+            assert got <= {tuple(r) for r in ops.k_core(mixed, k).core.collect()}
+        before = got
+
+
+def test_kcore_round_limit(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "user_id int, item_id int")
+    with pytest.raises(RuntimeError):
+        ops.k_core(df, 2, max_rounds=1)
 
 
 def test_kcore_empty(spark):
@@ -162,15 +171,84 @@ def test_entity_mapping_items_win(spark):
 
 def test_group_triples(spark):
     t = spark.createDataFrame([("1", 2, "b"), ("1", 0, "a"), ("2", 1, "c")], "head_id string, relation_id int, tail_id string")
-    got = {r["head_id"]: [(x["relation_id"], x["tail_id"]) for x in r["triples"]] for r in g.group_triples(t).collect()}
-    assert got == {"1": [(0, "a"), (2, "b")], "2": [(1, "c")]}
+    got = sorted(tuple(r) for r in g.group_triples(t).collect())
+    assert got == [("1", 1, 0, "a", 2), ("1", 2, 2, "b", 2), ("2", 1, 1, "c", 1)]
 
 
-def test_group_triples_chunks_hot_head(spark):
-    rows = [("h", i % 3, f"t{i:04d}") for i in range(250)] + [("x", 0, "a")]
+def test_group_triples_hot_head(spark):
+    rows = [("h", i % 3, f"t{i:04d}") for i in range(2500)] + [("x", 0, "a")]
     t = spark.createDataFrame(rows, "head_id string, relation_id int, tail_id string")
-    out = g.group_triples(t, chunk_size=100).collect()
-    hot = sorted((r["chunk"], r["triples"]) for r in out if r["head_id"] == "h")
-    assert [c for c, _ in hot] == [0, 1, 2] and [len(x) for _, x in hot] == [100, 100, 50]
-    flat = [(p["relation_id"], p["tail_id"]) for _, x in hot for p in x]
-    assert flat == sorted((r, tl) for _, r, tl in rows[:250])
+    hot = sorted((r["pos"], r["relation_id"], r["tail_id"]) for r in g.group_triples(t).filter("head_id = 'h'").collect())
+    assert [p for p, _, _ in hot] == list(range(1, 2501))
+    assert [(r, tl) for _, r, tl in hot] == sorted((r, tl) for _, r, tl in rows[:2500])
+
+
+def test_rank_within_keeps_every_row_and_column(spark):
+    # 400,000 rows over 16 partitions, a user with a third of them, a column beyond group and order
+    n = 400_000
+    rows = spark.range(0, n, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.xxhash64("id") % 500).alias("user_id"),
+        (F.xxhash64("id", F.lit(1)) % 1_000_000).alias("ts"),
+        F.col("id").alias("row"),
+        F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("text"),
+    )
+    from pyspark.sql import Window
+
+    out = ops.rank_within(rows, ["user_id"], ["ts", "row"])
+    want = rows.withColumn("want", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "row")))
+    both = out.join(want.select("row", "want", F.col("text").alias("t2")), "row")
+    r = both.agg(F.count("*").alias("n"), F.sum((F.col("__pos") != F.col("want")).cast("int")).alias("bad"), F.sum((F.col("text") != F.col("t2")).cast("int")).alias("bad_text")).first()
+    assert out.count() == n and r["n"] == n and r["bad"] == 0 and r["bad_text"] == 0
+
+
+def test_semi_join_ships_distinct_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    right = spark.createDataFrame([(1,), (1,), (3,)], "k int")
+    out = ops.semi_join(left, right, "k")
+    assert [tuple(r) for r in out.collect()] == [(1, "a")]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filter_report_counts_a_step_that_keeps_nothing(spark):
+    from convrec.operators.report import FilterReport
+
+    rep = FilterReport()
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    out = rep.step(df, lambda d: ops.semi_join(d, spark.createDataFrame([], "k int"), "k"), "none")
+    assert out.count() == 0
+    assert [tuple(r) for r in rep.frame(spark).collect()] == [("none", 2, 0, 2, 1.0)]
+
+
+def test_prompt_prints_a_repeated_catalogue_id_once(spark):
+    from convrec.operators.prompts import build_prompts
+
+    users = spark.createDataFrame(
+        [(1, "s", [(5.0, "i1")], (4.0, "i2"))],
+        "user_id int, scenario string, sampled array<struct<rating:double,item_id:string>>, target struct<rating:double,item_id:string>",
+    )
+    cat = spark.createDataFrame([("i1", "A one"), ("i1", "A two"), ("i2", "B")], "parent_asin string, Title string")
+    text = ("Collection", "Overview", "Visual Caption")
+    others = {c for c, _ in C.FEATURE_COLUMNS.values()} - {"Title"}
+    cat = cat.withColumns({c: F.lit("") if c in text else F.array().cast("array<string>") for c in others})
+    sc = spark.createDataFrame([("s", [], [])], "scenario string, history array<string>, target array<string>")
+    p = build_prompts(users, cat, sc).first()["prompt"]
+    assert p.count("<id_i1>") == 1 and "A one" in p and "A two" not in p
+
+
+def test_literal_with_escaped_backslash(spark):
+    from pyspark.sql import types as T
+
+    from convrec.functions.literals import parse_literal
+
+    names = ["a\\x41b", "A", "q\\\\x41", "caf\xe9"]
+    rows = [(repr([n]),) for n in names] + [("['\\x41\\x42']",)]
+    got = spark.createDataFrame(rows, "s string").select(parse_literal("s", T.ArrayType(T.StringType())).alias("v")).collect()
+    assert [r["v"][0] for r in got] == [*names, "AB"]
+
+
+def test_only_newline_ends_a_line(spark):
+    from convrec.functions.text import clean_title
+
+    rows = [("A (b\rc) d",), ("A (b\u2028c) d",), ("A (b\nc) d",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(clean_title("t")).collect()]
+    assert got == ["A  d", "A  d", "A (b\nc) d"]
