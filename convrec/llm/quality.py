@@ -114,6 +114,8 @@ def train(
     """Stochastic gradient descent on the log loss of softmax(W mean(vectors)).  ``texts``:
     per text its distinct buckets and their counts.  Steps have per-bucket Adagrad sizes; few
     texts are gone through more often, for about ``steps`` steps (60 epochs at most)."""
+    if not texts:
+        return SubwordModel(np.zeros(1 << log_buckets, np.float32), 0.0, sizes, log_buckets)
     epochs = max(epochs, min(60, steps // max(1, len(texts))))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << log_buckets, dim)).astype(np.float32)
