@@ -251,24 +251,27 @@ def fit(
     text_col: str = "text",
     parts: int = 4,
     rest: int = 2,
-    per_class: int = 6000,
+    per_class: int = 3000,
     max_terms: int = 4096,
-    max_examples: int = 6000,
+    max_examples: int = 2000,
     k: int = 15,
 ) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows outside the held-out part: up to
     ``per_class`` of each label, weighted back to the labels' shares among all training rows.
 
-    Terms: those whose G-squared with the label in the sample exceeds what the largest of as
+    Three fifths of the sample (by a hash of the id) choose the terms, the others are the
+    examples: a term's absence from the texts that chose it says nothing about new texts.
+    Terms: those whose G-squared with the label exceeds what the largest of as
     many random terms would reach (2 ln(terms) + 4); the strongest ``max_terms``.  Their
     document frequencies come from whole texts of all documents.  Examples: up to
-    ``max_examples`` of the sample that hold a term, chosen by a hash of the id.  The votes of
+    ``max_examples`` of that part that hold a term, chosen by a hash of the id.  The votes of
     the examples on each other calibrate the score.
 
     Defined cases: no training rows: 0.5 for every text; one label only, or no term found: the
     share of label 1; a document labelled twice counts once, by its larger label."""
     sample, sizes = labelled_sample(docs, labels, label_col, id_col, text_col, parts, rest, per_class)
-    sample = cut(sample.dropDuplicates(["id"]))
+    terms_part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) < 3
+    sample = cut(sample.dropDuplicates(["id"]).withColumn("for_terms", terms_part))
     had = {int(r["label"]): int(r["n"]) for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, positive = sum(had.values()), had.get(1, 0)
     everything_n = sum(sizes.values())
@@ -276,7 +279,11 @@ def fit(
     if not 0 < positive < rows:
         return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
     weight = {y: sizes[y] / had[y] for y in had}  # sampled rows back to all training rows
-    counts = cut(term_counts(sample, "label"))
+    by_label = {int(r["label"]): int(r["n"]) for r in sample.filter("for_terms").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, positive = sum(by_label.values()), by_label.get(1, 0)
+    if not 0 < positive < rows:
+        return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
+    counts = cut(term_counts(sample.filter("for_terms").select("text", "label"), "label"))
     least = 2 * math.log(max(2, counts.count())) + 4
     g2 = association(F.col("n"), F.col("pos"), rows, positive)
     strong = counts.filter("n >= 3").withColumn("g", g2).filter(F.col("g") > least)
@@ -306,7 +313,7 @@ def fit(
             lists = [pa.array([[p[i] for p in x] for x in tf], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), *lists], names=["id", "label", "terms", "tf"])
 
-    held = cut(sample.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(example_terms, "id string, label int, terms array<bigint>, tf array<bigint>"))
+    held = cut(sample.filter("not for_terms").select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(example_terms, "id string, label int, terms array<bigint>, tf array<bigint>"))
     empty = {int(r["label"]): int(r["n"]) * weight[int(r["label"])] for r in held.filter(F.size("terms") == 0).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = (empty.get(1, 0.0) + share) / (sum(empty.values()) + 1)
     examples = held.filter(F.size("terms") > 0).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()
