@@ -178,8 +178,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
     def entropy(col: str) -> DataFrame:
         each = seen.groupBy("host", "path", col).agg(F.count(F.lit(1)).alias("n")).join(total, ["host", "path"])
         share = F.col("n") / F.col("pages")
-        bits = F.sum(-share * F.log(share)) / F.log(F.first("pages"))
-        return each.groupBy("host", "path").agg(F.first("pages").alias("pages"), F.coalesce(bits, F.lit(1.0)).alias(f"{col}_entropy"))
+        bits = each.groupBy("host", "path").agg(F.first("pages").alias("pages"), F.sum(-share * F.log(share)).alias("bits"))
+        scaled = F.when(F.col("pages") > 1, F.col("bits") / F.log(F.greatest("pages", F.lit(2)))).otherwise(1.0)  # one page tells nothing
+        return bits.select("host", "path", "pages", scaled.alias(f"{col}_entropy"))
 
     look = entropy("look").drop("pages")
     return entropy("content").join(look, ["host", "path"]).select(
