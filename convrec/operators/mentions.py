@@ -70,7 +70,12 @@ def detect_mentions(
     n: int = 3,
     threshold: float = 0.7,
 ) -> DataFrame:
-    """T9 + T11 (via J10 candidates): one row per (key, entity, score) with a mention."""
+    """T9 + T11 (via J10 candidates): one row per (key, entity, score) with a mention.
+
+    The keys keep their names throughout, so the columns made here must have others."""
+    made = {"tl", "t_words", "t_runs", "t_grams", "t_n", "entity", "e_words", "e_grams", "e_runs", "e_n", "run", "df", "w", "g", "g_both", "g_any", "score"}
+    if clash := made.intersection(key_cols):
+        raise ValueError(f"key columns {sorted(clash)} need other names")
     t = texts.select(*key_cols, F.col(text_col).alias("__text")).repartition(shuffle_partitions(texts.sparkSession), *key_cols).filter(
         F.col("__text").isNotNull() & (ustrip("__text") != "")
     )
@@ -161,10 +166,10 @@ def detect_mentions(
             & (F.col("t_n") * F.lit(threshold) <= F.col("e_n") + F.lit(EPS))
             & F.arrays_overlap("t_words", "e_words")
         )
-        .withColumn("__i", F.size(F.array_intersect("t_grams", "e_grams")))
-        .withColumn("__u", F.size(F.array_union("t_grams", "e_grams")))
-        .filter(F.col("__i") >= F.col("e_n") * F.lit(threshold))
-        .withColumn("score", F.col("__i") / F.col("__u"))
+        .withColumn("g_both", F.size(F.array_intersect("t_grams", "e_grams")))
+        .withColumn("g_any", F.size(F.array_union("t_grams", "e_grams")))
+        .filter(F.col("g_both") >= F.col("e_n") * F.lit(threshold))
+        .withColumn("score", F.col("g_both") / F.col("g_any"))
         .filter((F.col("score") >= threshold) & ~F.regexp_like(F.col("tl"), whole_word_pattern(F.col("entity"))))
         .select(*key_cols, "entity", "score")
     )

@@ -115,6 +115,11 @@ def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
+def tag_range(spark: SparkSession, sf_dir: str) -> int:
+    """Item tags of the stand-in dialogues run over 1.2 times the parts, so some name no item."""
+    return table(spark, sf_dir, "part").count() * 12 // 10
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with two item tags appended; generated-dialogue roles (assistant -> AI)."""
     c = table(spark, sf_dir, "conversations")
@@ -124,8 +129,8 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "assistant", F.lit("AI")).otherwise(F.col("role")).alias("role"),
         F.concat(
             F.col("text"),
-            F.lit(" <id_"), F.pmod(F.col("conv_id") * 37 + F.col("turn") * 11, F.lit(2400)).cast("string"), F.lit(">"),
-            F.lit(" <id_"), F.pmod(F.col("conv_id") * 5, F.lit(2400)).cast("string"), F.lit(">"),
+            F.lit(" <id_"), F.pmod(F.col("conv_id") * 37 + F.col("turn") * 11, F.lit(tag_range(spark, sf_dir))).cast("string"), F.lit(">"),
+            F.lit(" <id_"), F.pmod(F.col("conv_id") * 5, F.lit(tag_range(spark, sf_dir))).cast("string"), F.lit(">"),
         ).alias("text"),
     )
 
@@ -149,7 +154,7 @@ def tagged_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
             lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")),
         ).alias("conversation"),
-        F.pmod(F.col("conv_id") * 5, F.lit(2400)).cast("string").alias("target_asin"),
+        F.pmod(F.col("conv_id") * 5, F.lit(tag_range(spark, sf_dir))).cast("string").alias("target_asin"),
     )
 
 
@@ -168,7 +173,7 @@ def tagged_marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(
         "conv_id",
         "response",
-        F.pmod(F.col("conv_id") * 5, F.lit(2400)).cast("string").alias("target_asin"),
+        F.pmod(F.col("conv_id") * 5, F.lit(tag_range(spark, sf_dir))).cast("string").alias("target_asin"),
         F.element_at(names, (seeded_bucket("conv_id", 5) + 1).cast("int")).alias("scenario"),
     )
 
@@ -193,10 +198,10 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``text_p``: per part, ``'i like the <name>, and <name of part (key*7) mod 2000>!'``."""
+    """``text_p``: per part, ``'i like the <name>, and <name of part (key*7) mod parts>!'``."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     p2 = p.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("n2"))
-    return p.join(p2, F.pmod(F.col("p_partkey") * 7, F.lit(2000)) == F.col("k2")).select(
+    return p.join(p2, F.pmod(F.col("p_partkey") * 7, F.lit(p.count())) == F.col("k2")).select(
         F.col("p_partkey").alias("text_id"),
         F.concat(F.lit("i like the "), F.col("p_name"), F.lit(", and "), F.col("n2"), F.lit("!")).alias("text"),
     )
@@ -211,13 +216,26 @@ def part_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ent_d`` source: the first two whitespace words of every document as a name."""
-    d = table(spark, sf_dir, "documents")
-    first_two = r"^(?U)\s*(\S+)(?:\s+(\S+))?"
-    return d.select(
-        F.concat_ws(" ", F.regexp_extract("text", first_two, 1), F.nullif(F.regexp_extract("text", first_two, 2), F.lit(""))).alias("name")
-    )
+def mention_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ent_m`` source: the whole names of parts, suppliers, nations and regions."""
+    out = None
+    for t, c in (("part", "p_name"), ("supplier", "s_name"), ("nation", "n_name"), ("region", "r_name")):
+        names = table(spark, sf_dir, t).select(F.col(c).alias("name"))
+        out = names if out is None else out.unionByName(names)
+    return out
+
+
+def mention_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue turns that name things: each whole turn with a part's name behind it, and a last
+    turn per dialogue that is a part's name with its last letter mistyped."""
+    c = table(spark, sf_dir, "conversations")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n = part.count()
+    said = c.join(part, F.pmod(F.col("conv_id") * 37 + F.col("turn") * 11, F.lit(n)) == F.col("p_partkey"))
+    said = said.select("conv_id", "turn", "role", F.concat("text", F.lit(" "), "p_name").alias("text"))
+    typo = F.concat(F.expr("substring(p_name, 1, length(p_name) - 1)"), F.lit("x")).alias("text")
+    last = c.select("conv_id").distinct().join(part, F.pmod(F.col("conv_id") * 7, F.lit(n)) == F.col("p_partkey"))
+    return said.unionByName(last.select("conv_id", F.lit(100_000).cast("bigint").alias("turn"), F.lit("user").alias("role"), typo))
 
 
 def kg_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

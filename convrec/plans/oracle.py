@@ -16,8 +16,8 @@ CAT = """cat AS (
 
 TAGGED = """tagged AS (
   SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'AI' ELSE role END AS role,
-         text || ' <id_' || CAST((conv_id * 37 + turn * 11) % 2400 AS VARCHAR) || '> <id_'
-              || CAST((conv_id * 5) % 2400 AS VARCHAR) || '>' AS text
+         text || ' <id_' || CAST((conv_id * 37 + turn * 11) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '> <id_'
+              || CAST((conv_id * 5) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '>' AS text
   FROM conversations)"""
 
 
@@ -185,7 +185,7 @@ mp_out AS (
 
 ENT_P = """ents AS (SELECT DISTINCT lower(p_name) AS entity FROM part WHERE p_name NOT IN ('about', 'by', 'of', 'for'))"""
 TEXT_P = """texts AS (SELECT p.p_partkey AS text_id, 'i like the ' || p.p_name || ', and ' || p2.p_name || '!' AS text
-                 FROM part p JOIN part p2 ON p2.p_partkey = (p.p_partkey * 7) % 2000)"""
+                 FROM part p JOIN part p2 ON p2.p_partkey = (p.p_partkey * 7) % (SELECT count(*) FROM part))"""
 FUZZY_P = """texts AS (SELECT p_partkey AS text_id, substr(p_name, 1, length(p_name) - 1) || 'x' AS text FROM part)"""
 
 
@@ -216,6 +216,15 @@ DICT = """dict AS (SELECT CAST(item_id AS VARCHAR) AS k, min(regexp_replace(titl
 def sid(x: str) -> str:
     return f"CAST(('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 15)) AS BIGINT)"
 
+MENTION_NAMES = """names AS (SELECT p_name AS name FROM part UNION ALL SELECT s_name FROM supplier
+  UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region),
+ents AS (SELECT DISTINCT lower(name) AS entity FROM names WHERE name IS NOT NULL AND name NOT IN ('about', 'by', 'of', 'for'))"""
+MENTION_TURNS = """np AS (SELECT count(*) AS n FROM part),
+mturns AS (SELECT c.conv_id, c.turn, c.role, c.text || ' ' || p.p_name AS text
+           FROM conversations c, np JOIN part p ON p.p_partkey = (c.conv_id * 37 + c.turn * 11) % np.n
+           UNION ALL SELECT d.conv_id, 100000, 'user', substr(p.p_name, 1, length(p.p_name) - 1) || 'x'
+           FROM (SELECT DISTINCT conv_id FROM conversations) d, np JOIN part p ON p.p_partkey = (d.conv_id * 7) % np.n)"""
+
 _W = "\\p{L}\\p{N}\\p{M}_"  # Unicode word characters
 
 

@@ -106,7 +106,7 @@ SELECT c.conv_id, CAST(c.nf AS BIGINT) AS not_found,
        coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM known k WHERE k.conv_id = c.conv_id AND k.role = 'AI'), '') AS recommended,
        coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM known k WHERE k.conv_id = c.conv_id AND tag NOT IN
                   (SELECT tag FROM known k2 WHERE k2.conv_id = c.conv_id AND k2.role = 'AI')), '') AS exclusive_items,
-       '<id_' || CAST((c.conv_id * 5) % 2400 AS VARCHAR) || '>' AS target
+       '<id_' || CAST((c.conv_id * 5) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '>' AS target
 FROM (SELECT conv_id, sum(nf) AS nf FROM t8_out GROUP BY conv_id) c""",
 )
 def a13_a14_items(spark, sf_dir):
@@ -240,7 +240,7 @@ r AS (SELECT conv_id, {sql.SCEN_NAMES}[{_SCEN} + 1] AS scenario, count(*) OVER (
         row_number() OVER (PARTITION BY {_SCEN} ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id) AS rn FROM kept),
 q AS (SELECT *, greatest(1, floor(n * 0.1)) AS nt, greatest(1, floor(n * 0.1)) AS nv FROM r)
 SELECT conv_id, scenario, CASE WHEN rn <= greatest(n - nt - nv, 0) THEN 'train' WHEN rn <= n - nt THEN 'valid' ELSE 'test' END AS split,
-       '<id_' || CAST((conv_id * 5) % 2400 AS VARCHAR) || '>' AS target FROM q""",
+       '<id_' || CAST((conv_id * 5) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '>' AS target FROM q""",
 )
 def f8_p2_stage_c(spark, sf_dir):
     return stage_c(spark, sf_dir).select("conv_id", "scenario", "split", F.array_join("target", ",").alias("target"))
@@ -274,7 +274,7 @@ _SP = __import__("convrec.config", fromlist=["x"]).DIALOGUE_SYSTEM_PROMPT.replac
 _T14_SQL = (
     _T8_SQL
     + f""", known AS (SELECT DISTINCT r.conv_id, r.tag FROM rep r WHERE r.title IS NOT NULL),
-tgt AS (SELECT DISTINCT conv_id, CAST((conv_id * 5) % 2400 AS VARCHAR) AS tag FROM tagged),
+tgt AS (SELECT DISTINCT conv_id, CAST((conv_id * 5) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) AS tag FROM tagged),
 msgs AS (SELECT conv_id, 0 AS idx, 'system' AS role, '{_SP}' AS content FROM (SELECT DISTINCT conv_id FROM tagged)
          UNION ALL SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER),
                 CASE WHEN role = 'AI' THEN 'assistant' ELSE role END, content FROM t8_out),

@@ -68,24 +68,21 @@ def w6_sorted(spark, sf_dir):
 
 
 def t12_dialogue_mentions(spark, sf_dir):
-    """T12 over the whole conversations table with entities from the first two words of every document."""
-    c = fx.table(spark, sf_dir, "conversations")
+    """T12 over the whole conversations table with the names of parts, suppliers, nations, regions."""
+    c = fx.mention_turns(spark, sf_dir)
     d = c.groupBy("conv_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
             lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")),
         ).alias("conversation")
     )
-    ents = entity_set(fx.document_entities(spark, sf_dir))
+    ents = entity_set(fx.mention_names(spark, sf_dir))
     return dialogue_mentions(d, ents)
 
 
 _T12_SQL = (
-    """WITH docs AS (SELECT regexp_extract(text, '^\\s*(\\S+)(?:\\s+(\\S+))?', 1) AS w1,
-                     regexp_extract(text, '^\\s*(\\S+)(?:\\s+(\\S+))?', 2) AS w2 FROM documents),
-names AS (SELECT CASE WHEN w2 = '' THEN w1 ELSE w1 || ' ' || w2 END AS name FROM docs),
-ents AS (SELECT DISTINCT lower(name) AS entity FROM names WHERE name IS NOT NULL AND name NOT IN ('about', 'by', 'of', 'for')),
-msgs AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS idx, role, text FROM conversations)"""
+    sql.with_(sql.MENTION_NAMES, sql.MENTION_TURNS)
+    + """, msgs AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS idx, role, text FROM mturns)"""
     + sql.unicode_mentions_sql()
     + """
 SELECT g.conv_id, g.idx, g.role,

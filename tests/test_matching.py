@@ -64,6 +64,15 @@ def test_dialogue_mentions_nested(spark):
     assert r[2][0]["mentions"] == []
 
 
+def test_dialogue_mentions_keep_a_mistyped_turn_in_its_place(spark):
+    d = spark.createDataFrame(
+        [(1, [("user", "hello"), ("user", "nothing"), ("user", "star warz"), ("user", "bye")])], "conv_id int, conversation array<struct<role:string,content:string>>"
+    )
+    ents = entity_set(spark.createDataFrame([("Star Wars",)], "name string"))
+    r = dialogue_mentions(d, ents).first()["conversation"]
+    assert [len(m["mentions"]) for m in r] == [0, 0, 1, 0] and r[2]["mentions"][0]["score"] == 6 / 8
+
+
 def test_mentions_properties(spark):
     rnd = random.Random(5)
     vocab = ["red", "blue", "ring", "bolt", "the", "of", "red,", "(blue", "rin", "bol", "é", "x"]
