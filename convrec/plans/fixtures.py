@@ -56,6 +56,20 @@ def cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def titled_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item metadata ``parent_asin, title`` from part; some titles are null, some too short."""
+    p = table(spark, sf_dir, "part")
+    full = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") ["), F.col("p_type"), F.lit("]"))
+    kind = F.col("p_size") % 10
+    title = F.when(kind == 1, F.lit("ab")).when(kind != 0, full)
+    return p.select(F.col("p_partkey").cast("string").alias("parent_asin"), title.alias("title"))
+
+
+def movie_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movie file's ids ``asin``: some parts have no entry in it."""
+    return table(spark, sf_dir, "part").filter(F.col("p_size") % 10 != 2).select(F.col("p_partkey").cast("string").alias("asin"))
+
+
 def movie_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested movie metadata (D3) with Python-literal text columns, built from part,
     lineitem (which suppliers deliver a part), supplier and nation.

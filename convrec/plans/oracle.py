@@ -14,6 +14,12 @@ INTER = """inter AS (
 CAT = """cat AS (
   SELECT p_partkey AS item_id, p_name || ' (' || p_brand || ') [' || p_type || ']' AS title FROM part)"""
 
+TITLED = """meta AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS parent_asin,
+         CASE WHEN p_size % 10 = 1 THEN 'ab' WHEN p_size % 10 <> 0 THEN p_name || ' (' || p_brand || ') [' || p_type || ']' END AS title
+  FROM part),
+movies AS (SELECT CAST(p_partkey AS VARCHAR) AS asin FROM part WHERE p_size % 10 <> 2)"""
+
 TAGGED = """tagged AS (
   SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'AI' ELSE role END AS role,
          text || ' <id_' || CAST((conv_id * 37 + turn * 11) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '> <id_'
