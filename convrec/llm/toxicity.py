@@ -19,6 +19,7 @@ from convrec.llm.common import cut, id_text
 from convrec.llm.quality import labelled_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+SEARCHES = 256  # texts searched together
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -79,74 +80,100 @@ def association(n, pos, total: int, positive: int):
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index over unit vectors with the largest weight of every term in every block
-    of ``block`` examples.  ``nearest`` is exact: blocks are opened in the order of their upper
-    bounds until the next bound is below the k-th cosine found."""
+    """Inverted index over unit vectors in blocks of ``block`` examples.  Terms of many examples
+    (more than one in ``often``) are held as a dense matrix with the largest weight of every
+    term in every block, the others as postings.  ``nearest_many`` is exact: the postings are
+    summed in full, a block's bound is its largest such sum plus the bounds of the dense terms,
+    and every block whose bound reaches the k-th cosine found is opened, for many queries at a
+    time."""
 
     examples: int
     terms: int
     block: int = 64
-    start: np.ndarray = field(default=None)  # per (term, block): first posting
+    often: int = 16
+    start: np.ndarray = field(default=None)  # per term: first posting (none of dense terms)
     row: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
-    bound_start: np.ndarray = field(default=None)  # per term: first of its blocks
-    bound_block: np.ndarray = field(default=None)
-    bound: np.ndarray = field(default=None)
+    column: np.ndarray = field(default=None)  # per term: column of the dense matrix or -1
+    dense: np.ndarray = field(default=None)
+    bound: np.ndarray = field(default=None)  # dense terms x blocks
 
     @classmethod
     def build(cls, vectors: Sequence[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64) -> BlockMaxIndex:
         self = cls(len(vectors), terms, block)
-        blocks = max(1, -(-len(vectors) // block))
-        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        many = np.flatnonzero(np.bincount(term, minlength=terms) * self.often > len(vectors))
+        self.column = np.full(terms, -1, np.int32)
+        self.column[many] = np.arange(len(many))
+        self.dense = np.zeros((len(vectors), len(many)))
+        on = self.column[term] >= 0
+        self.dense[row[on], self.column[term[on]]] = weight[on]
+        self.bound = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), block)).T if vectors else np.zeros((len(many), 0))
+        row, term, weight = row[~on], term[~on], weight[~on]
         order = np.lexsort((row, term))
-        row, term, weight = row[order], term[order], weight[order]
-        key = term * blocks + row // block
-        self.start = np.searchsorted(key, np.arange(terms * blocks + 1))
-        self.row, self.weight = row, weight
-        distinct, first = np.unique(key, return_index=True)
-        self.bound = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        self.bound_block = distinct % blocks
-        self.bound_start = np.searchsorted(distinct // blocks, np.arange(terms + 1))
-        self.blocks = blocks
+        self.row, self.weight = row[order], weight[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
         return self
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples of positive cosine, nearest first, ties to
-        the smaller row; ``skip`` leaves one row out.
+        """``nearest_many`` for one query."""
+        return self.nearest_many([(terms, weights)], k, [skip])[0]
+
+    def nearest_many(
+        self, queries: Sequence[tuple[np.ndarray, np.ndarray]], k: int, skip: Sequence[int] | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and cosines of the k nearest examples of positive cosine of every query, nearest
+        first, ties to the smaller row; ``skip`` leaves one row out of each.
 
         The blocks of the highest bounds are opened first, enough of them to hold k examples
         twice over; then those whose bound reaches the k-th cosine found, and no others."""
-        upper = np.zeros(self.blocks)
-        for t, w in zip(terms, weights):
-            a, b = self.bound_start[t], self.bound_start[t + 1]
-            upper[self.bound_block[a:b]] += w * self.bound[a:b]
-        first = np.argsort(-upper, kind="stable")[: max(2, -(-2 * k // self.block))]
-        opened = np.zeros(self.blocks, bool)
-        opened[first[upper[first] > 0]] = True
-        rows, cos = self._open(opened, terms, weights, k, skip)
-        least = cos[k - 1] - 1e-12 if len(cos) >= k else 0.0
-        rest = (upper >= least) & (upper > 0) & ~opened
-        if rest.any():
-            more, more_cos = self._open(rest, terms, weights, k, skip)
-            rows, cos = np.r_[rows, more], np.r_[cos, more_cos]
-            order = np.lexsort((rows, -cos.round(12)))[:k]
-            rows, cos = rows[order], cos[order]
-        return rows, cos
-
-    def _open(self, chosen: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        cos = np.zeros(self.examples)
-        for t, w in zip(terms, weights):
-            s, e = self.start[t * self.blocks], self.start[(t + 1) * self.blocks]
-            row = self.row[s:e]
-            use = chosen[row // self.block]
-            cos[row[use]] += w * self.weight[s:e][use]
-        if skip >= 0:
-            cos[skip] = 0.0
-        rows = np.flatnonzero(cos > 0)
-        order = np.lexsort((rows, -cos[rows].round(12)))[:k]
-        return rows[order], cos[rows[order]]
+        if not self.examples or not queries:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        partial = np.zeros((len(queries), self.examples))
+        asked = np.zeros((len(queries), self.dense.shape[1]))
+        for i, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            on = column >= 0
+            asked[i, column[on]] = weights[on]
+            partial[i] = self._postings(terms[~on], weights[~on])
+        upper = np.maximum.reduceat(partial, np.arange(0, self.examples, self.block), axis=1) + asked @ self.bound
+        cos = np.zeros_like(partial)
+        first = np.argsort(-upper, axis=1, kind="stable")[:, : max(2, -(-2 * k // self.block))]
+        opened = np.zeros(upper.shape, bool)
+        np.put_along_axis(opened, first, True, axis=1)
+        opened &= upper > 0
+        self._open(opened, partial, asked, cos)
+        own = np.full(len(queries), -1) if skip is None else np.asarray(skip)
+        left_out = np.flatnonzero(own >= 0)
+        cos[left_out, own[left_out]] = 0.0
+        rest = (upper >= self._least(cos, k)[:, None] - 1e-9) & (upper > 0) & ~opened
+        self._open(rest, partial, asked, cos)
+        cos[left_out, own[left_out]] = 0.0
+        least = self._least(cos, k)
+        out = []
+        for c, low in zip(cos, least):
+            rows = np.flatnonzero((c > 0) & (c >= low - 2e-12))
+            rows = rows[np.lexsort((rows, -c[rows].round(12)))[:k]]
+            out.append((rows, c[rows]))
+        return out
+
+    def _postings(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sum of the products over the terms held as postings, for every example."""
+        begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.row[at], self.weight[at] * np.repeat(weights, size), self.examples)
+
+    def _least(self, cos: np.ndarray, k: int) -> np.ndarray:
+        """The k-th cosine found of every query (0 while there are fewer)."""
+        return np.partition(cos, self.examples - k, axis=1)[:, self.examples - k] if k <= self.examples else np.zeros(len(cos))
+
+    def _open(self, chosen: np.ndarray, partial: np.ndarray, asked: np.ndarray, cos: np.ndarray) -> None:
+        for b in np.flatnonzero(chosen.any(axis=0)):
+            rows = slice(b * self.block, (b + 1) * self.block)
+            q = np.flatnonzero(chosen[:, b])
+            cos[q, rows] = partial[q, rows] + asked[q] @ self.dense[rows].T
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,26 +248,30 @@ class ToxicityModel:
         tf = self.term_frequencies(text)
         return unit(np.array(sorted(tf), np.int64), np.array([tf[i] for i in sorted(tf)], float), self.idf)
 
-    def vote(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Distance-weighted vote of the nearest examples, and those examples."""
-        rows, cos = self.index.nearest(ids, weights, self.k, skip) if len(ids) else (np.zeros(0, np.int64), np.zeros(0))
+    def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
+        """Distance-weighted vote of the nearest examples."""
         if not len(rows):
-            return self.base, rows, cos
+            return self.base
         w = 1.0 / (0.1 + np.sqrt(np.maximum(0.0, 2 - 2 * cos)))
-        return float((w @ self.labels[rows] + 0.5 * self.base) / (w.sum() + 0.5)), rows, cos
+        return float((w @ self.labels[rows] + 0.5 * self.base) / (w.sum() + 0.5))
 
     def calibrate(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], importance: np.ndarray) -> None:
         """Isotonic map from votes to shares of label 1, each example judged by the others."""
         if len(vectors) >= 20:
-            votes = np.array([self.vote(i, w, skip=r)[0] for r, (i, w) in enumerate(vectors)])
-            self.knots = isotonic(votes, self.labels, importance)
-
-    def judge(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, weights = self.vector(text)
-        v, rows, cos = self.vote(ids, weights)
-        if len(rows) and self.knots is not None:
-            v = float(np.interp(v, *self.knots))
-        return min(1.0, max(0.0, v)), rows, cos
+            votes = []
+            for at in range(0, len(vectors), SEARCHES):
+                some = vectors[at : at + SEARCHES]
+                votes += [self.vote(*found) for found in self.index.nearest_many(some, self.k, range(at, at + len(some)))]
+            self.knots = isotonic(np.array(votes), self.labels, importance)
+
+    def judge(self, texts: Sequence[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, nearest examples and their cosines of every text."""
+        for at in range(0, len(texts), SEARCHES):
+            for rows, cos in self.index.nearest_many([self.vector(t) for t in texts[at : at + SEARCHES]], self.k):
+                v = self.vote(rows, cos)
+                if len(rows) and self.knots is not None:
+                    v = float(np.interp(v, *self.knots))
+                yield min(1.0, max(0.0, v)), rows, cos
 
 
 def fit(
@@ -251,9 +282,9 @@ def fit(
     text_col: str = "text",
     parts: int = 4,
     rest: int = 2,
-    per_class: int = 3000,
+    per_class: int = 6000,
     max_terms: int = 4096,
-    max_examples: int = 2000,
+    max_examples: int = 6000,
     k: int = 15,
 ) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows outside the held-out part: up to
@@ -339,8 +370,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", k
         m = shared.value
         for b in batches:
             scores, evidence = [], []
-            for t in b.column(text_col):
-                s, rows, cos = m.judge(t.as_py() or "")
+            for s, rows, cos in m.judge([t or "" for t in b.column(text_col).to_pylist()]):
                 scores.append(s)
                 evidence.append([{"id": m.ids[r], "label": int(m.labels[r]), "cosine": float(c)} for r, c in zip(rows[:shown], cos)])
             cols = [*(b.column(c) for c in wanted), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pair))]

@@ -106,6 +106,34 @@ def test_block_max_search_is_exact():
         assert rows.tolist() == want and np.allclose(found, cos[want])
 
 
+def test_toxicity_searches_more_than_two_thousand_examples(ws):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(WORDS[j] + "aeiou"[rng.integers(5)] for j in rng.integers(0, len(WORDS), 6)) for _ in range(8000)]
+    texts = [t + (" grumbel" if i % 2 else " thanks") for i, t in enumerate(texts)]
+    docs = ws.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = ws.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.index.examples > 2000
+
+
+def test_block_max_searches_together_equal_single_searches():
+    rng = np.random.default_rng(4)
+    vectors = []
+    for _ in range(500):
+        t = np.unique(np.minimum(rng.zipf(1.3, rng.integers(5, 40)), 3000) - 1)
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt(w @ w)))
+    index = toxicity.BlockMaxIndex.build(vectors, 3000, block=16)
+    dense = np.zeros((500, 3000))
+    for r, (t, w) in enumerate(vectors):
+        dense[r, t] = w
+    for q, (rows, cos) in enumerate(index.nearest_many(vectors, 9, range(500))):
+        all_cos = dense @ dense[q]
+        all_cos[q] = 0
+        want = [r for r in np.lexsort((np.arange(500), -all_cos.round(12)))[:9] if all_cos[r] > 0]
+        assert rows.tolist() == want and np.allclose(cos, all_cos[want])
+
+
 def test_terms_are_found_like_in_a_split_text():
     terms = ["loser", "grum-", "grumb-", "one", "two"]
     m = toxicity.ToxicityModel({t: i for i, t in enumerate(terms)}, np.ones(5), toxicity.BlockMaxIndex.build([], 0), [], np.zeros(0), 0.0, 5)
