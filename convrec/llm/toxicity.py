@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convrec.llm.common import cut, id_text
+from convrec.llm.common import cut, id_text, shuffle_width
 from convrec.llm.quality import labelled_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 SEARCHES = 256  # texts searched together
+KNOWN_WORDS = 200_000  # words whose terms a worker remembers
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -33,51 +35,6 @@ def text_terms(text: str) -> Iterator[str]:
         yield from word_terms(w)
 
 
-def term_counts(docs: DataFrame, label_col: str | None, flush: int = 300_000) -> DataFrame:
-    """``(term, n, pos)``: texts that hold a term, and those of label 1.  Counted inside each
-    task first (up to ``flush`` different terms at a time), then by a partial aggregate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        pos: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([pos.get(t, 0) for t in n], pa.int64())],
-                names=["term", "n", "pos"],
-            )
-
-        for b in batches:
-            labels = b.column(label_col).to_pylist() if label_col else [0] * b.num_rows
-            for t, y in zip(b.column("text"), labels):
-                terms = set(text_terms(t.as_py()))
-                n.update(terms)
-                if y:
-                    pos.update(terms)
-                if len(n) >= flush:
-                    yield out()
-                    n.clear()
-                    pos.clear()
-        yield out()
-
-    return docs.mapInArrow(run, "term string, n bigint, pos bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-
-
-def association(n, pos, total: int, positive: int):
-    """G-squared of a term with the label (2 x 2 log-likelihood ratio), as a column."""
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-
-    p = positive / total
-    clean = n - pos
-    return 2 * (
-        part(pos, n * p)
-        + part(clean, n * (1 - p))
-        + part(positive - pos, (total - n) * p)
-        + part((total - positive) - clean, (total - n) * (1 - p))
-    )
-
-
 @dataclass
 class BlockMaxIndex:
     """Inverted index over unit vectors in blocks of ``block`` examples.  Terms of many examples
@@ -85,7 +42,8 @@ class BlockMaxIndex:
     term in every block, the others as postings.  ``nearest_many`` is exact: the postings are
     summed in full, a block's bound is its largest such sum plus the bounds of the dense terms,
     and every block whose bound reaches the k-th cosine found is opened, for many queries at a
-    time."""
+    time.  Opening works in single precision; what comes within its rounding error of the k-th
+    cosine is computed again in double precision."""
 
     examples: int
     terms: int
@@ -97,11 +55,12 @@ class BlockMaxIndex:
     column: np.ndarray = field(default=None)  # per term: column of the dense matrix or -1
     dense: np.ndarray = field(default=None)
     bound: np.ndarray = field(default=None)  # dense terms x blocks
+    single: np.ndarray | None = None  # the dense matrix in single precision
 
     @classmethod
     def build(cls, vectors: Sequence[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64) -> BlockMaxIndex:
         self = cls(len(vectors), terms, block)
-        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         many = np.flatnonzero(np.bincount(term, minlength=terms) * self.often > len(vectors))
@@ -139,7 +98,10 @@ class BlockMaxIndex:
             asked[i, column[on]] = weights[on]
             partial[i] = self._postings(terms[~on], weights[~on])
         upper = np.maximum.reduceat(partial, np.arange(0, self.examples, self.block), axis=1) + asked @ self.bound
-        cos = np.zeros_like(partial)
+        if self.single is None:
+            self.single = self.dense.astype(np.float32)
+        slack = 1.2e-7 * (self.dense.shape[1] + 8)  # more than single precision can be off by
+        cos = np.zeros(partial.shape, np.float32)
         first = np.argsort(-upper, axis=1, kind="stable")[:, : max(2, -(-2 * k // self.block))]
         opened = np.zeros(upper.shape, bool)
         np.put_along_axis(opened, first, True, axis=1)
@@ -148,15 +110,16 @@ class BlockMaxIndex:
         own = np.full(len(queries), -1) if skip is None else np.asarray(skip)
         left_out = np.flatnonzero(own >= 0)
         cos[left_out, own[left_out]] = 0.0
-        rest = (upper >= self._least(cos, k)[:, None] - 1e-9) & (upper > 0) & ~opened
+        rest = (upper >= self._least(cos, k)[:, None] - slack) & (upper > 0) & ~opened
         self._open(rest, partial, asked, cos)
         cos[left_out, own[left_out]] = 0.0
         least = self._least(cos, k)
         out = []
-        for c, low in zip(cos, least):
-            rows = np.flatnonzero((c > 0) & (c >= low - 2e-12))
-            rows = rows[np.lexsort((rows, -c[rows].round(12)))[:k]]
-            out.append((rows, c[rows]))
+        for c, low, rare, a in zip(cos, least, partial, asked):
+            rows = np.flatnonzero((c > 0) & (c >= low - 2 * slack))
+            exact = rare[rows] + self.dense[rows] @ a
+            best = np.lexsort((rows, -exact.round(12)))[:k]
+            out.append((rows[best], exact[best]))
         return out
 
     def _postings(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -170,10 +133,11 @@ class BlockMaxIndex:
         return np.partition(cos, self.examples - k, axis=1)[:, self.examples - k] if k <= self.examples else np.zeros(len(cos))
 
     def _open(self, chosen: np.ndarray, partial: np.ndarray, asked: np.ndarray, cos: np.ndarray) -> None:
+        asked = asked.astype(np.float32)
         for b in np.flatnonzero(chosen.any(axis=0)):
             rows = slice(b * self.block, (b + 1) * self.block)
             q = np.flatnonzero(chosen[:, b])
-            cos[q, rows] = partial[q, rows] + asked[q] @ self.dense[rows].T
+            cos[q, rows] = partial[q, rows] + asked[q] @ self.single[rows].T
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +160,24 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate(share)
 
 
-def is_letter(c: str) -> bool:
-    return c.isalnum() and not c.isdecimal()
-
-
 def unit(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = (1 + np.log(tf)) * idf[ids]
     return ids, w / math.sqrt(float(w @ w)) if len(w) else w
 
 
+class WordTerms(dict):
+    """Lower-cased word -> its number; ``terms`` holds its (up to three) terms, -1 for none."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.terms = vocabulary, array("q")
+
+    def __missing__(self, word: str) -> int:
+        found = [self.vocabulary.get(t, -1) for t in word_terms(word)]
+        self.terms.extend(found + [-1] * (3 - len(found)))
+        self[word] = len(self)
+        return len(self) - 1
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: dict[str, int]
@@ -215,38 +188,51 @@ class ToxicityModel:
     base: float  # share of label 1 among training texts without any term
     k: int
     knots: tuple[np.ndarray, np.ndarray] | None = None
-    finder: ahocorasick.Automaton | None = None
+    words: WordTerms | None = None
+    counts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # terms of the examples and how often
 
     def __getstate__(self):
-        return self.__dict__ | {"finder": None}  # built again by each worker
+        """What travels is small: terms and counts, from which each worker makes the index."""
+        size = np.array([len(t) for t, _ in self.counts], np.int64)
+        both = [np.concatenate([np.diff(t, prepend=0) for t, _ in self.counts]), np.concatenate([n for _, n in self.counts])] if self.counts else []
+        packed = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in both]
+        names = zlib.compress("\n".join(self.vocabulary).encode(), 1)
+        return self.__dict__ | {"vocabulary": names, "counts": (size, packed), "index": None, "words": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        names = zlib.decompress(self.vocabulary).decode()
+        self.vocabulary = {t: i for i, t in enumerate(names.split("\n"))} if names else {}
+        size, packed = self.counts
+        gaps, n = [np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in packed] or [np.zeros(0, np.int64)] * 2
+        cuts = np.cumsum(size)[:-1]
+        self.counts = [(np.cumsum(g), c) for g, c in zip(np.split(gaps, cuts), np.split(n, cuts))] if len(size) else []
+        self.index = BlockMaxIndex.build([unit(t, c, self.idf) for t, c in self.counts], len(self.vocabulary))
+
+    def frequencies(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The terms of the vocabulary that stand in each whole text, ascending, and how often."""
+        if self.words is None or len(self.words) > KNOWN_WORDS:
+            self.words = WordTerms(self.vocabulary)
+        counts = [Counter(_LETTERS.findall(t.lower())) for t in texts]
+        size = [len(c) for c in counts]
+        word = np.array([i for c in counts for i in map(self.words.__getitem__, c)], np.int64)
+        n = np.array([i for c in counts for i in c.values()], np.int64)
+        terms = np.array(self.words.terms, np.int64).reshape(-1, 3)[word]
+        key = terms + np.repeat(np.arange(len(texts)), size)[:, None] * len(self.vocabulary)
+        on = terms >= 0
+        key, which = np.unique(key[on], return_inverse=True)
+        tf = np.bincount(which, np.broadcast_to(n[:, None], terms.shape)[on], len(key))
+        cuts = np.searchsorted(key, np.arange(1, len(texts)) * len(self.vocabulary))
+        return [(k - i * len(self.vocabulary), f) for i, (k, f) in enumerate(zip(np.split(key, cuts), np.split(tf, cuts)))]
 
     def term_frequencies(self, text: str) -> dict[int, int]:
-        """How often each term of the vocabulary stands in a whole text: one pass of a keyword
-        automaton, whose hits count where a word begins (and, for whole words, ends)."""
-        if self.finder is None:
-            self.finder = ahocorasick.Automaton()
-            both: dict[str, list[int | None]] = {}
-            for t, i in self.vocabulary.items():
-                both.setdefault(t.rstrip("-"), [None, None])[t.endswith("-")] = i
-            for key, ids in both.items():
-                self.finder.add_word(key, (len(key), *ids))
-            self.finder.make_automaton()
-        tf: dict[int, int] = {}
-        low = text.lower()
-        if self.vocabulary:
-            for end, (length, whole, start) in self.finder.iter(low):
-                before = end - length
-                if before >= 0 and is_letter(low[before]):
-                    continue
-                i = start if end + 1 < len(low) and is_letter(low[end + 1]) else whole
-                if i is not None:
-                    tf[i] = tf.get(i, 0) + 1
-        return tf
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector ((1 + ln tf) idf) of a whole text over the vocabulary."""
-        tf = self.term_frequencies(text)
-        return unit(np.array(sorted(tf), np.int64), np.array([tf[i] for i in sorted(tf)], float), self.idf)
+        """``frequencies`` of one text."""
+        ids, tf = self.frequencies([text])[0]
+        return dict(zip(ids.tolist(), tf.astype(int).tolist()))
+
+    def vectors(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit TF-IDF vectors ((1 + ln tf) idf) of whole texts over the vocabulary."""
+        return [unit(ids, tf, self.idf) for ids, tf in self.frequencies(texts)]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         """Distance-weighted vote of the nearest examples."""
@@ -267,7 +253,7 @@ class ToxicityModel:
     def judge(self, texts: Sequence[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Score, nearest examples and their cosines of every text."""
         for at in range(0, len(texts), SEARCHES):
-            for rows, cos in self.index.nearest_many([self.vector(t) for t in texts[at : at + SEARCHES]], self.k):
+            for rows, cos in self.index.nearest_many(self.vectors(texts[at : at + SEARCHES]), self.k):
                 v = self.vote(rows, cos)
                 if len(rows) and self.knots is not None:
                     v = float(np.interp(v, *self.knots))
@@ -283,75 +269,79 @@ def fit(
     parts: int = 4,
     rest: int = 2,
     per_class: int = 6000,
-    max_terms: int = 4096,
     max_examples: int = 6000,
     k: int = 15,
 ) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows outside the held-out part: up to
     ``per_class`` of each label, weighted back to the labels' shares among all training rows.
 
-    Three fifths of the sample (by a hash of the id) choose the terms, the others are the
-    examples: a term's absence from the texts that chose it says nothing about new texts.
-    Terms: those whose G-squared with the label exceeds what the largest of as
-    many random terms would reach (2 ln(terms) + 4); the strongest ``max_terms``.  Their
-    document frequencies come from whole texts of all documents.  Examples: up to
-    ``max_examples`` of that part that hold a term, chosen by a hash of the id.  The votes of
-    the examples on each other calibrate the score.
+    Examples: up to ``max_examples`` of the sample, chosen by a hash of the id.  Terms: all that
+    stand in an example, none selected.  Their document frequencies come from whole texts of
+    all documents.  The votes of the examples on each other calibrate the score.
 
-    Defined cases: no training rows: 0.5 for every text; one label only, or no term found: the
-    share of label 1; a document labelled twice counts once, by its larger label."""
+    Defined cases: no training rows: 0.5 for every text; one label only, or no term: the share
+    of label 1; a document labelled twice counts once, by its larger label."""
     sample, sizes = labelled_sample(docs, labels, label_col, id_col, text_col, parts, rest, per_class)
-    terms_part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) < 3
-    sample = cut(sample.dropDuplicates(["id"]).withColumn("for_terms", terms_part))
+    sample = cut(sample.dropDuplicates(["id"]))
     had = {int(r["label"]): int(r["n"]) for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, positive = sum(had.values()), had.get(1, 0)
     everything_n = sum(sizes.values())
     share = sizes.get(1, 0) / everything_n if everything_n else 0.5
-    if not 0 < positive < rows:
+    if len(had) < 2:
         return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
     weight = {y: sizes[y] / had[y] for y in had}  # sampled rows back to all training rows
-    by_label = {int(r["label"]): int(r["n"]) for r in sample.filter("for_terms").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows, positive = sum(by_label.values()), by_label.get(1, 0)
-    if not 0 < positive < rows:
-        return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
-    counts = cut(term_counts(sample.filter("for_terms").select("text", "label"), "label"))
-    least = 2 * math.log(max(2, counts.count())) + 4
-    g2 = association(F.col("n"), F.col("pos"), rows, positive)
-    strong = counts.filter("n >= 3").withColumn("g", g2).filter(F.col("g") > least)
-    terms = [r["term"] for r in strong.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
+    chosen = cut(sample.select("id", F.col("label").cast("int").alias("label"), "text").orderBy(F.xxhash64("id"), "id").limit(max_examples))
+    chosen = chosen.repartition(shuffle_width(docs.sparkSession))
+
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for b in batches:
+            for t in b.column("text"):
+                found.update(text_terms(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["term"])
+
+    terms = chosen.mapInArrow(terms_of, "term string").distinct().toArrow().column("term").to_pylist()  # those of max_examples texts
     vocabulary = {t: i for i, t in enumerate(sorted(terms))}
 
     blank = ToxicityModel(vocabulary, np.ones(len(vocabulary)), BlockMaxIndex.build([], 0), [], np.zeros(0), 0.0, k)
-    shared = docs.sparkSession.sparkContext.broadcast(blank)  # max_terms words
+    shared = docs.sparkSession.sparkContext.broadcast(blank)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         df = np.zeros(len(model.vocabulary) + 1, np.int64)  # the last counts documents
         for b in batches:
-            for t in b.column("text"):
-                df[list(model.term_frequencies(t.as_py()))] += 1
+            texts = b.column("text").to_pylist()
+            for at in range(0, len(texts), SEARCHES):
+                found = [ids for ids, _ in model.frequencies(texts[at : at + SEARCHES])]
+                df[:-1] += np.bincount(np.concatenate(found), minlength=len(df) - 1)
             df[-1] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["t", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["t", "n"])
 
     everything = id_text(docs, id_col, text_col)
-    df = {r["t"]: r["n"] for r in everything.mapInArrow(frequencies, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    n_docs = df.get(len(vocabulary), 0)
-    idf = np.log((n_docs + 1) / (np.array([df.get(i, 0) for i in range(len(vocabulary))], float) + 1)) + 1
+    counted = everything.mapInArrow(frequencies, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted.column("t").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
     def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tf = [sorted(shared.value.term_frequencies(t.as_py()).items()) for t in b.column("text")]
-            lists = [pa.array([[p[i] for p in x] for x in tf], pa.list_(pa.int64())) for i in (0, 1)]
+            tf = shared.value.frequencies(b.column("text").to_pylist())
+            lists = [pa.array([x[i].astype(np.int64) for x in tf], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), *lists], names=["id", "label", "terms", "tf"])
 
-    held = cut(sample.filter("not for_terms").select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(example_terms, "id string, label int, terms array<bigint>, tf array<bigint>"))
-    empty = {int(r["label"]): int(r["n"]) * weight[int(r["label"])] for r in held.filter(F.size("terms") == 0).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base = (empty.get(1, 0.0) + share) / (sum(empty.values()) + 1)
-    examples = held.filter(F.size("terms") > 0).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()
-    examples.sort(key=lambda r: (r["terms"], r["id"]))  # examples alike share a block, which keeps its bounds tight
-    vectors = [unit(np.array(r["terms"], np.int64), np.array(r["tf"], float), idf) for r in examples]
-    ids, ys = [r["id"] for r in examples], np.array([r["label"] for r in examples], float)
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), ids, ys, base, k)
+    held = chosen.mapInArrow(example_terms, "id string, label int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks()
+    ids, ys = held.column("id").to_pylist(), held.column("label").to_numpy().astype(float)
+    lists = [[x.values.to_numpy() for x in held.column(c)] for c in ("terms", "tf")]
+    vectors = [unit(t, f.astype(float), idf) for t, f in zip(*lists)]
+    empty = [weight[int(y)] * np.array([y, 1.0]) for y, (t, _) in zip(ys, vectors) if not len(t)]
+    toxic, of = np.sum(empty, axis=0) if empty else (0.0, 0.0)
+    base = (toxic + share) / (of + 1)
+    # examples alike share a block, which keeps its bounds tight: those with the same heaviest terms
+    heavy = [tuple(t[np.argsort(-w, kind="stable")[:3]].tolist()) for t, w in vectors]
+    order = sorted((r for r in range(len(ids)) if len(vectors[r][0])), key=lambda r: (heavy[r], ids[r]))  # no terms: no cosine
+    vectors, counts = [vectors[r] for r in order], [(lists[0][r], lists[1][r]) for r in order]
+    ids, ys = [ids[r] for r in order], ys[order]
+    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), ids, ys, base, k, counts=counts)
     model.calibrate(vectors, np.array([weight[int(y)] for y in ys]))
     return model
 
@@ -361,7 +351,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", k
     and ``evidence``: the ``shown`` nearest examples (id, label, cosine).  Null and empty texts,
     and texts without any term, get the base share and no evidence.  Input columns of these
     names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
     kept = docs.drop("score", "evidence") if keep is None else docs.select(*keep, text_col)
     wanted = [c for c in kept.columns if keep is None or c in keep]
     pair = pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])

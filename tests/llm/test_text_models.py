@@ -134,6 +134,32 @@ def test_block_max_searches_together_equal_single_searches():
         assert rows.tolist() == want and np.allclose(cos, all_cos[want])
 
 
+def test_toxicity_cosine_is_taken_over_all_terms(ws, labelled):
+    docs, labels, truth = labelled
+    model = toxicity.fit(docs, labels, "toxic", parts=4, rest=2)
+    assert {int(i) for i in model.ids} == {i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts = {str(r["doc_id"]): r["text"] for r in docs.collect() if r["doc_id"] is not None and r["text"]}
+    n = {t: sum(t in set(toxicity.text_terms(x)) for x in [*texts.values(), texts["7"], "no id"]) for t in model.vocabulary}
+    rows = docs.count()
+    assert set(model.vocabulary) == {t for i in model.ids for t in toxicity.text_terms(texts[i])}
+
+    def vector(text):
+        tf = defaultdict(int)
+        for t in toxicity.text_terms(text):
+            if t in model.vocabulary:
+                tf[t] += 1
+        w = {t: (1 + np.log(c)) * (np.log((rows + 1) / (n[t] + 1)) + 1) for t, c in tf.items()}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / length for t, x in w.items()}
+
+    shown = {r["doc_id"]: r["evidence"] for r in toxicity.score_texts(docs, model).collect()}
+    plain = {i: vector(texts[i]) for i in model.ids}
+    for i in (1, 2, 6, 9, 14, 30):  # clean and toxic, held out and not
+        q = vector(texts[str(i)])
+        cos = sorted((sum(x * v.get(t, 0.0) for t, x in q.items()) for v in plain.values()), reverse=True)
+        assert np.allclose([e["cosine"] for e in shown[i]], cos[:3])
+
+
 def test_terms_are_found_like_in_a_split_text():
     terms = ["loser", "grum-", "grumb-", "one", "two"]
     m = toxicity.ToxicityModel({t: i for i, t in enumerate(terms)}, np.ones(5), toxicity.BlockMaxIndex.build([], 0), [], np.zeros(0), 0.0, 5)
