@@ -59,27 +59,34 @@ FRAME_WORDS = frozenset(
 MAIN_TAGS = frozenset(["article", "main"])
 
 # What a block's place says before any page of its host is compared: the factor its measured
-# importance is multiplied by.  Text of an article is not weighed down for repeating.
-FRAME, PLAIN, ARTICLE = "frame", "plain", "article"
-PRIOR = {FRAME: 0.25, PLAIN: 1.0, ARTICLE: 1.0}
+# importance is multiplied by.  FRAME (by its element or by a name that says nothing else) is a
+# rule; HINT (a compound name with a frame word in it) is a prior that high entropy outvotes.
+FRAME, HINT, PLAIN, ARTICLE = "frame", "hint", "plain", "article"
+PRIOR = {FRAME: 0.0, HINT: 0.35, PLAIN: 1.0, ARTICLE: 1.0}
 
 
-def frame_element(tag: str, names: str, inside_article: bool) -> bool:
-    """Whether an element is frame by its meaning; a header is, unless it opens an article."""
+def frame_element(tag: str, names: str, inside_article: bool) -> str | None:
+    """FRAME for an element that is frame by its meaning (a header is, unless it opens an
+    article) or by one of its names as a whole, HINT for one with a frame word inside a
+    longer name, else None."""
     if tag in FRAME_TAGS or (tag == "header" and not inside_article):
-        return True
-    return tag not in ("html", "body", "article", "main") and not FRAME_WORDS.isdisjoint(_TOKEN.findall(names.lower()))
+        return FRAME
+    if tag in ("html", "body", "article", "main"):
+        return None
+    tokens = [t for t in map(_TOKEN.findall, names.lower().split()) if not FRAME_WORDS.isdisjoint(t)]
+    return None if not tokens else FRAME if any(FRAME_WORDS.issuperset(t) for t in tokens) else HINT
 
 
 def blocks(page: str) -> list[tuple[str, str, str]]:
     """``(path, text, place)`` of the blocks of a page, in page order; the place is FRAME inside an
-    element that is frame by its meaning, else ARTICLE inside an article, else PLAIN.
+    element that is frame by its meaning, HINT inside one whose name only hints at it, else
+    ARTICLE inside an article, else PLAIN.
 
     A path is the chain of block elements with their classes (digits left out).  Formatting
     elements belong to the text of their block, left open or not.  Character references are
     decoded after the markup is cut, so they never make markup.  Comments, scripts and styles
     never reach the text; a truncated page ends where it ends."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, frame, in article
+    stack: list[tuple[str, str, str | None, bool]] = [("", "", None, False)]  # tag, path, frame, in article
     out: list[tuple[str, str, str]] = []
     text: list[str] = []
     at, n = 0, len(page)
@@ -90,7 +97,7 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
             text.clear()
             _, path, frame, article = stack[-1]
             if words:
-                out.append((path, words, FRAME if frame else ARTICLE if article else PLAIN))
+                out.append((path, words, frame or (ARTICLE if article else PLAIN)))
 
     while at < n:
         m = _MARKUP.search(page, at)
@@ -134,7 +141,8 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
                 names += " " + value
             if key == "class":
                 classes = "." + ".".join(sorted(_TOKEN.findall(value.lower())))
-        frame = frame or frame_element(tag, names, article)
+        if frame != FRAME:
+            frame = frame_element(tag, names, article) or frame
         article = article or tag in MAIN_TAGS
         if not m.group(3).endswith("/"):
             stack.append((tag, f"{path}/{tag}{classes}", frame, article))
@@ -146,8 +154,13 @@ def path_key(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
+def branch_key(path: str, place: str) -> int:
+    """Blocks that their element's name hints at are measured apart from others of their path."""
+    return path_key(path + " hint" if place == HINT else path)
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``(host, path, pages, look, content)``: per element path of a host (all of them, main text
+    """``(host, path, hint, pages, look, content)``: per element path of a host (all of them, main text
     and frame) the number of different pages that have it and the entropies (0 to 1) of its look and of its content over them.
 
     ``pages``: ``(host, html)``.  Pages whose blocks are all the same count once.  Counts are
@@ -156,35 +169,36 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, paths, looks, contents, whole = [], [], [], [], []
+            hosts, paths, hints, looks, contents, whole = [], [], [], [], [], []
             for h, page in zip(b.column("host").to_pylist(), b.column("html")):
                 parts = blocks(page.as_py() or "")
-                here: dict[str, list[str]] = {}
-                for path, words, _ in parts:
-                    here.setdefault(path, []).append(words)
+                here: dict[tuple[str, str], list[str]] = {}
+                for path, words, place in parts:
+                    here.setdefault((path, HINT if place == HINT else ""), []).append(words)
                 everything = xxhash.xxh64_intdigest("\n".join(w for _, w, _ in parts)) - (1 << 63)
-                for path, texts in here.items():
+                for (path, place), texts in here.items():
                     hosts.append(h)
-                    paths.append(path_key(path))
+                    paths.append(branch_key(path, place))
+                    hints.append(place == HINT)
                     looks.append(len(texts))
                     contents.append(path_key("\n".join(texts)))
                     whole.append(everything)
-            cols = [pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (paths, looks, contents, whole))]
-            yield pa.RecordBatch.from_arrays(cols, names=["host", "path", "look", "content", "whole"])
+            cols = [pa.array(hosts, pa.string()), pa.array(hints, pa.bool_()), *(pa.array(c, pa.int64()) for c in (paths, looks, contents, whole))]
+            yield pa.RecordBatch.from_arrays(cols, names=["host", "hint", "path", "look", "content", "whole"])
 
-    seen = cut(pages.mapInArrow(run, "host string, path bigint, look bigint, content bigint, whole bigint").distinct())
+    seen = cut(pages.mapInArrow(run, "host string, hint boolean, path bigint, look bigint, content bigint, whole bigint").distinct())
     total = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
 
     def entropy(col: str) -> DataFrame:
-        each = seen.groupBy("host", "path", col).agg(F.count(F.lit(1)).alias("n")).join(total, ["host", "path"])
+        each = seen.groupBy("host", "path", col).agg(F.count(F.lit(1)).alias("n"), F.first("hint").alias("hint")).join(total, ["host", "path"])
         share = F.col("n") / F.col("pages")
-        bits = each.groupBy("host", "path").agg(F.first("pages").alias("pages"), F.sum(-share * F.log(share)).alias("bits"))
+        bits = each.groupBy("host", "path").agg(F.first("pages").alias("pages"), F.first("hint").alias("hint"), F.sum(-share * F.log(share)).alias("bits"))
         scaled = F.when(F.col("pages") > 1, F.col("bits") / F.log(F.greatest("pages", F.lit(2)))).otherwise(1.0)  # one page tells nothing
-        return bits.select("host", "path", "pages", scaled.alias(f"{col}_entropy"))
+        return bits.select("host", "path", "hint", "pages", scaled.alias(f"{col}_entropy"))
 
-    look = entropy("look").drop("pages")
+    look = entropy("look").drop("pages", "hint")
     return entropy("content").join(look, ["host", "path"]).select(
-        "host", "path", "pages", F.col("look_entropy").alias("look"), F.col("content_entropy").alias("content")
+        "host", "path", "hint", "pages", F.col("look_entropy").alias("look"), F.col("content_entropy").alias("content")
     )
 
 
@@ -194,6 +208,7 @@ def extract_text(
     url_col: str = "url",
     html_col: str = "html",
     least_pages: int = 4,
+    sure_pages: int = 8,
     least_importance: float = 0.3,
     weight: float = 0.9,
 ) -> DataFrame:
@@ -202,12 +217,14 @@ def extract_text(
 
     Measured importance of a path = ``weight`` times the entropy of its content plus the rest
     times the entropy of its look, over the different pages of the host (1 while fewer than
-    ``least_pages`` have it).  It is multiplied by the prior of the path's place: elements that
-    are frame by their meaning (menus, headers, footers, sidebars, notices, adverts, forms,
-    comments) start low, whatever their texts; an article's blocks are at least
-    ``least_importance``.  Branches below ``least_importance`` are cut from every page.
-
-    Only the paths to cut (a site's template) are joined to the pages, by host, so pages are
+    ``least_pages`` have it).  It is multiplied by the prior of the path's place.  Settled by
+    rule, whatever the texts: elements that are frame by their meaning (menus, headers, footers,
+    sidebars, notices, adverts, forms, comments; many of them differ from page to page) go.
+    Where ``sure_pages`` different pages of a host have a path, the measure also decides over
+    the text of articles, and over names that only hint at a frame; with fewer, articles stay
+    and hinted branches go.  Branches below ``least_importance`` are cut from every page.
+
+    Only the paths to cut (a site's template) and the hinted ones to keep are joined to the pages, by host, so pages are
     not shuffled while that table is small, and otherwise once (AQE splits a hot host).
 
     Defined cases: null or empty html: empty text; null url: host empty (a site of its own);
@@ -216,15 +233,17 @@ def extract_text(
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     importance = weight * F.col("content") + (1 - weight) * F.col("look")
     tree = style_tree(rows.select("host", "html")).withColumn("importance", importance)
-    tree = tree.filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    low = cut(tree.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("low")))
+    cuts = ~F.col("hint") & (F.col("pages") >= least_pages) & (F.col("importance") < least_importance)
+    keeps = F.col("hint") & (F.col("pages") >= sure_pages) & (F.col("importance") * PRIOR[HINT] >= least_importance)
+    sure = (F.col("pages") >= sure_pages).alias("sure")
+    low = cut(tree.filter(cuts | keeps).groupBy("host").agg(F.collect_list(F.struct("path", "importance", sure)).alias("low")))
     rows = rows.join(low, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for page, low in zip(b.column("html"), b.column("low")):
-                measured = {x["path"]: x["importance"] for x in low.as_py() or ()}
+                measured = {x["path"]: (x["importance"], x["sure"]) for x in low.as_py() or ()}
                 kept = [w for path, w, place in blocks(page.as_py()) if branch_importance(path, place, measured) >= least_importance]
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
@@ -234,13 +253,15 @@ def extract_text(
     )
 
 
-def branch_importance(path: str, place: str, measured: dict[int, float]) -> float:
+def branch_importance(path: str, place: str, measured: dict[int, tuple[float, bool]]) -> float:
     """The smallest importance of the path and those above it (1 where nothing was measured)
-    times the prior of its place."""
-    if place == ARTICLE or not measured:
-        return PRIOR[place]
+    times the prior of its place.  In an article and under a hint the path's own counts, if
+    enough pages have it (else 1 and 0)."""
+    if place in (ARTICLE, HINT):
+        importance, sure = measured.get(branch_key(path, place), (0.0, False))
+        return PRIOR[place] * importance if sure else float(place == ARTICLE)
     least = 1.0
-    while path:
-        least = min(least, measured.get(path_key(path), 1.0))
+    while path and place != FRAME and measured:
+        least = min(least, measured.get(path_key(path), (1.0, False))[0])
         path = path[: path.rindex("/")]
     return PRIOR[place] * least

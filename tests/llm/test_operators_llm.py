@@ -142,6 +142,21 @@ def test_style_tree_cuts_what_a_host_repeats(ws):
     assert got[100].startswith("Follow us") and all(got[200 + i].startswith("Follow us") for i in range(9))
 
 
+def texts_of(ws, rows):
+    return {r["id"]: r["text"] for r in extract_text(ws.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_measured_importance_decides_in_articles_and_outvotes_hints(ws):
+    body = "<article><h1>Title {0}</h1><p>Story {0}</p><div>Pass it on to friends</div></article><div class=share-price><p>{1}</p></div><div class=comments><p>Me {0}</p></div>"
+    rows = [(i, f"http://site.com/{i}", page(body.format(i, f"Price of day {i}"))) for i in range(12)]
+    rows += [(100 + i, f"http://same.com/{i}", page(body.format(i, "Our shares"))) for i in range(12)]
+    rows += [(200 + i, f"http://few.com/{i}", page(body.format(i, f"Price of day {i}"))) for i in range(3)]
+    got = texts_of(ws, rows)
+    assert all(got[i] == f"Title {i}\nStory {i}\nPrice of day {i}" for i in range(12))
+    assert all(got[100 + i] == f"Title {i}\nStory {i}" for i in range(12))
+    assert all(got[200 + i] == f"Title {i}\nStory {i}\nPass it on to friends" for i in range(3))
+
+
 def test_blocks_survive_broken_markup():
     for t in ("<", "<p", "<p class='x", "</p></div>", "<!-- open", "<script>never closed", "a < b > c", "<a href=\"x>y", "<p/><div></p>x"):
         blocks(t)
