@@ -57,6 +57,8 @@ FRAME_WORDS = frozenset(
     sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
+# Words that make a name say how a page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("has with without no not is layout".split())
 
 # What a block's place says before any page of its host is compared: the factor its measured
 # importance is multiplied by.  FRAME (by its element or by a name that says nothing else) is a
@@ -68,26 +70,28 @@ PRIOR = {FRAME: 0.0, HINT: 0.35, PLAIN: 1.0, ARTICLE: 1.0}
 def frame_element(tag: str, names: str, inside_article: bool) -> str | None:
     """FRAME for an element that is frame by its meaning (a header is, unless it opens an
     article) or by one of its names as a whole, HINT for one with a frame word inside a
-    longer name, else None."""
+    longer name, else None.  Names of a layout (has-sidebar) say nothing."""
     if tag in FRAME_TAGS or (tag == "header" and not inside_article):
         return FRAME
     if tag in ("html", "body", "article", "main"):
         return None
-    tokens = [t for t in map(_TOKEN.findall, names.lower().split()) if not FRAME_WORDS.isdisjoint(t)]
+    tokens = [t for t in map(_TOKEN.findall, names.lower().split()) if not FRAME_WORDS.isdisjoint(t) and LAYOUT_WORDS.isdisjoint(t)]
     return None if not tokens else FRAME if any(FRAME_WORDS.issuperset(t) for t in tokens) else HINT
 
 
 def blocks(page: str) -> list[tuple[str, str, str]]:
     """``(path, text, place)`` of the blocks of a page, in page order; the place is FRAME inside an
     element that is frame by its meaning, HINT inside one whose name only hints at it, else
-    ARTICLE inside an article, else PLAIN.
+    ARTICLE inside an article, else PLAIN.  An article or main element is not under the names of
+    the elements around it, only (an article) under those that say FRAME, and a hint on an
+    element that holds most of the page's text outside FRAME says nothing.
 
     A path is the chain of block elements with their classes (digits left out).  Formatting
     elements belong to the text of their block, left open or not.  Character references are
     decoded after the markup is cut, so they never make markup.  Comments, scripts and styles
     never reach the text; a truncated page ends where it ends."""
-    stack: list[tuple[str, str, str | None, bool]] = [("", "", None, False)]  # tag, path, frame, in article
-    out: list[tuple[str, str, str]] = []
+    stack: list[tuple[str, str, str | None, bool, int]] = [("", "", None, False, 0)]  # tag, path, frame, in article, hinting element
+    out: list[tuple[str, str, str, bool, int]] = []
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -95,9 +99,9 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
-            _, path, frame, article = stack[-1]
+            _, path, frame, article, hinting = stack[-1]
             if words:
-                out.append((path, words, frame or (ARTICLE if article else PLAIN)))
+                out.append((path, words, frame or (ARTICLE if article else PLAIN), article, hinting))
 
     while at < n:
         m = _MARKUP.search(page, at)
@@ -133,7 +137,7 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
             continue
         while len(stack) > 1 and tag in CLOSES.get(stack[-1][0], ()):
             stack.pop()
-        _, path, frame, article = stack[-1]
+        _, path, frame, article, hinting = stack[-1]
         names, classes = "", ""
         for a in _ATTR.finditer(m.group(3)):
             key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
@@ -141,13 +145,26 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
                 names += " " + value
             if key == "class":
                 classes = "." + ".".join(sorted(_TOKEN.findall(value.lower())))
+        if tag in MAIN_TAGS and (frame == HINT or (tag == "main" and not any(x[0] in FRAME_TAGS or x[0] == "header" for x in stack))):
+            frame = None
         if frame != FRAME:
-            frame = frame_element(tag, names, article) or frame
+            own = frame_element(tag, names, article)
+            hinting = at if own == HINT and frame is None else hinting
+            frame = own or frame
         article = article or tag in MAIN_TAGS
         if not m.group(3).endswith("/"):
-            stack.append((tag, f"{path}/{tag}{classes}", frame, article))
+            stack.append((tag, f"{path}/{tag}{classes}", frame, article, hinting))
     flush()
-    return out
+    length: dict[int, int] = {}
+    for _, words, place, _, hinting in out:
+        if place != FRAME:
+            under = hinting if place == HINT else 0
+            length[under] = length.get(under, 0) + len(words)
+    most = {x for x, n in length.items() if x and 2 * n > sum(length.values())}
+    return [
+        (path, words, (ARTICLE if article else PLAIN) if place == HINT and hinting in most else place)
+        for path, words, place, article, hinting in out
+    ]
 
 
 def path_key(path: str) -> int:

@@ -157,6 +157,17 @@ def test_measured_importance_decides_in_articles_and_outvotes_hints(ws):
     assert all(got[200 + i] == f"Title {i}\nStory {i}\nPass it on to friends" for i in range(3))
 
 
+def test_a_wrapper_named_after_a_layout_keeps_its_article(ws):
+    names = ["has-sidebar", "with-sidebar", "no-sidebar", "search-results", "share-price", "banner-layout", "response-text"]
+    rows = [(i, f"http://h{i}.com/", page(f"<div id=page class={n}><article><p>Whole story</p></article></div>")) for i, n in enumerate(names)]
+    rows += [(100 + i, f"http://m{i}.com/", page(f"<div class={n}><p>Long story of a page</p></div><p>end</p>")) for i, n in enumerate(names)]
+    rows.append((200, "http://c.com/", page("<main><p>Text</p></main><div class=comments><article>Me too</article></div><div class=main-sidebar>x</div>")))
+    rows.append((201, "http://d.com/", page("<div class=sidebar><main><p>Text</p></main></div>")))
+    got = texts_of(ws, rows)
+    assert all(got[i] == "Whole story" and got[100 + i] == "Long story of a page\nend" for i in range(len(names)))
+    assert got[200] == got[201] == "Text"
+
+
 def test_blocks_survive_broken_markup():
     for t in ("<", "<p", "<p class='x", "</p></div>", "<!-- open", "<script>never closed", "a < b > c", "<a href=\"x>y", "<p/><div></p>x"):
         blocks(t)
