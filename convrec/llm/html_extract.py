@@ -80,6 +80,11 @@ def frame_element(tag: str, names: str, inside_article: bool) -> str | None:
 
 
 def blocks(page: str) -> list[tuple[str, str, str]]:
+    """The blocks of ``blocks_and_looks``."""
+    return blocks_and_looks(page)[0]
+
+
+def blocks_and_looks(page: str) -> tuple[list[tuple[str, str, str]], dict[str, list[str]]]:
     """``(path, text, place)`` of the blocks of a page, in page order; the place is FRAME inside an
     element that is frame by its meaning, HINT inside one whose name only hints at it, else
     ARTICLE inside an article, else PLAIN.  An article or main element is not under the names of
@@ -89,9 +94,13 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
     A path is the chain of block elements with their classes (digits left out).  Formatting
     elements belong to the text of their block, left open or not.  Character references are
     decoded after the markup is cut, so they never make markup.  Comments, scripts and styles
-    never reach the text; a truncated page ends where it ends."""
+    never reach the text; a truncated page ends where it ends.
+
+    The look of a path is the sequence of the child elements (with their classes) of the
+    elements it stands for, in page order, those of an element after a "|"."""
     stack: list[tuple[str, str, str | None, bool, int]] = [("", "", None, False, 0)]  # tag, path, frame, in article, hinting element
     out: list[tuple[str, str, str, bool, int]] = []
+    looks: dict[str, list[str]] = {}
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -130,6 +139,7 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
                     break  # an end tag does not reach beyond the part of the page it stands in
             continue
         if tag in VOID:
+            looks.setdefault(stack[-1][1], []).append(tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -152,7 +162,9 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
             hinting = at if own == HINT and frame is None else hinting
             frame = own or frame
         article = article or tag in MAIN_TAGS
+        looks.setdefault(path, []).append(tag + classes)
         if not m.group(3).endswith("/"):
+            looks.setdefault(f"{path}/{tag}{classes}", []).append("|")
             stack.append((tag, f"{path}/{tag}{classes}", frame, article, hinting))
     flush()
     length: dict[int, int] = {}
@@ -164,7 +176,7 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
     return [
         (path, words, (ARTICLE if article else PLAIN) if place == HINT and hinting in most else place)
         for path, words, place, article, hinting in out
-    ]
+    ], looks
 
 
 def path_key(path: str) -> int:
@@ -188,7 +200,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for b in batches:
             hosts, paths, hints, looks, contents, whole = [], [], [], [], [], []
             for h, page in zip(b.column("host").to_pylist(), b.column("html")):
-                parts = blocks(page.as_py() or "")
+                parts, children = blocks_and_looks(page.as_py() or "")
                 here: dict[tuple[str, str], list[str]] = {}
                 for path, words, place in parts:
                     here.setdefault((path, HINT if place == HINT else ""), []).append(words)
@@ -197,7 +209,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     hosts.append(h)
                     paths.append(branch_key(path, place))
                     hints.append(place == HINT)
-                    looks.append(len(texts))
+                    looks.append(path_key(" ".join(children.get(path, ()))))
                     contents.append(path_key("\n".join(texts)))
                     whole.append(everything)
             cols = [pa.array(hosts, pa.string()), pa.array(hints, pa.bool_()), *(pa.array(c, pa.int64()) for c in (paths, looks, contents, whole))]

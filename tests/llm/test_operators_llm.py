@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from convrec.llm import bpe, token_files
 from convrec.llm.exact_topk import BitSlices, top_products
-from convrec.llm.html_extract import blocks, extract_text
+from convrec.llm.html_extract import blocks, extract_text, path_key, style_tree
 from convrec.llm.mixing import repeat_rows, sample_mix, source_targets, word_count
 from convrec.llm.nn_descent import nearest_products
 from convrec.llm.url_filter import judge_urls
@@ -168,6 +168,14 @@ def test_a_wrapper_named_after_a_layout_keeps_its_article(ws):
     assert got[200] == got[201] == "Text"
 
 
+def test_look_is_the_sequence_of_child_elements(ws):
+    kids = ["<hr>", "<table></table>", "<ul></ul>", "<div class=x></div>"]
+    rows = [("h", page(f"<section>Same{kids[i]}</section><p>{i}</p>")) for i in range(4)] + [("g", page(f"<section>Same<hr></section><p>{i}</p>")) for i in range(4)]
+    tree = {(r["host"], r["path"]): r for r in style_tree(ws.createDataFrame(rows, "host string, html string")).collect()}
+    look = {h: tree[h, path_key("/html/body/section")]["look"] for h in "hg"}
+    assert abs(look["h"] - 1) < 1e-9 and look["g"] == 0 and tree["h", path_key("/html/body/section")]["content"] == 0
+
+
 def test_blocks_survive_broken_markup():
     for t in ("<", "<p", "<p class='x", "</p></div>", "<!-- open", "<script>never closed", "a < b > c", "<a href=\"x>y", "<p/><div></p>x"):
         blocks(t)
