@@ -307,6 +307,23 @@ def test_nn_descent_recall_and_exact_scores(ws):
     assert nearest_products(df.filter("false"), F.col("id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["outlier", "uneven"])
+def test_nn_descent_recall_with_uneven_lengths(ws, lengths):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "outlier":
+        x[7] *= 1000
+    else:
+        x *= np.exp(rng.normal(size=(3000, 1)))
+    df = ws.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in nearest_products(df, F.col("id") % 50 == 0, k=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(found[i] & {v for _, v in best(x @ x[i], i, 20)}) / 20 for i in range(0, 3000, 50)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_pipeline_stages_against_plain_versions(ws):
     import corpus_pipeline as cp
 
