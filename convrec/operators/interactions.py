@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from convrec.session import ensure_checkpoint_dir
+from convrec.session import Generations, staged
 
 
 def filter_titled(meta: DataFrame, title_col: str = "title", min_len: int = 2) -> DataFrame:
@@ -43,48 +43,68 @@ def k_core(
 
     Users and items below ``k`` rows are taken out together until none is left, which is
     when both minima reach ``k`` (A3).  Rows are counted once (A2, partial aggregates: a
-    hot user costs one row per task); after that a round only looks for the rows of the keys
-    that have just fallen below ``k``, and subtracts them from the counts of their other
-    ends.  The log itself is written twice, as the input and as the core, not once a round:
-    a round reads it against the fallen keys (few, and fewer each round; AQE broadcasts
-    them after measuring) and writes the table of counts.  One number a round reaches
-    the driver.
+    hot user costs one row per task); after that a round only looks for the rows that leave
+    with the keys that have just fallen below ``k``, and subtracts them from the counts of
+    their other ends.  The state is one written table, ``(key, rows left, round in which it
+    fell)``; a row leaves in the earlier round of its two ends.  A round is one shuffle, of the
+    state and the leaving rows added up; the fallen keys are joined (AQE and the size of
+    their file decide how).  The pairs are written anew,
+    and the fallen keys forgotten, only when at least half of the rows have gone, so all
+    rewritings together cost less than two of the log.  Two numbers a round, observed on
+    the rows written, reach the driver; replaced tables are deleted (``Generations``).
 
     Rows without user or item belong to no core.  An input where nobody reaches ``k`` gives an
     empty DataFrame; a ``max_rounds`` that is reached raises instead of returning a
     partial core."""
-    ensure_checkpoint_dir(ratings.sparkSession)
-    base = ratings.filter(F.col(user_col).isNotNull() & F.col(item_col).isNotNull()).checkpoint()
+    base = staged(ratings.filter(F.col(user_col).isNotNull() & F.col(item_col).isNotNull()), "kcore-log")
+    tables = Generations(ratings.sparkSession, "kcore")
 
-    def per_key(rows: DataFrame, n: str) -> DataFrame:
-        """Rows per user and per item in one aggregate: ``(u, i, n)``, one of u and i null."""
+    def both_ends(rows: DataFrame, n: int) -> DataFrame:
+        """Two rows a pair, ``(u, i, n, fell)`` with one of u and i null: its user and its item."""
         ends = F.array(
             F.struct(F.col(user_col).alias("u"), F.lit(None).cast(base.schema[item_col].dataType).alias("i")),
             F.struct(F.lit(None).cast(base.schema[user_col].dataType).alias("u"), F.col(item_col).alias("i")),
         )
-        return rows.select(F.explode(ends).alias("e")).groupBy("e.u", "e.i").agg(F.count(F.lit(1)).alias(n))
+        return rows.select(F.explode(ends).alias("e")).select("e.u", "e.i", F.lit(n).cast("long").alias("n"), F.lit(None).cast("int").alias("fell"))
+
+    def settle(changes: DataFrame, turn: int) -> tuple[DataFrame, int, int]:
+        """The state after adding up ``changes`` (one aggregate, combined before its shuffle), the
+        number of keys that fall in this ``turn``, and the rows that are left."""
+        sums = changes.groupBy("u", "i").agg(F.sum("n").alias("n"), F.max("fell").alias("fell"))
+        fell = F.coalesce("fell", F.when(F.col("n") < k, F.lit(turn)))
+        falls = F.col("fell") == turn
+        seen = Observation()
+        state = sums.withColumn("fell", fell).observe(
+            seen,
+            F.count(F.when(falls, 1)).alias("falls"),
+            F.sum(F.when(F.col("u").isNotNull() & (F.col("fell").isNull() | falls), F.col("n"))).alias("rows"),
+        )
+        state = tables.put("state", state)
+        return state, seen.get["falls"], seen.get["rows"] or 0
 
-    counts = per_key(base, "n").checkpoint()
-    gone: DataFrame | None = None  # keys taken out in earlier rounds
+    pairs = base.select(user_col, item_col)
+    state, falls, left = settle(both_ends(pairs, 1), 1)
     rounds = 0
-    while (fallen := counts.filter(F.col("n") < k)).count():
+    written, since = left, 0  # rows of ``pairs`` when last written; keys fallen up to then are out of them
+    while falls:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"k-core not reached within {max_rounds} rounds")
+        if 2 * left <= written:
+            pairs = tables.put("pairs", _without(pairs, state.filter(F.col("fell") <= rounds), user_col, item_col))
+            written, since = left, rounds
         rounds += 1
-        low_u = fallen.filter(F.col("u").isNotNull()).select(F.col("u").alias(user_col), F.lit(True).alias("__lu"))
-        low_i = fallen.filter(F.col("i").isNotNull()).select(F.col("i").alias(item_col), F.lit(True).alias("__li"))
-        leaving = base.select(user_col, item_col).join(low_u, user_col, "left").join(low_i, item_col, "left")
-        leaving = leaving.filter(F.col("__lu") | F.col("__li"))
-        if gone is not None:
-            leaving = _without(leaving, gone, user_col, item_col)
-        minus = per_key(leaving, "m").withColumnsRenamed({"u": "__u", "i": "__i"})
-        same = F.col("u").eqNullSafe(F.col("__u")) & F.col("i").eqNullSafe(F.col("__i"))
-        kept = counts.filter(F.col("n") >= k).join(minus, same, "left")
-        gone = fallen.select("u", "i") if gone is None else gone.unionByName(fallen.select("u", "i"))
-        counts = kept.select("u", "i", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).checkpoint()
-    rows = counts.filter(F.col("u").isNotNull()).agg(F.sum("n").alias("n")).first()["n"]
-    core = base if gone is None else _without(base, gone, user_col, item_col).select(*ratings.columns).checkpoint()
-    return KCoreResult(core=core, rounds=rounds, rows=int(rows or 0))
+        gone = state.filter(F.col("fell") > since)
+        by_u = gone.filter(F.col("u").isNotNull()).select(F.col("u").alias(user_col), F.col("fell").alias("__fu"))
+        by_i = gone.filter(F.col("i").isNotNull()).select(F.col("i").alias(item_col), F.col("fell").alias("__fi"))
+        leaving = pairs.join(by_u, user_col, "left").join(by_i, item_col, "left").filter(F.least("__fu", "__fi") == rounds)
+        state, falls, left = settle(state.unionByName(both_ends(leaving, -1)), rounds + 1)
+        tables.sweep()
+    core = base.select(*ratings.columns)
+    if rounds:
+        core = staged(_without(base, state.filter("fell is not null"), user_col, item_col).select(*ratings.columns), "kcore-core")
+    for name in list(tables.current):
+        tables.drop(name)
+    return KCoreResult(core=core, rounds=rounds, rows=left)
 
 
 def _without(rows: DataFrame, gone: DataFrame, user_col: str, item_col: str) -> DataFrame:
@@ -137,19 +157,18 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], num
     The rows are range-partitioned on ``group + order`` (Spark samples the key
     distribution, so a group holding a third of all rows is cut into many
     partitions, each a contiguous slice of the group's order) and ranked inside
-    ``(group, partition)``.  This ranking is written once (a reliable checkpoint): both
+    ``(group, partition)``.  This ranking is written once (``staged``): both
     branches below read the very same slices.  Each slice's offset is the prefix sum of
     the slice sizes of the same group, a table with one row per group and partition; every
     row must find its slice, else the job fails."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(parts, *[F.col(c).asc() for c in group_cols + order_cols]).withColumn(
         "__part", F.spark_partition_id()
     )
     w = Window.partitionBy(*group_cols, "__part")
     r = r.withColumn("__lr", F.row_number().over(w.orderBy(*order_cols))).withColumn("__pc", F.count(F.lit(1)).over(w))
-    r = r.checkpoint()
+    r = staged(r, "ranked")
     slices = r.groupBy(*group_cols, "__part").agg(F.max("__pc").alias("__pc"))
     wo = Window.partitionBy(*group_cols).orderBy("__part")
     offsets = slices.withColumn(

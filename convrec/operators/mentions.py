@@ -36,7 +36,7 @@ from pyspark.sql import Window
 from convrec.config import ENTITY_STOP_WORDS
 from convrec.functions.ngrams import char_ngrams, char_ngrams_of_normalized, normalize_for_ngrams, whole_word_pattern, word_runs
 from convrec.functions.text import compute_then_filter, usplit, ustrip
-from convrec.session import ensure_checkpoint_dir, shuffle_partitions
+from convrec.session import shuffle_partitions, staged
 
 EPS = 1e-9
 
@@ -85,12 +85,11 @@ def detect_mentions(
         .withColumn("t_runs", word_runs("tl"))
     )
     # four plan branches read the texts with their word lists: compute those once and cut
-    # the lineage with a reliable checkpoint instead of re-running the regexes per branch
-    ensure_checkpoint_dir(texts.sparkSession)
-    t = t.checkpoint(eager=True)
+    # the lineage with a written table instead of re-running the regexes per branch
+    t = staged(t, "mention-texts")
     # The entity side (one row per entity) is read by a dozen plan branches below; it is
-    # cut once with a reliable checkpoint in the shared checkpoint folder as well.
-    ents = _prepare_entities(entities, n).filter(F.size("e_words") > 0).checkpoint(eager=True)
+    # written once in the shared checkpoint folder as well.
+    ents = staged(_prepare_entities(entities, n).filter(F.size("e_words") > 0), "mention-entities")
 
     # ---- exact path (T9) -------------------------------------------------------------
     t_runs = t.select(*key_cols, F.explode("t_runs").alias("run"))
@@ -136,15 +135,11 @@ def detect_mentions(
     t_n = compute_then_filter(
         t_n, {"__head": F.size(char_ngrams_of_normalized(F.col("__norm").substr(F.lit(1), F.lit(limit + n)), n))}, F.col("__head") <= limit
     )
-    # the short texts are read three times below: materialize them once (reliable checkpoint)
-    tf = (
-        compute_then_filter(
-            t_n, {"t_grams": char_ngrams_of_normalized(F.col("__norm"), n)}, (F.size("t_grams") >= 1) & (F.size("t_grams") <= limit)
-        )
-        .withColumn("t_n", F.size("t_grams"))
-        .drop("__norm", "__head")
-        .checkpoint(eager=True)
+    # the short texts are read three times below: written once
+    tf = compute_then_filter(
+        t_n, {"t_grams": char_ngrams_of_normalized(F.col("__norm"), n)}, (F.size("t_grams") >= 1) & (F.size("t_grams") <= limit)
     )
+    tf = staged(tf.withColumn("t_n", F.size("t_grams")).drop("__norm", "__head"), "mention-short-texts")
     # global n-gram order: rarest first (ties by the n-gram)
     g_all = tf.select(F.explode("t_grams").alias("g")).unionByName(fe.select(F.explode("e_grams").alias("g")))
     g_freq = g_all.groupBy("g").agg(F.count(F.lit(1)).alias("f"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,5 +58,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read back: lineage is cut, a
+    lost executor costs nothing, and the size that the optimizer sees is that of the files.  (A
+    checkpointed frame keeps the estimate of the plan that made it; a join multiplies the
+    estimates of its sides, so the state of a loop would carry numbers that grow with every
+    round.)"""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Generations:
+    """The state of a loop as written tables.  ``put(name, df)`` writes the next table of that name
+    and reads it back; ``sweep()``, called when a round's tables all stand, deletes those that
+    were replaced, so the folder holds the last table of each name.  Frames built on a swept
+    table can no longer be read: what outlives a round is put under a name of its own."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+        self.current: dict[str, str] = {}
+        self.replaced: list[str] = []
+        self.turn = 0
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.turn += 1
+        path = f"{self.root}/{name}-{self.turn}"
+        df.write.parquet(path)
+        if name in self.current:
+            self.replaced.append(self.current[name])
+        self.current[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def sweep(self) -> None:
+        while self.replaced:
+            self._delete(self.replaced.pop())
+
+    def drop(self, name: str) -> None:
+        """Delete the table of this name: nothing reads it any more."""
+        self._delete(self.current.pop(name))
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -48,6 +48,31 @@ def test_kcore_round_limit(spark):
         ops.k_core(df, 2, max_rounds=1)
 
 
+def test_kcore_rounds_stay_alike(spark, monkeypatch):
+    """A path loses its two ends a round: many rounds, none of whose plans may carry a size
+    estimate that grows, and no more than the last table of each name stays."""
+    from convrec.session import Generations
+
+    bits, kept = [], []
+    put, sweep = Generations.put, Generations.sweep
+
+    def measured(self, name, df):
+        bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return put(self, name, df)
+
+    def swept(self):
+        sweep(self)
+        kept.append(len(self.current) + len(self.replaced))
+
+    monkeypatch.setattr(Generations, "put", measured)
+    monkeypatch.setattr(Generations, "sweep", swept)
+    df = spark.createDataFrame([(j // 2, f"i{(j + 1) // 2}") for j in range(44)], "user_id int, item_id string")
+    res = ops.k_core(df, 2)
+    assert res.rounds >= 20 and res.rows == 0 and res.core.count() == 0
+    assert max(bits) < 64 and max(bits[-5:]) <= max(bits[:5]) + 4
+    assert max(kept) <= 2
+
+
 def test_kcore_empty(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "user_id int, item_id int")
     res = ops.k_core(df, 5)
