@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convrec.session import ensure_checkpoint_dir
+from convrec.session import staged
 
 # ASCII letters only: the contracts lower-case A-Z and nothing else.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,10 +32,9 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` with a reliable checkpoint in the shared folder, so that several
-    readers (or later rounds) do not recompute it and a lost executor costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a written table in the shared folder, so that several readers (or later rounds) do
+    not recompute it and a lost executor costs nothing."""
+    return staged(df, "cut")
 
 
 def ascii_lower(c: Column) -> Column:

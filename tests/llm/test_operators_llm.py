@@ -357,3 +357,24 @@ def test_registry_without_the_optional_folders():
     names = list(e.queries())
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
     assert not any(m.startswith("convrec.llm") for m in sys.modules if m.startswith("convrec.operators"))
+
+
+def test_components_of_a_long_path_have_plans_of_one_size(ws, monkeypatch):
+    from convrec.llm.components import smallest_reachable
+    from convrec.session import Generations
+
+    bits = []
+    put = Generations.put
+
+    def measured(self, name, df):
+        bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return put(self, name, df)
+
+    monkeypatch.setattr(Generations, "put", measured)
+    order = np.random.default_rng(3).permutation(20_000)
+    path = [(int(a), int(b)) for a, b in zip(order[:-1], order[1:]) if a != 777]
+    cutoff = int(np.flatnonzero(order == 777)[0])
+    got = {r["node"]: r["root"] for r in smallest_reachable(ws.createDataFrame(path, "a bigint, b bigint")).collect()}
+    want = {int(x): int(part.min()) for part in (order[: cutoff + 1], order[cutoff + 1 :]) if len(part) > 1 for x in part}
+    assert got == want
+    assert len(bits) > 12 and max(bits) < 128 and max(bits[-5:]) <= max(bits[:10])
