@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convrec.llm import bpe, oracles, quality, toxicity
+from convrec.llm.block_naming import exact_duplicates
 from convrec.llm.common import cut, table, workers_import
 from convrec.llm.exact_topk import top_products
 from convrec.llm.html_extract import extract_text
@@ -21,6 +22,7 @@ from convrec.llm.nn_descent import nearest_products
 from convrec.llm.simhash import near_duplicates
 from convrec.llm.token_files import store_and_read
 from convrec.llm.url_filter import judge_urls
+from convrec.llm.whitening import whiten
 
 LLM_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -130,3 +132,14 @@ def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=1)
     return out.withColumnRenamed("id", "doc_id")
+
+
+@llm_query("op11_block_naming", oracles.BLOCK_NAMING)
+def op11_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@llm_query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), k=32).withColumnRenamed("id", "vec_id")
