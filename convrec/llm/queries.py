@@ -20,6 +20,7 @@ from convrec.llm.html_extract import extract_text
 from convrec.llm.mixing import sample_mix, word_count
 from convrec.llm.nn_descent import nearest_products
 from convrec.llm.simhash import near_duplicates
+from convrec.llm.term_tree import best_documents
 from convrec.llm.token_files import store_and_read
 from convrec.llm.url_filter import judge_urls
 from convrec.llm.whitening import whiten
@@ -140,6 +141,11 @@ def op11_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@llm_query("op12_term_tree", oracles.TERM_TREE)
+def op12_term_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 @llm_query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), k=32).withColumnRenamed("id", "vec_id")
