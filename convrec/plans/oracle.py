@@ -150,6 +150,19 @@ SELECT t.user_id, {SCEN_NAMES}[t.sidx + 1] AS scenario, t.t_item AS target_item,
 FROM t LEFT JOIN hu ON t.user_id = hu.user_id"""
     )
 
+def history_sql(k: int, n: int, rounds: int) -> str:
+    """Per core user the sampled history items (W3, W4): ``user_id, item, place``; a user
+    without any has one row whose item is null."""
+    return (
+        with_(INTER, REVIEWS, kcore_cte(k, rounds))
+        + f""", ranked AS (
+  SELECT user_id, CAST(item_id AS VARCHAR) AS item,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, rating DESC, CAST(item_id AS VARCHAR) DESC, title DESC, text DESC) AS rd
+  FROM reviews WHERE user_id IN (SELECT user_id FROM core) AND item_id IN (SELECT item_id FROM core))
+SELECT user_id, CASE WHEN rd > 1 THEN item END AS item, -rd AS place FROM ranked WHERE rd <= {n}"""
+    )
+
+
 MARKER = """marker AS (
   SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[USR]: ' ELSE '[AI]: ' END || text, chr(10) ORDER BY turn) AS response
   FROM conversations WHERE role <> 'system' GROUP BY conv_id)"""
