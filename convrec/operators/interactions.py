@@ -205,32 +205,44 @@ def latest_interactions(
     user_col: str = "user_id",
     order_cols: tuple[str, ...] = ("timestamp", "rating", "item_id", "title", "text"),
     salt_buckets: int = 64,
+    arrival_cols: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """W2 + W3 + W4: per user the ``target`` (last interaction by the whole tuple) and the
     history window ``sampled`` = ``all[-k:-1]`` with ``k = min(len, n)`` (at most n-1 items,
     in order; empty for a user with one interaction), plus ``interaction_len``.
 
+    With ``arrival_cols`` (parity, Q1) the window is cut from the user's rows in their order of
+    arrival instead (``sources.readers.with_arrival``), so it may hold the target and miss
+    recent rows; the target is still the last by the tuple.
+
     Only the last ``n`` rows of a user matter, so they are found in two steps: the last
     ``n`` inside ``(user, salt)`` groups (the salt is a hash of the row, so a hot user is
     spread over ``salt_buckets`` tasks), then the last ``n`` of those at most
-    ``n * salt_buckets`` rows per user.  The user's length is a partial-aggregate count.
-    Every collected array holds at most ``n`` rows."""
-    key = [F.col(c) for c in order_cols]
-    desc = [F.col(c).desc() for c in order_cols]
-    salted = inter.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(salt_buckets)))
+    ``n * salt_buckets`` rows per user.  The user's length (and the target, under parity) is a
+    partial aggregate.  Every collected array holds at most ``n`` rows."""
+    by = arrival_cols or order_cols
+    desc = [F.col(c).desc() for c in by]
+    salted = inter.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salt_buckets)))
     top1 = salted.withColumn("__r", F.row_number().over(Window.partitionBy(user_col, "__salt").orderBy(*desc))).filter(
         F.col("__r") <= n
     )
     top = top1.withColumn("__r", F.row_number().over(Window.partitionBy(user_col).orderBy(*desc))).filter(F.col("__r") <= n)
-    lens = inter.groupBy(user_col).agg(F.count(F.lit(1)).alias("interaction_len"))
-    s = F.struct(*[F.col(c) for c in order_cols])
-    g = top.groupBy(user_col).agg(F.array_sort(F.collect_list(s)).alias("__last"))  # <= n rows, ascending
+    whole = F.struct(*[F.col(c) for c in order_cols])
+    lens = inter.groupBy(user_col).agg(
+        F.count(F.lit(1)).alias("interaction_len"), *([F.max(whole).alias("__target")] if arrival_cols else [])
+    )
+    if arrival_cols:
+        s = F.struct(*[F.col(c).alias(f"__a{i}") for i, c in enumerate(arrival_cols)], whole.alias("__row"))
+        last = F.transform(F.array_sort(F.collect_list(s)), lambda x: x["__row"])
+    else:
+        last = F.array_sort(F.collect_list(whole))
+    g = top.groupBy(user_col).agg(last.alias("__last"))  # <= n rows, ascending
     g = g.join(lens, user_col)
     h = F.col("__last")
     size = F.size(h)
     return g.select(
         user_col,
         "interaction_len",
-        F.element_at(h, -1).alias("target"),
+        F.col("__target").alias("target") if arrival_cols else F.element_at(h, -1).alias("target"),
         F.when(size > 1, F.slice(h, 1, size - 1)).otherwise(F.array().cast(g.schema["__last"].dataType)).alias("sampled"),
     )

@@ -10,20 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convrec.sources.readers import with_arrival
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def inter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interactions: ``user_id, item_id, rating, ts`` from lineitem joined with orders."""
+def inter(spark: SparkSession, sf_dir: str, arrival: bool = False) -> DataFrame:
+    """Interactions: ``user_id, item_id, rating, ts`` from lineitem joined with orders, with the
+    ``arrival`` of the lineitem row if asked for."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    if arrival:
+        li = with_arrival(li)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
         (F.lit(1) + F.pmod(F.col("l_quantity").cast("int"), F.lit(5))).cast("int").alias("rating"),
         F.col("l_shipdate").alias("ts"),
+        *(["arrival"] if arrival else []),
     )
 
 
@@ -149,11 +155,21 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+UNMARKED = (25, 3)  # responses of dialogues whose number leaves this remainder have no markers
+
+
+def marked(user: str, ai: str):
+    plain = F.pmod(F.col("conv_id"), F.lit(UNMARKED[0])) == UNMARKED[1]
+    role = F.col("role")
+    return F.when(plain, "").when(role == user, "[USR]: ").when(role == ai, "[AI]: ").otherwise("")
+
+
 def marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated responses with markers: per dialogue, ``[USR]: `` / ``[AI]: `` + text joined by
-    newlines in turn order, system turns left out.  Columns ``conv_id, response``."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
-    line = F.concat(F.when(F.col("role") == "user", F.lit("[USR]: ")).otherwise(F.lit("[AI]: ")), F.col("text"))
+    newlines in turn order; a system turn is unmarked text, and some responses have no marker
+    at all (``marked``).  Columns ``conv_id, response``."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.concat(marked("user", "assistant"), F.col("text"))
     return c.groupBy("conv_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))["l"], "\n").alias("response")
     )
@@ -173,13 +189,14 @@ def tagged_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged_marker_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated responses (D8 of stage C): ``[USR]: ``/``[AI]: `` lines of the tagged turns
-    (system turns left out), ``target_asin`` and a scenario name from the conv_id."""
+    """Generated responses (D8 of stage C): ``[USR]: ``/``[AI]: `` lines of the tagged turns (system
+    turns unmarked, some responses without markers), ``target_asin`` and a scenario name from
+    the conv_id."""
     from convrec.config import SCENARIOS
     from convrec.functions.text import seeded_bucket
 
-    c = tagged(spark, sf_dir).filter(F.col("role") != "system")
-    line = F.concat(F.when(F.col("role") == "user", F.lit("[USR]: ")).otherwise(F.lit("[AI]: ")), F.col("text"))
+    c = tagged(spark, sf_dir)
+    line = F.concat(marked("user", "AI"), F.col("text"))
     g = c.groupBy("conv_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))["l"], "\n").alias("response")
     )

@@ -164,12 +164,14 @@ SELECT user_id, CASE WHEN rd > 1 THEN item END AS item, -rd AS place FROM ranked
 
 
 MARKER = """marker AS (
-  SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[USR]: ' ELSE '[AI]: ' END || text, chr(10) ORDER BY turn) AS response
-  FROM conversations WHERE role <> 'system' GROUP BY conv_id)"""
+  SELECT conv_id, string_agg(CASE WHEN conv_id % 25 = 3 THEN '' WHEN role = 'user' THEN '[USR]: ' WHEN role = 'assistant' THEN '[AI]: ' ELSE '' END
+                             || text, chr(10) ORDER BY turn) AS response
+  FROM conversations GROUP BY conv_id)"""
 
 TAGGED_MARKER = """tmarker AS (
-  SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[USR]: ' ELSE '[AI]: ' END || text, chr(10) ORDER BY turn) AS response
-  FROM tagged WHERE role <> 'system' GROUP BY conv_id)"""
+  SELECT conv_id, string_agg(CASE WHEN conv_id % 25 = 3 THEN '' WHEN role = 'user' THEN '[USR]: ' WHEN role = 'AI' THEN '[AI]: ' ELSE '' END
+                             || text, chr(10) ORDER BY turn) AS response
+  FROM tagged GROUP BY conv_id)"""
 
 CHAT = """chat AS (
   SELECT conv_id, '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)
@@ -254,13 +256,13 @@ def uni_ngram_sql(x: str, n: int = 3) -> str:
     return f"list_distinct(list_transform(range(1, length({s}) - {n} + 2), lambda i: substr({s}, i, {n})))"
 
 
-def unicode_mentions_sql(threshold: float = 0.7, n: int = 3) -> str:
+def unicode_mentions_sql(threshold: float = 0.7, n: int = 3, src: str = "msgs") -> str:
     """Brute-force mention oracle with Unicode word boundaries: ``\\b`` before the entity is
     ``(^|[^W])`` when it starts with a word character, else ``[W]`` (and mirrored after)."""
     left = f"CASE WHEN regexp_matches(entity, '^[{_W}]') THEN '(^|[^{_W}])' ELSE '[{_W}]' END"
     right = f"CASE WHEN regexp_matches(entity, '[{_W}]$') THEN '([^{_W}]|$)' ELSE '[{_W}]' END"
     return f""", tw AS (SELECT conv_id, idx, lower(text) AS tl, list_distinct(string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) AS words,
-               {uni_ngram_sql('text', n)} AS tg FROM msgs WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+               {uni_ngram_sql('text', n)} AS tg FROM {src} WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
 ew AS (SELECT entity, list_distinct(string_split_regex(trim(entity), '\\s+')) AS ewords, {uni_ngram_sql('entity', n)} AS eg,
               {left} || regexp_escape(entity) || {right} AS pat FROM ents WHERE trim(entity) <> ''),
 pairs AS (SELECT conv_id, idx, entity, regexp_matches(tl, pat) AS exact,

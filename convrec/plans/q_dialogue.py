@@ -230,20 +230,49 @@ def stage_c(spark, sf_dir, stratify: bool = True):
     return split_dataset(r, stratify=stratify, key="conv_id", stratum="scenario")
 
 
+_STAGE_C_SQL = sql.with_(sql.CAT, sql.TAGGED, sql.TAGGED_MARKER, sql.marker_parse_sql("tmarker")) + """, t8 AS (
+  SELECT conv_id, idx AS turn, role, content AS text, regexp_extract_all(content, '<id_(.*?)>', 1) AS tags,
+         regexp_split_to_array(content, '<id_.*?>') AS pieces FROM mp_out),
+""" + _T8_SQL[_T8_SQL.index("occ AS (") :]
+
+
 @register(
     "f8_p2_stage_c_split",
-    sql.with_(sql.CAT, sql.TAGGED)
-    + f""", kept AS (
-  SELECT DISTINCT conv_id FROM (SELECT conv_id, unnest(regexp_extract_all(text, '<id_(.*?)>', 1)) AS tag FROM tagged WHERE role = 'AI') x
-  WHERE tag IN (SELECT CAST(item_id AS VARCHAR) FROM cat)),
-r AS (SELECT conv_id, {sql.SCEN_NAMES}[{_SCEN} + 1] AS scenario, count(*) OVER (PARTITION BY {_SCEN}) AS n,
+    _STAGE_C_SQL
+    + f""", known AS (SELECT DISTINCT r.conv_id, '<id_' || r.tag || '>' AS tag FROM rep r WHERE r.title IS NOT NULL),
+texts AS (
+  SELECT conv_id, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || '{{sp}}' || '<|eot_id|>'
+         || string_agg('<|start_header_id|>' || CASE WHEN role = 'AI' THEN 'assistant' ELSE role END || '<|end_header_id|>' || chr(10) || chr(10)
+                       || regexp_replace(content, '^\\s+|\\s+$', '', 'g') || '<|eot_id|>', '' ORDER BY turn) AS text
+  FROM t8_out GROUP BY conv_id),
+kept AS (SELECT * FROM texts WHERE contains(text, '<|reserved_special_token_10|>')),
+r AS (SELECT conv_id, text, {sql.SCEN_NAMES}[{_SCEN} + 1] AS scenario, count(*) OVER (PARTITION BY {_SCEN}) AS n,
         row_number() OVER (PARTITION BY {_SCEN} ORDER BY md5('42:' || CAST(conv_id AS VARCHAR)), conv_id) AS rn FROM kept),
 q AS (SELECT *, greatest(1, floor(n * 0.1)) AS nt, greatest(1, floor(n * 0.1)) AS nv FROM r)
 SELECT conv_id, scenario, CASE WHEN rn <= greatest(n - nt - nv, 0) THEN 'train' WHEN rn <= n - nt THEN 'valid' ELSE 'test' END AS split,
-       '<id_' || CAST((conv_id * 5) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '>' AS target FROM q""",
+       '<id_' || CAST((conv_id * 5) % (SELECT count(*) * 12 // 10 FROM part) AS VARCHAR) || '>' AS target, text,
+       coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM known k WHERE k.conv_id = q.conv_id), '') AS named_items
+FROM q""".replace("{sp}", __import__("convrec.config", fromlist=["x"]).DIALOGUE_SYSTEM_PROMPT.replace("'", "''")),
 )
 def f8_p2_stage_c(spark, sf_dir):
-    return stage_c(spark, sf_dir).select("conv_id", "scenario", "split", F.array_join("target", ",").alias("target"))
+    return stage_c(spark, sf_dir).select(
+        "conv_id", "scenario", "split", F.array_join("target", ",").alias("target"), "text", F.array_join("named_items", ",").alias("named_items")
+    )
+
+
+@register(
+    "f12_f13_f14_limits",
+    sql.with_(sql.CHAT, sql.MARKER, sql.marker_parse_sql("marker"))
+    + """, g AS (SELECT c.conv_id, length(c.text) + length(m.response) AS len FROM chat c JOIN marker m ON c.conv_id = m.conv_id),
+n AS (SELECT conv_id, count(*) AS n_turns FROM mp_out GROUP BY conv_id)
+SELECT g.conv_id, CAST(len AS INTEGER) AS len, CAST(coalesce(n_turns, 0) AS INTEGER) AS n_turns
+FROM g LEFT JOIN n USING (conv_id) WHERE len < 4000 AND coalesce(n_turns, 0) < 7""",
+)
+def f12_f13_limits(spark, sf_dir):
+    g = fx.chat_texts(spark, sf_dir).withColumnRenamed("text", "prompt").join(fx.marker_texts(spark, sf_dir), "conv_id")
+    d = dl.max_length(dl.text_lengths(g), 4000).withColumn("conversation", parse_markers("response"))
+    d = dl.max_turns(d, 7).select("conv_id", "len", F.size("conversation").alias("n_turns"))
+    return d
 
 
 @register(
@@ -252,8 +281,9 @@ def f8_p2_stage_c(spark, sf_dir):
     + """, kept AS (
   SELECT DISTINCT conv_id FROM (SELECT conv_id, unnest(regexp_extract_all(text, '<id_(.*?)>', 1)) AS tag FROM tagged WHERE role = 'AI') x
   WHERE tag IN (SELECT CAST(item_id AS VARCHAR) FROM cat))
-SELECT CAST((SELECT count(DISTINCT conv_id) FROM tagged WHERE role <> 'system') AS BIGINT) AS n_rows,
-       CAST((SELECT count(DISTINCT conv_id) FROM tagged WHERE role <> 'system') - (SELECT count(*) FROM kept) AS BIGINT) AS n_missing""",
+SELECT CAST((SELECT count(DISTINCT conv_id) FROM tagged WHERE role <> 'system' AND conv_id % 25 <> 3) AS BIGINT) AS n_rows,
+       CAST((SELECT count(DISTINCT conv_id) FROM tagged WHERE role <> 'system' AND conv_id % 25 <> 3)
+            - (SELECT count(*) FROM kept WHERE conv_id % 25 <> 3) AS BIGINT) AS n_missing""",
 )
 def a15_audit(spark, sf_dir):
     g = fx.tagged_marker_texts(spark, sf_dir)
@@ -298,10 +328,7 @@ def t14_names_to_ids(spark, sf_dir):
     return _explode_conv(_t14(spark, sf_dir))
 
 
-@register(
-    "t16_w8_w9_toolkit_rows",
-    _T14_SQL
-    + """, t14 AS (
+_TOOLKIT_SQL = """, t14 AS (
   SELECT m.conv_id, m.idx, m.role,
        CASE WHEN p.pairs IS NULL THEN m.content
             ELSE list_reduce(p.pairs, lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), m.content) END AS content
@@ -316,12 +343,15 @@ mvk AS (SELECT a.* FROM mvt a WHERE a.role <> 'assistant'
 movies AS (SELECT conv_id, utt, string_agg(title, '|' ORDER BY pos) AS movies FROM mvk GROUP BY ALL),
 words AS (SELECT conv_id, utt,
             regexp_replace(regexp_replace(replace(content, '<|reserved_special_token_10|>', ''), '<id_(.*?)>', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS w FROM u)
-SELECT CAST(u.conv_id AS VARCHAR) AS conv_id, CAST(u.utt AS INTEGER) AS utt_id,
+"""
+_TOOLKIT_ROW = """SELECT CAST(u.conv_id AS VARCHAR) AS conv_id, CAST(u.utt AS INTEGER) AS utt_id,
        CASE WHEN u.role = 'user' THEN 'Seeker' WHEN u.role = 'assistant' THEN 'Recommender' END AS role,
        coalesce(movies.movies, '') AS movies,
        CASE WHEN words.w = '' THEN '' ELSE array_to_string(string_split_regex(words.w, '\\s+'), '|') END AS word
-FROM u LEFT JOIN movies ON u.conv_id = movies.conv_id AND u.utt = movies.utt JOIN words ON u.conv_id = words.conv_id AND u.utt = words.utt""",
-)
+FROM u LEFT JOIN movies ON u.conv_id = movies.conv_id AND u.utt = movies.utt JOIN words ON u.conv_id = words.conv_id AND u.utt = words.utt"""
+
+
+@register("t16_w8_w9_toolkit_rows", _T14_SQL + _TOOLKIT_SQL + _TOOLKIT_ROW)
 def t16_toolkit(spark, sf_dir):
     dic = dl.title_dictionary(fx.cat(spark, sf_dir), "item_id", "title")
     t = dl.toolkit_rows(_t14(spark, sf_dir), dic, mentions_col=None)
@@ -332,3 +362,40 @@ def t16_toolkit(spark, sf_dir):
         F.array_join("u.movies", "|").alias("movies"),
         F.array_join("u.word", "|").alias("word"),
     )
+
+
+def stage_d(spark, sf_dir):
+    """Stage D in one plan over stage C's rendered dialogues: T7 (parse the chat text) -> T14 (names to
+    ids) -> T12 (mentions of every turn, joined back on dialogue and turn) -> F11 (system turns
+    go) -> T16 (toolkit rows; items already named earlier in the dialogue, W8)."""
+    from convrec.operators.mentions import dialogue_mentions, entity_set
+
+    dic = dl.title_dictionary(fx.cat(spark, sf_dir), "item_id", "title")
+    texts = dl.render_dialogues(dl.format_dialogues(_t8(spark, sf_dir))).select("conv_id", "text", "named_items", "target")
+    parsed = texts.withColumn("conversation", parse_chat("text")).drop("text")
+    found = dialogue_mentions(dl.names_to_ids(parsed, dic), entity_set(fx.mention_names(spark, sf_dir)))
+    return dl.toolkit_rows(found, dic)
+
+
+_STAGE_D_SQL = (
+    _T14_SQL.replace("END, content FROM t8_out", "END, regexp_replace(content, '^\\s+|\\s+$', '', 'g') FROM t8_out")
+    + _TOOLKIT_SQL.rstrip()
+    + ",\n" + sql.MENTION_NAMES
+    + ",\nturns AS (SELECT conv_id, utt AS idx, content AS text FROM u)"
+    + sql.unicode_mentions_sql(src="turns")
+    + ",\nent AS (SELECT conv_id, idx, string_agg(entity, '|' ORDER BY score DESC, entity) AS entity FROM m GROUP BY ALL)\n"
+    + _TOOLKIT_ROW.replace("AS word\nFROM u", "AS word, coalesce(ent.entity, '') AS entity\nFROM u")
+    + " LEFT JOIN ent ON u.conv_id = ent.conv_id AND u.utt = ent.idx"
+)
+
+
+@register("t7_t14_t12_f11_t16_stage_d", _STAGE_D_SQL)
+def t16_stage_d(spark, sf_dir):
+    return stage_d(spark, sf_dir).select("conv_id", F.explode("conv").alias("u")).select(
+        "conv_id",
+        F.col("u.utt_id").alias("utt_id"),
+        F.col("u.role").alias("role"),
+        F.array_join("u.movies", "|").alias("movies"),
+        F.array_join("u.word", "|").alias("word"),
+        F.array_join("u.entity", "|").alias("entity"),
+    )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convrec.operators import interactions as ops
+from convrec.operators.distill import first_per_key
 from convrec.operators.prompts import assign_scenario
 from convrec.plans import fixtures as fx
 from convrec.plans import oracle as sql
 from convrec.plans.registry import TS_FMT, TS_FMT_DUCK, register
+from convrec.sources.readers import with_arrival
 
 UNROLL = 24  # oracle rounds; >= the rounds any k below needs at sf0.01 (k=23 needs 7)
 
@@ -104,7 +106,10 @@ SELECT user_id,
 FROM ranked GROUP BY user_id""",
 )
 def w3_w4_sample(spark, sf_dir):
-    s = ops.latest_interactions(_core(spark, sf_dir, 23), 10, order_cols=("ts", "rating", "item_id"))
+    return _sampled(ops.latest_interactions(_core(spark, sf_dir, 23), 10, order_cols=("ts", "rating", "item_id")))
+
+
+def _sampled(s):
     return s.select(
         "user_id",
         F.col("target.item_id").alias("target_item"),
@@ -114,6 +119,41 @@ def w3_w4_sample(spark, sf_dir):
     )
 
 
+@register(
+    "w4_parity_sample_n10_k23",
+    sql.with_(
+        """inter AS (
+  SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(1 + (CAST(l_quantity AS INTEGER) % 5) AS INTEGER) AS rating, l_shipdate AS ts, arrival
+  FROM (SELECT *, row_number() OVER () AS arrival FROM lineitem) JOIN orders ON l_orderkey = o_orderkey)""",
+        sql.kcore_cte(23, UNROLL),
+    )
+    + """, ranked AS (
+  SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, rating DESC, item_id DESC) AS rt,
+         row_number() OVER (PARTITION BY user_id ORDER BY arrival DESC) AS rd
+  FROM core)
+SELECT user_id,
+  max(CASE WHEN rt = 1 THEN item_id END) AS target_item,
+  coalesce(string_agg(CASE WHEN rd BETWEEN 2 AND 10 THEN CAST(item_id AS VARCHAR) END, ',' ORDER BY rd DESC), '') AS history_items,
+  CAST(count(CASE WHEN rd BETWEEN 2 AND 10 THEN 1 END) AS BIGINT) AS n_history,
+  CAST(count(*) AS BIGINT) AS interaction_len
+FROM ranked GROUP BY user_id""",
+)
+def w4_parity_sample(spark, sf_dir):
+    """The order of the interactions' file goes through the join with the orders and the k-core."""
+    rows = ops.k_core(fx.inter(spark, sf_dir, arrival=True), 23).core
+    return _sampled(ops.latest_interactions(rows, 10, order_cols=("ts", "rating", "item_id"), arrival_cols=("arrival",)))
+
+
+@register(
+    "w11_first_row_wins",
+    """WITH o AS (SELECT *, row_number() OVER () AS arrival FROM orders)
+SELECT o_custkey, o_orderkey, o_totalprice FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY arrival) = 1""",
+)
+def w11_first_row_wins(spark, sf_dir):
+    rows = with_arrival(fx.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"))
+    return first_per_key(rows, "o_custkey", ["arrival"]).drop("arrival")
+
+
 @register(
     "t2_scenario_k23",
     _HIST_SQL

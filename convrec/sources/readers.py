@@ -26,6 +26,21 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json
     return r.format(fmt).load(path)
 
 
+def with_arrival(df: DataFrame, name: str = "arrival") -> DataFrame:
+    """``df``, which reads files, with the place of every row in them: ``(file, byte at which the
+    row's piece of the file begins, place in that piece)``, whose order is that of the files by
+    name and of the rows inside.  Spark keeps no row order beyond the scan, so operators whose
+    result depends on it (W4's parity order, W11) get it as a column that joins and shuffles
+    carry along.  The scan numbers its rows upwards within a task and reads a task's pieces one
+    after the other, so the numbers order the rows of a piece whatever else the task reads."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("piece"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.select("*", place.alias(name))
+
+
 def read_ratings(spark, path, fmt: str = "parquet") -> DataFrame:
     """``user_id, parent_asin``."""
     return _read(spark, path, schemas.RATINGS, fmt)
