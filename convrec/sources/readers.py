@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convrec import schemas
+from convrec.session import staged
 
 MOVIE_TEXT_SCHEMA = T.StructType(
     [
@@ -51,11 +52,63 @@ def read_item_meta(spark, path) -> DataFrame:
     return _read(spark, path, schemas.ITEM_META)
 
 
+def json_array_records(spark: SparkSession, path: str) -> DataFrame:
+    """``record``: the text of every object of a file that is one JSON array, read by as many tasks as
+    the file has byte ranges (``multiLine`` reads a whole file in one task).
+
+    The file is read as text cut at every ``}``, which any task can do from any byte on.  A brace or
+    bracket counts if it is outside strings, and whether a fragment begins inside one is the parity
+    of all quotes before it: a sum.  So is the depth of nesting.  Sums inside a byte range are
+    taken for both cases (the range begins outside or inside a string), the sums of whole ranges,
+    one row each, tell which case holds, and an object of the array ends where the depth comes
+    back to one.  Fragments of one object are put together again; an object may cross ranges.
+    ``\\}`` is no escape of JSON, so no escape is cut."""
+    rows = with_arrival(spark.read.option("lineSep", "}").text(path)).select("value", "arrival.*")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+    rows = staged(rows.select("*", (F.size(parts) - 1).alias("quotes"), *[_depth_change(parts, inside).alias(f"d{inside}") for inside in (0, 1)]), "json-fragments")
+
+    # numbers only from here to the records' places
+    piece = Window.partitionBy("file", "piece").orderBy("row")
+    before = F.coalesce(F.sum("quotes").over(piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    n = rows.select("file", "piece", "row", "quotes", "d0", "d1").withColumn("within", before)
+    ends_in = (F.col("within") + F.col("quotes")) % 2
+    for case in (0, 1):  # the range begins outside or inside a string
+        inside, closes = (F.col("within") == 1 - case), (ends_in == case)
+        change = F.when(inside, F.col("d1")).otherwise(F.col("d0")) - F.when(closes, 1).otherwise(0)
+        n = n.withColumn(f"closes{case}", closes).withColumn(f"depth{case}", F.sum(change).over(piece))
+    n = staged(n, "json-depths")
+    last = F.max_by(F.struct(ends_in.alias("flip"), "depth0", "depth1"), F.col("row"))
+    ranges = n.groupBy("file", "piece").agg(last.alias("t")).select("file", "piece", "t.*")
+    earlier = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("begins", F.coalesce(F.sum("flip").over(earlier), F.lit(0)) % 2)
+    gained = F.when(F.col("begins") == 1, F.col("depth1")).otherwise(F.col("depth0"))
+    ranges = ranges.withColumn("above", F.coalesce(F.sum(gained).over(earlier), F.lit(0))).select("file", "piece", "begins", "above")
+    n = n.join(ranges, ["file", "piece"])
+    case = lambda name: F.when(F.col("begins") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    n = n.select("file", "piece", "row", (case("closes") & (F.col("above") + case("depth") == 1)).cast("int").alias("end"))
+    n = n.withColumn("in_piece", F.sum("end").over(piece) - F.col("end"))
+    ended = n.groupBy("file", "piece").agg(F.sum("end").alias("ended"))
+    ended = ended.withColumn("first", F.coalesce(F.sum("ended").over(earlier), F.lit(0))).select("file", "piece", "first")
+    n = n.join(ended, ["file", "piece"]).select("file", "piece", "row", "end", (F.col("first") + F.col("in_piece")).alias("number"))
+
+    texts = rows.select("file", "piece", "row", "value").join(n, ["file", "piece", "row"])
+    inside = F.array_sort(F.collect_list(F.struct("piece", "row", "value")))["value"]
+    whole = texts.groupBy("file", "number").agg(F.array_join(inside, "}").alias("t"), F.max("end").alias("end")).filter("end = 1")
+    return whole.select(F.regexp_replace(F.concat("t", F.lit("}")), r"^[\s\[,\uFEFF]+", "").alias("record"))
+
+
+def _depth_change(parts: Column, inside: int) -> Column:
+    """Opening less closing braces and brackets in a fragment's ``parts`` between quotes that lie
+    outside strings: every other one, from the first or, if it begins ``inside``, the second."""
+    outside = F.array_join(F.filter(parts, lambda _, i: i % 2 == inside), "")
+    return F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+
+
 def read_movie_json(spark, path) -> DataFrame:
-    """S3: one JSON array file of movie metadata.  Nested columns are read as text, so
-    values that are real objects arrive as their JSON text and values that are
-    Python-literal strings arrive as that text; ``build_catalogue`` parses both."""
-    return _read(spark, path, MOVIE_TEXT_SCHEMA, multiLine="true")
+    """S3: JSON array files of movie metadata, each read by many tasks.  Nested columns are read as
+    text, so values that are real objects arrive as their JSON text (no spaces between tokens)
+    and values that are Python-literal strings arrive as that text; ``build_catalogue`` parses both."""
+    return json_array_records(spark, path).select(F.from_json("record", MOVIE_TEXT_SCHEMA).alias("r")).select("r.*")
 
 
 def read_reviews(spark, path) -> DataFrame:

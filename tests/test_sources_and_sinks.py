@@ -64,3 +64,43 @@ def test_triples_and_relations(spark, tmp_path):
     rel = R.read_relations(spark, str(tmp_path / "r.csv"))
     out = with_relation_names(R.read_kg_triples(spark, str(tmp_path / "t.csv")), rel).first()
     assert out["relation_name"] == "directed_by" and str(out["tail_id"]) == "5"
+
+
+def test_json_array_is_read_by_ranges(spark, tmp_path):
+    """Objects with braces, brackets, quotes and backslashes in their strings, cut into ranges of a
+    few bytes: the rows of a whole-file read, from many tasks."""
+    import random
+
+    rnd = random.Random(8)
+    bits = ["}", "{", "]", "[", '"', "\\", "\\\\", ",", "a", "é", "\n", " ", '\\"', "}}", "'x': {"]
+    text = lambda: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))
+    rows = [
+        {"asin": f"a{i}", "title": text(), "genres": [{"id": i, "name": text()}, {}], "casts": text(), "keywords": {"k": [text(), {"z": text()}]}}
+        for i in range(120)
+    ]
+    rows += [{}, {"asin": None}]
+    data = tmp_path / "movies"
+    data.mkdir()
+    (data / "one.json").write_text(json.dumps(rows[:70], ensure_ascii=False), encoding="utf-8")
+    (data / "two.json").write_text(json.dumps(rows[70:], indent=2), encoding="utf-8")
+    (data / "none.json").write_text(" [ ]\n", encoding="utf-8")
+
+    def read_rows(df):
+        nested = lambda r: {c: json.loads(r[c]) if r[c] and c in ("genres", "keywords") else r[c] for c in r.__fields__}
+        return sorted(str(nested(r)) for r in df.collect())
+
+    whole = read_rows(R._read(spark, str(data), R.MOVIE_TEXT_SCHEMA, multiLine="true"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("400", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            if size == "400":
+                assert spark.read.option("lineSep", "}").text(str(data)).rdd.getNumPartitions() > 20
+            got = R.json_array_records(spark, str(data)).collect()
+            read = read_rows(R.read_movie_json(spark, str(data)))
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        assert read == whole and len(got) == len(rows)
+        assert sorted((json.loads(r["record"]) for r in got), key=str) == sorted(rows, key=str)
