@@ -48,7 +48,7 @@ class DocumentTree:
     node's documents, the others are cut off it as the node's own children, so the tree's depth
     is logarithmic.  Ranges of up to ``leaf`` documents are not split."""
 
-    def __init__(self, rank: np.ndarray, tf: np.ndarray, start: np.ndarray, m: np.ndarray, place: np.ndarray, terms: int, leaf: int = 32):
+    def __init__(self, rank: np.ndarray, tf: np.ndarray, start: np.ndarray, m: np.ndarray, place: np.ndarray, terms: int, leaf: int = 64):
         docs = len(start) - 1
         doc = np.repeat(np.arange(docs), np.diff(start))
         by_rank = np.lexsort((rank, doc))

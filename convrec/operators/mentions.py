@@ -12,13 +12,20 @@ Plan (no pair enumeration over shared common words):
   word characters of the entity is also a whole run of the text.  So each
   entity is joined to the texts only through its *rarest* run (document
   frequencies from one partial aggregate), which is an equi join; candidates
-  are then verified with the regex and the shared-word rule.  Entities
-  without any word character (rare) fall back to the shared-word join.
+  are then verified with the regex and the shared-word rule.  The runs of the
+  entity are also neighbours in the text, so an entity all of whose runs are
+  frequent ("a of b") is joined through its rarest pair of neighbouring runs
+  instead.  Entities without any word character (rare) fall back to the
+  shared-word join.
 * fuzzy path - Jaccard >= t implies ``t|E| <= |T| <= |E|/t`` and, with all
   n-grams in one global order (rarest first), that the first
   ``|X| - ceil(t|X|) + 1`` n-grams of the two sets intersect (prefix
   filter).  Texts whose n-gram set is too large for any entity drop out
-  before the join; the remaining prefixes are equi-joined on the n-gram.
+  before the join; the remaining prefixes are equi-joined on the n-gram and
+  the size of the text's set, for which an entity stands once per size it can
+  meet (length filter: a frequent n-gram is split by size before the join),
+  and only where as many n-grams follow as the overlap still needs
+  (positional filter, which the first n-gram in common always passes).
 
 Both joins are equi joins on a token; AQE splits skewed tokens (skew join)
 and broadcasts the entity side when its runtime size allows.  Results are
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from convrec.config import ENTITY_STOP_WORDS
-from convrec.functions.ngrams import char_ngrams, char_ngrams_of_normalized, normalize_for_ngrams, whole_word_pattern, word_runs
+from convrec.functions.ngrams import adjacent_runs, char_ngrams, char_ngrams_of_normalized, normalize_for_ngrams, whole_word_pattern, word_runs
 from convrec.functions.text import compute_then_filter, usplit, ustrip
 from convrec.session import shuffle_partitions, staged
 
@@ -61,6 +68,33 @@ def _prepare_entities(entities: DataFrame, n: int) -> DataFrame:
     )
 
 
+def exact_candidates(t: DataFrame, ents: DataFrame, key_cols: list[str], frequent: int = 1000) -> DataFrame:
+    """``(key, entity)`` rows among which every exact mention of an entity with word characters
+    is.  ``t`` has ``tl`` (lower-cased text) and ``t_runs``, ``ents`` has ``e_runs``; both are read
+    more than once."""
+
+    def rarest(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``(entity, token, df)`` of the token in the fewest texts; an entity with a token that no
+        text has cannot match exactly."""
+        df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        known = wanted.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        least = known.groupBy("entity").agg(F.min(F.struct("df", "token")).alias("a"))
+        return least.filter("a.df > 0").select("entity", "a.token", "a.df")
+
+    runs = t.select(*key_cols, F.explode("t_runs").alias("token"))
+    anchors = staged(rarest(runs, ents.select("entity", F.explode("e_runs").alias("token"))), "mention-anchors")
+    hot = (F.col("df") > frequent) & (F.size(adjacent_runs("entity")) > 0)
+    found = runs.join(anchors.filter(~hot).select("entity", "token"), "token").select(*key_cols, "entity")
+    paired = anchors.filter(hot)
+    if paired.isEmpty():
+        return found
+    pairs_of = staged(paired.select("entity", F.explode(adjacent_runs("entity")).alias("token")), "mention-pairs")
+    pairs = t.select(*key_cols, F.explode(adjacent_runs("tl")).alias("token")).join(pairs_of.select("token").distinct(), "token", "left_semi")
+    pairs = staged(pairs, "mention-text-pairs")
+    by_pair = pairs.join(rarest(pairs, pairs_of).select("entity", "token"), "token").select(*key_cols, "entity")
+    return found.unionByName(by_pair)
+
+
 def detect_mentions(
     texts: DataFrame,
     entities: DataFrame,
@@ -69,11 +103,13 @@ def detect_mentions(
     text_col: str = "text",
     n: int = 3,
     threshold: float = 0.7,
+    frequent: int = 1000,
 ) -> DataFrame:
-    """T9 + T11 (via J10 candidates): one row per (key, entity, score) with a mention.
+    """T9 + T11 (via J10 candidates): one row per (key, entity, score) with a mention.  Runs of word
+    characters in more than ``frequent`` texts are not used alone to find an entity of several.
 
     The keys keep their names throughout, so the columns made here must have others."""
-    made = {"tl", "t_words", "t_runs", "t_grams", "t_n", "entity", "e_words", "e_grams", "e_runs", "e_n", "run", "df", "w", "g", "g_both", "g_any", "score"}
+    made = {"tl", "token", "t_at", "e_at", "t_words", "t_runs", "t_grams", "t_n", "entity", "e_words", "e_grams", "e_runs", "e_n", "run", "df", "w", "g", "g_both", "g_any", "score"}
     if clash := made.intersection(key_cols):
         raise ValueError(f"key columns {sorted(clash)} need other names")
     t = texts.select(*key_cols, F.col(text_col).alias("__text")).repartition(shuffle_partitions(texts.sparkSession), *key_cols).filter(
@@ -92,19 +128,7 @@ def detect_mentions(
     ents = staged(_prepare_entities(entities, n).filter(F.size("e_words") > 0), "mention-entities")
 
     # ---- exact path (T9) -------------------------------------------------------------
-    t_runs = t.select(*key_cols, F.explode("t_runs").alias("run"))
-    run_df = t_runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
-    er = ents.select("entity", F.explode("e_runs").alias("run"))
-    er = er.join(run_df, "run", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # an entity with a run that no text has cannot match exactly
-    w = Window.partitionBy("entity").orderBy("df", "run")
-    anchors = (
-        er.withColumn("__zero", F.min("df").over(Window.partitionBy("entity")) == 0)
-        .withColumn("__rn", F.row_number().over(w))
-        .filter((F.col("__rn") == 1) & ~F.col("__zero"))
-        .select("entity", "run")
-    )
-    cand = t_runs.join(anchors, "run").select(*key_cols, "entity")
+    cand = exact_candidates(t, ents, key_cols, frequent)
     # entities without word characters: shared whitespace word join (J10 as written)
     odd = ents.filter(F.size("e_runs") == 0).select("entity", F.explode("e_words").alias("w"))
     odd_c = t.select(*key_cols, F.explode("t_words").alias("w")).join(odd, "w").select(*key_cols, "entity")
@@ -144,15 +168,15 @@ def detect_mentions(
     g_all = tf.select(F.explode("t_grams").alias("g")).unionByName(fe.select(F.explode("e_grams").alias("g")))
     g_freq = g_all.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
 
-    def prefixes(df, grams, size, ids):
+    def prefixes(df, grams, size, ids, place):
         ex = df.select(*ids, size, F.explode(grams).alias("g")).join(g_freq, "g")
         w2 = Window.partitionBy(*ids).orderBy("f", "g")
         plen = F.col(size) - F.ceil(F.col(size) * F.lit(threshold) - F.lit(EPS)) + 1
-        return ex.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") <= plen).select(*ids, "g")
+        return ex.withColumn(place, F.row_number().over(w2)).filter(F.col(place) <= plen).select(*ids, size, "g", place)
 
-    tp = prefixes(tf, "t_grams", "t_n", key_cols)
-    ep = prefixes(fe, "e_grams", "e_n", ["entity"])
-    cand_f = tp.join(ep, "g").select(*key_cols, "entity").distinct()
+    cand_f = fuzzy_candidates(
+        prefixes(tf, "t_grams", "t_n", key_cols, "t_at"), prefixes(fe, "e_grams", "e_n", ["entity"], "e_at"), key_cols, threshold
+    )
     scored = (
         cand_f.join(tf.select(*key_cols, "t_words", "t_grams", "t_n", "tl"), key_cols)
         .join(fe.select("entity", "e_words", "e_grams", "e_n"), "entity")
@@ -171,6 +195,17 @@ def detect_mentions(
     return exact.unionByName(scored)
 
 
+def fuzzy_candidates(tp: DataFrame, ep: DataFrame, key_cols: list[str], threshold: float) -> DataFrame:
+    """``(key, entity)`` rows among which every pair of Jaccard similarity ``threshold`` is, from the
+    prefixes ``(key, t_n, g, t_at)`` of the texts and ``(entity, e_n, g, e_at)`` of the entities:
+    n-gram, size of its set and its place (from 1) in the global order."""
+    least, most = F.ceil(F.col("e_n") * F.lit(threshold) - F.lit(EPS)), F.floor(F.col("e_n") / F.lit(threshold) + F.lit(EPS))
+    sized = ep.withColumn("t_n", F.explode(F.sequence(least.cast("int"), most.cast("int"))))
+    overlap = (F.col("t_n") + F.col("e_n")) * F.lit(threshold / (1 + threshold)) - F.lit(EPS)
+    reach = F.least(F.col("t_n") - F.col("t_at"), F.col("e_n") - F.col("e_at")) + 1
+    return tp.join(sized, ["g", "t_n"]).filter(reach >= overlap).select(*key_cols, "entity").distinct()
+
+
 def mentions_per_text(mentions: DataFrame, key_cols: list[str]) -> DataFrame:
     """Per text, ``array<struct<entity, score>>`` sorted by score desc, then entity asc."""
     return mentions.groupBy(*key_cols).agg(

@@ -21,6 +21,24 @@ def mentions_text_p(spark, sf_dir):
     return _rounded(detect_mentions(fx.part_texts(spark, sf_dir), ents, key_cols=["text_id"]))
 
 
+_HOT = """ents AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1) || ' of ' || split_part(p_name, ' ', 2)) AS entity FROM part),
+texts AS (SELECT p.p_partkey AS text_id, 'the ' || split_part(p.p_name, ' ', 1) || ' of ' || split_part(p.p_name, ' ', 2) || ' and the '
+                 || split_part(p.p_name, ' ', 2) || ', of ' || split_part(p2.p_name, ' ', 1) || '!' AS text
+          FROM part p JOIN part p2 ON p2.p_partkey = (p.p_partkey * 7) % (SELECT count(*) FROM part))"""
+
+
+@register("t9_hot_word_entities", sql.with_(_HOT) + sql.mentions_sql())
+def hot_word_entities(spark, sf_dir):
+    """Entities "a of b" whose words all stand in many texts: found through pairs of neighbours."""
+    p = fx.table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    first, second = F.element_at("w", 1), F.coalesce(F.try_element_at("w", F.lit(2)), F.lit(""))
+    ents = entity_set(p.select(F.lower(F.concat(first, F.lit(" of "), second)).alias("name")))
+    other = p.select(F.col("p_partkey").alias("k"), first.alias("o"))
+    t = p.join(other, F.col("k") == F.pmod(F.col("p_partkey") * 7, F.lit(p.count())))
+    text = F.concat(F.lit("the "), first, F.lit(" of "), second, F.lit(" and the "), second, F.lit(", of "), F.col("o"), F.lit("!"))
+    return _rounded(detect_mentions(t.select(F.col("p_partkey").alias("text_id"), text.alias("text")), ents, key_cols=["text_id"], frequent=20))
+
+
 @register("t11_fuzzy_mentions_p", sql.with_(sql.ENT_P, sql.FUZZY_P) + sql.mentions_sql())
 def mentions_fuzzy_p(spark, sf_dir):
     ents = entity_set(fx.part_names(spark, sf_dir))

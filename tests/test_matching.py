@@ -93,6 +93,48 @@ def test_mentions_properties(spark):
                 assert got[i, e] == 1.0
 
 
+def test_hot_words_meet_through_pairs(spark):
+    """Every text holds every word of every entity; only pairs of neighbours tell them apart."""
+    from pyspark.sql import functions as F
+
+    from convrec.functions.ngrams import word_runs
+    from convrec.operators.mentions import exact_candidates
+
+    words = ["red", "blue", "ring", "bolt", "pin", "cap"]
+    names = [f"{a} of {b}" for a in words for b in words if a != b]
+    rnd = random.Random(2)
+    texts = [(i, f"{rnd.choice(names)}, " + " ".join(rnd.sample(words, 6))) for i in range(200)]
+    tdf = spark.createDataFrame(texts, "text_id int, tl string").withColumn("t_runs", word_runs("tl"))
+    ents = spark.createDataFrame([(n,) for n in names], "entity string").withColumn("e_runs", word_runs("entity"))
+    alone = exact_candidates(tdf, ents, ["text_id"], frequent=10**6)
+    paired = exact_candidates(tdf, ents, ["text_id"], frequent=20)
+    true = {(i, n) for i, t in texts for n in names if f" {n}," in f" {t}"}
+    got = {tuple(r) for r in paired.collect()}
+    assert true <= got and all(any(p in t for p in (f"{n.split()[0]} of", f"of {n.split()[2]}")) for i, n in got for t in [dict(texts)[i]])
+    assert alone.count() > 3 * paired.count()
+    found = detect_mentions(tdf.select("text_id", F.col("tl").alias("text")), ents.select("entity"), key_cols=["text_id"], frequent=20)
+    assert {(r["text_id"], r["entity"]) for r in found.collect() if r["score"] == 1.0} == true
+
+
+def test_fuzzy_candidates_keep_every_similar_pair(spark):
+    """Length and place cut candidates of a frequent n-gram, never a pair that is similar enough."""
+    from convrec.operators.mentions import fuzzy_candidates
+
+    rnd = random.Random(9)
+    draw = lambda: sorted(rnd.sample(range(14), rnd.randint(2, 10)))
+    tsets, esets = {i: draw() for i in range(120)}, {f"e{i}": draw() for i in range(60)}
+    prefix = lambda s: s[: len(s) - -(-len(s) * 7 // 10) + 1]
+    tp = [(i, len(s), str(g), at + 1) for i, s in tsets.items() for at, g in enumerate(prefix(s))]
+    ep = [(e, len(s), str(g), at + 1) for e, s in esets.items() for at, g in enumerate(prefix(s))]
+    got = fuzzy_candidates(
+        spark.createDataFrame(tp, "k int, t_n int, g string, t_at int"), spark.createDataFrame(ep, "entity string, e_n int, g string, e_at int"), ["k"], 0.7
+    )
+    got = {tuple(r) for r in got.collect()}
+    similar = {(i, e) for i, a in tsets.items() for e, b in esets.items() if len(set(a) & set(b)) >= 0.7 * len(set(a) | set(b))}
+    plain = {(x[0], y[0]) for x in tp for y in ep if x[2] == y[2]}
+    assert similar <= got and len(got) * 2 < len(plain)
+
+
 TITLES = [("a1", "The Matrix (1999) [DVD]"), ("b2", "Star Wars"), ("c3", "Amélie"), ("d4", "(only brackets)"), ("e5", "Toy Story 2")]
 
 
