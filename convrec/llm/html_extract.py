@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,13 @@ from pyspark.sql import types as T
 from convrec.llm.common import cut
 from convrec.llm.url_filter import host_and_path
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quote opens a value only right after "="; elsewhere, and inside a value without quotes, it is a
+# character like others.  A quote that nothing closes is one too.
+_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+|(?=[\"'\s>]|$))"
+_MARKUP = re.compile(
+    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+{_VALUE})*+)>?", re.S
+)
+_ATTR = re.compile(r"([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>][^\s>]*))")
 _TOKEN = re.compile(r"[a-z]+")
 
 # HTML's element kinds.
@@ -79,12 +85,37 @@ def frame_element(tag: str, names: str, inside_article: bool) -> str | None:
     return None if not tokens else FRAME if any(FRAME_WORDS.issuperset(t) for t in tokens) else HINT
 
 
-def blocks(page: str) -> list[tuple[str, str, str]]:
+class Path:
+    """A chain of block elements: a 64-bit key made from its parent's and the last element."""
+
+    __slots__ = ("key", "parent", "least")
+
+    def __init__(self, key: int, parent: Path | None = None):
+        self.key, self.parent = key, parent
+        self.least: float | None = None  # once asked for
+
+    def child(self, step: str) -> Path:
+        return Path(xxhash.xxh64_intdigest(step, self.key), self)
+
+
+def path_key(path: str) -> int:
+    """Key of a path written as ``/html/body.name/...``."""
+    at = Path(0)
+    for step in path.split("/")[1:]:
+        at = at.child(step)
+    return signed(at.key)
+
+
+def signed(key: int) -> int:
+    return key - (1 << 63)
+
+
+def blocks(page: str) -> list[tuple[Path, str, str]]:
     """The blocks of ``blocks_and_looks``."""
     return blocks_and_looks(page)[0]
 
 
-def blocks_and_looks(page: str) -> tuple[list[tuple[str, str, str]], dict[str, list[str]]]:
+def blocks_and_looks(page: str) -> tuple[list[tuple[Path, str, str]], dict[int, list[str]]]:
     """``(path, text, place)`` of the blocks of a page, in page order; the place is FRAME inside an
     element that is frame by its meaning, HINT inside one whose name only hints at it, else
     ARTICLE inside an article, else PLAIN.  An article or main element is not under the names of
@@ -96,11 +127,15 @@ def blocks_and_looks(page: str) -> tuple[list[tuple[str, str, str]], dict[str, l
     decoded after the markup is cut, so they never make markup.  Comments, scripts and styles
     never reach the text; a truncated page ends where it ends.
 
-    The look of a path is the sequence of the child elements (with their classes) of the
-    elements it stands for, in page order, those of an element after a "|"."""
-    stack: list[tuple[str, str, str | None, bool, int]] = [("", "", None, False, 0)]  # tag, path, frame, in article, hinting element
-    out: list[tuple[str, str, str, bool, int]] = []
-    looks: dict[str, list[str]] = {}
+    The look of a path (by its key) is the sequence of the child elements (with their classes) of
+    the elements it stands for, in page order, those of an element after a "|".
+
+    An open element costs the same at any depth: paths are chains, not texts, and an end tag
+    looks for its element only if one of its kind is open."""
+    stack: list[tuple[str, Path, str | None, bool, int]] = [("", Path(0), None, False, 0)]  # tag, path, frame, in article, hinting element
+    out: list[tuple[Path, str, str, bool, int]] = []
+    looks: dict[int, list[str]] = {}
+    opened: Counter[str] = Counter()
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -131,22 +166,23 @@ def blocks_and_looks(page: str) -> tuple[list[tuple[str, str, str]], dict[str, l
             continue
         flush()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[depth][0] == tag:
+                    opened.subtract(x[0] for x in stack[depth:])
                     del stack[depth:]
                     break
                 if tag not in SCOPES and stack[depth][0] in SCOPES:
                     break  # an end tag does not reach beyond the part of the page it stands in
             continue
         if tag in VOID:
-            looks.setdefault(stack[-1][1], []).append(tag)
+            looks.setdefault(stack[-1][1].key, []).append(tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         while len(stack) > 1 and tag in CLOSES.get(stack[-1][0], ()):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         _, path, frame, article, hinting = stack[-1]
         names, classes = "", ""
         for a in _ATTR.finditer(m.group(3)):
@@ -162,10 +198,12 @@ def blocks_and_looks(page: str) -> tuple[list[tuple[str, str, str]], dict[str, l
             hinting = at if own == HINT and frame is None else hinting
             frame = own or frame
         article = article or tag in MAIN_TAGS
-        looks.setdefault(path, []).append(tag + classes)
+        looks.setdefault(path.key, []).append(tag + classes)
         if not m.group(3).endswith("/"):
-            looks.setdefault(f"{path}/{tag}{classes}", []).append("|")
-            stack.append((tag, f"{path}/{tag}{classes}", frame, article, hinting))
+            path = path.child(tag + classes)
+            looks.setdefault(path.key, []).append("|")
+            stack.append((tag, path, frame, article, hinting))
+            opened[tag] += 1
     flush()
     length: dict[int, int] = {}
     for _, words, place, _, hinting in out:
@@ -179,13 +217,13 @@ def blocks_and_looks(page: str) -> tuple[list[tuple[str, str, str]], dict[str, l
     ], looks
 
 
-def path_key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+def text_key(text: str) -> int:
+    return signed(xxhash.xxh64_intdigest(text))
 
 
-def branch_key(path: str, place: str) -> int:
+def branch_key(path: Path, place: str) -> int:
     """Blocks that their element's name hints at are measured apart from others of their path."""
-    return path_key(path + " hint" if place == HINT else path)
+    return signed(path.child(" hint").key if place == HINT else path.key)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -201,16 +239,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
             hosts, paths, hints, looks, contents, whole = [], [], [], [], [], []
             for h, page in zip(b.column("host").to_pylist(), b.column("html")):
                 parts, children = blocks_and_looks(page.as_py() or "")
-                here: dict[tuple[str, str], list[str]] = {}
+                here: dict[int, tuple[Path, str, list[str]]] = {}
                 for path, words, place in parts:
-                    here.setdefault((path, HINT if place == HINT else ""), []).append(words)
-                everything = xxhash.xxh64_intdigest("\n".join(w for _, w, _ in parts)) - (1 << 63)
-                for (path, place), texts in here.items():
+                    here.setdefault(branch_key(path, place), (path, place, []))[2].append(words)
+                everything = text_key("\n".join(w for _, w, _ in parts))
+                for key, (path, place, texts) in here.items():
                     hosts.append(h)
-                    paths.append(branch_key(path, place))
+                    paths.append(key)
                     hints.append(place == HINT)
-                    looks.append(path_key(" ".join(children.get(path, ()))))
-                    contents.append(path_key("\n".join(texts)))
+                    looks.append(text_key(" ".join(children.get(path.key, ()))))
+                    contents.append(text_key("\n".join(texts)))
                     whole.append(everything)
             cols = [pa.array(hosts, pa.string()), pa.array(hints, pa.bool_()), *(pa.array(c, pa.int64()) for c in (paths, looks, contents, whole))]
             yield pa.RecordBatch.from_arrays(cols, names=["host", "hint", "path", "look", "content", "whole"])
@@ -282,15 +320,20 @@ def extract_text(
     )
 
 
-def branch_importance(path: str, place: str, measured: dict[int, tuple[float, bool]]) -> float:
+def branch_importance(path: Path, place: str, measured: dict[int, tuple[float, bool]]) -> float:
     """The smallest importance of the path and those above it (1 where nothing was measured)
     times the prior of its place.  In an article and under a hint the path's own counts, if
     enough pages have it (else 1 and 0)."""
     if place in (ARTICLE, HINT):
         importance, sure = measured.get(branch_key(path, place), (0.0, False))
         return PRIOR[place] * importance if sure else float(place == ARTICLE)
-    least = 1.0
-    while path and place != FRAME and measured:
-        least = min(least, measured.get(path_key(path), (1.0, False))[0])
-        path = path[: path.rindex("/")]
-    return PRIOR[place] * least
+    if place == FRAME or not measured:
+        return PRIOR[place]
+    above, at = [], path
+    while at is not None and at.least is None:
+        above.append(at)
+        at = at.parent
+    for p in reversed(above):  # each path of a page is looked up once
+        own = measured.get(signed(p.key), (1.0, False))[0] if p.parent is not None else 1.0
+        p.least = own if p.parent is None else min(own, p.parent.least)
+    return PRIOR[place] * path.least

@@ -378,3 +378,61 @@ def test_components_of_a_long_path_have_plans_of_one_size(ws, monkeypatch):
     want = {int(x): int(part.min()) for part in (order[: cutoff + 1], order[cutoff + 1 :]) if len(part) > 1 for x in part}
     assert got == want
     assert len(bits) > 12 and max(bits) < 128 and max(bits[-5:]) <= max(bits[:10])
+
+
+def test_markup_that_every_browser_reads():
+    said = lambda page: [w for _, w, _ in blocks(page)]
+    assert said("<article><p data-x=it's>Story one</p><p>two don't go</p><p>three</p></article>") == ["Story one", "two don't go", "three"]
+    assert said('<img alt=5" src=a><p>lost?</p><p class="b">end</p>') == ["lost?", "end"]
+    assert said("""<p title="a > b" x='c > d' y=e"f">one</p><p "q">two</p><p a = 'x>y'>three</p>""") == ["one", "two", "three"]
+    assert said('<p class="open>kept</p><p>too</p>') == ["kept", "too"]
+    assert said('<a href=/x?a="1>2">in</a> <p =>out') == ['2">in', "out"]
+
+
+def test_deep_nesting_costs_no_more_an_element():
+    import time
+    import tracemalloc
+
+    def cost(n):
+        tracemalloc.start()
+        begin = time.perf_counter()
+        assert [w for _, w, _ in blocks("<div>" * n + "x" + "</section>" * n)] == ["x"]
+        took, peak = time.perf_counter() - begin, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return took, peak
+
+    small, large = cost(5_000), cost(40_000)
+    assert large[1] < 12 * small[1] and large[1] < 100e6
+
+
+def test_entropies_equal_a_plain_recount(ws):
+    """Every path of a host: the entropies of the texts under it and of its child sequences, counted
+    from the markup by hand (one div per line, lines as page parts)."""
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    parts = {"a": ["same", "x", "y"], "b": ["one", "two"], "c": ["fixed"]}
+    pages, seen = [], {}
+    for i in range(40):
+        chosen = {k: str(rng.choice(v)) for k, v in parts.items() if rng.random() < 0.9}
+        kids = {k: int(rng.integers(0, 3)) for k in chosen}
+        body = "".join(f'<div class="{k}">{t}{"<hr>" * kids[k]}</div>' for k, t in chosen.items())
+        pages.append(("h", f"<html><body>{body}</body></html>"))
+        key = tuple(chosen.items())
+        for k, t in chosen.items():
+            seen.setdefault(k, {})[(key, t, kids[k])] = (t, kids[k])
+
+    def entropy(values):
+        n = Counter(values)
+        bits = -sum(c / len(values) * math.log(c / len(values)) for c in n.values())
+        return bits / math.log(len(values)) if len(values) > 1 else 1.0
+
+    got = {r["path"]: r for r in style_tree(ws.createDataFrame(pages, "host string, html string")).collect()}
+    for k, by_page in seen.items():
+        # pages count once per (all texts, look, content), as rows that are equal do
+        r = got[path_key(f"/html/body/div.{k}")]
+        rows = list(by_page.values())
+        assert r["pages"] == len(rows)
+        assert abs(r["content"] - entropy([t for t, _ in rows])) < 1e-9
+        assert abs(r["look"] - entropy([n for _, n in rows])) < 1e-9
