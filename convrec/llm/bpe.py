@@ -9,6 +9,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from convrec.llm.common import id_text
 # digits and fractions, which libraries class differently) is split by Python's own rules; other text goes through the
 # tokenizer file's normalizer and pre-tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
+# A text of these characters (white space and printable ones of the range above) is split as a whole.
+_FAST = re.compile("[\t-\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
 _RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
@@ -30,12 +33,17 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+Known = tuple[int, tuple[int, ...], str, str]
+CODED, ALONE = "\x00", "\x01"  # no word begins with these
+WIDTH = 1 << 20  # more than a vocabulary has tokens
+
+
 class WordBpe:
     """Encoder for a tokenizer file with byte-level symbols and word ends.
 
-    Texts are cut at white space.  A worker keeps what it has learned of up to ``cache`` pieces
-    and words (those met again outlive the others); all words of a batch that it doesn't
-    know are encoded together."""
+    Texts of common characters are cut into words as a whole, others piece by piece between white
+    space.  A worker keeps what it has learned of up to ``cache`` words (those met again outlive
+    the others); all words of a batch that it doesn't know are encoded together."""
 
     def __init__(self, path: str, cache: int = 400_000):
         with open(path, encoding="utf-8") as f:
@@ -47,16 +55,19 @@ class WordBpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.end = model["end_of_word_suffix"] or ""
         self.alphabet = byte_alphabet()
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, tuple[int, int]] = {}  # left * WIDTH + right -> rank, token
         for r, (a, b) in enumerate(model["merges"]):
-            self.rank[self.vocab[a], self.vocab[b]] = (r, self.vocab[a + b])
+            self.rank[self.vocab[a] * WIDTH + self.vocab[b]] = (r, self.vocab[a + b])
+        # symbols of the byte alphabet inside a word and at its end
+        self.inner, self.final = (np.full(max(map(ord, self.alphabet)) + 1, -1, np.int64) for _ in range(2))
+        for c in self.alphabet:
+            self.inner[ord(c)], self.final[ord(c)] = self.vocab.get(c, -1), self.vocab.get(c + self.end, -1)
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._library = None
-        # piece -> (number of ids, ids, ids in decimal, decoded): now, and of the generation before
-        self.known: dict[str, tuple[int, tuple[int, ...], str, str]] = {}
-        self.older: dict[str, tuple[int, tuple[int, ...], str, str]] = {}
-        self.word_ids: dict[str, tuple[int, ...]] = {}
-        self.older_words: dict[str, tuple[int, ...]] = {}
+        # word -> (number of ids, ids, ids in decimal, decoded): now, and of the generation before
+        self.known: dict[str, Known] = {}
+        self.older: dict[str, Known] = {}
+        self.odd: dict[str, list[str]] = {}  # words of pieces that Python's rules don't split
 
     def library_words(self, piece: str) -> list[str]:
         """Words of a piece by the tokenizer file's own normalizer and pre-tokenizer."""
@@ -87,29 +98,26 @@ class WordBpe:
         rank order merges every word as alone."""
         if not words:
             return []
-        symbol: list[int] = []
-        last: list[int] = []
-        for w in words:
-            symbol += [self.vocab[c] for c in w[:-1]]
-            symbol.append(self.vocab[w[-1] + self.end])
-            last.append(len(symbol) - 1)
-        n = len(symbol)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        first = [0, *(e + 1 for e in last[:-1])]
-        for s, e in zip(first, last):
-            before[s], after[e] = -1, -1
-        rank = self.rank
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        last = np.cumsum(size) - 1
+        first = last - size + 1
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        start = self.inner[chars]
+        start[last] = self.final[chars[last]]
+        n = len(start)
+        follows, precedes = np.arange(1, n + 1), np.arange(-1, n - 1)
+        follows[last], precedes[first] = -1, -1
         where: dict[int, list[int]] = {}  # rank -> positions of its pair's left symbol
         made: dict[int, tuple[int, int, int]] = {}  # rank -> pair and the token it makes
-        for i in range(n):
-            j = after[i]
-            if j >= 0 and (hit := rank.get((symbol[i], symbol[j]))):
-                r, t = hit
-                if (at := where.get(r)) is None:
-                    where[r], made[r] = [i], (symbol[i], symbol[j], t)
-                else:
-                    at.append(i)
+        left = np.flatnonzero(follows >= 0)
+        pairs = start[left] * WIDTH + start[left + 1]
+        by_pair = np.argsort(pairs, kind="stable")
+        distinct, begin = np.unique(pairs[by_pair], return_index=True)
+        rank = self.rank
+        for pair, at in zip(distinct.tolist(), np.split(left[by_pair], begin[1:])):
+            if hit := rank.get(pair):
+                where[hit[0]], made[hit[0]] = at.tolist(), (pair // WIDTH, pair % WIDTH, hit[1])
+        symbol, after, before = start.tolist(), follows.tolist(), precedes.tolist()
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -117,6 +125,7 @@ class WordBpe:
             a, b, t = made[r]
             positions = where.pop(r)
             positions.sort()
+            from_t = t * WIDTH
             for i in positions:
                 j = after[i]
                 if symbol[i] != a or j < 0 or symbol[j] != b:
@@ -125,7 +134,7 @@ class WordBpe:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    if hit := rank.get((t, symbol[k])):
+                    if hit := rank.get(from_t + symbol[k]):
                         s, made_t = hit
                         if (at := where.get(s)) is None:
                             where[s], made[s] = [i], (t, symbol[k], made_t)
@@ -133,59 +142,65 @@ class WordBpe:
                         else:
                             at.append(i)
                 h = before[i]
-                if h >= 0 and (hit := rank.get((symbol[h], t))):
+                if h >= 0 and (hit := rank.get(symbol[h] * WIDTH + t)):
                     s, made_t = hit
                     if (at := where.get(s)) is None:
                         where[s], made[s] = [h], (symbol[h], t, made_t)
                         heapq.heappush(active, s)
                     else:
                         at.append(h)
+        whole = np.array(symbol)
+        ends = np.cumsum(np.add.reduceat(whole >= 0, first)).tolist()
+        ids = whole[whole >= 0].tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def words(self, text: str) -> list[str]:
+        """The words of a whole text in order, as they are (lower-cased), in the byte alphabet behind
+        ``CODED``, or, for special tokens (matched before lower-casing), behind ``ALONE``."""
+        if self._cut is None or "<|" not in text:
+            return self.part_words(text)
         out = []
-        for s in first:
-            ids = []
-            while s >= 0:
-                ids.append(symbol[s])
-                s = after[s]
-            out.append(tuple(ids))
+        for part in self._cut.split(text):
+            out += [ALONE + part] if part in self.special else self.part_words(part)
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        """White-space free parts; special tokens (matched before lower-casing) stand alone."""
-        if self._cut is not None and "<|" in text:
-            out = []
-            for part in self._cut.split(text):
-                out += [part] if part in self.special else self.white_split(part)
-            return out
-        return self.white_split(text)
+    def part_words(self, part: str) -> list[str]:
+        if _FAST.fullmatch(part) and _FAST.fullmatch(low := part.lower()):
+            return _RULE.findall(low)
+        out = []
+        for piece in self.white_split(part):
+            if _FAST.fullmatch(piece) and _FAST.fullmatch(low := piece.lower()):
+                out += _RULE.findall(low)
+            else:
+                if (coded := self.odd.get(piece)) is None:
+                    coded = self.odd[piece] = [CODED + w for w in self.piece_words(piece)]
+                out += coded
+        return out
 
     @staticmethod
     def white_split(text: str) -> list[str]:
         # U+001C..U+001F end a piece for str.split but are no white space for the tokenizer
         return text.split() if not _SEPARATORS.search(text) else _WHITE.split(text)
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, tuple[int, ...], str, str]]:
-        """What is known of the pieces (and of others); new words are encoded as one batch."""
+    def learn(self, words: set[str]) -> dict[str, Known]:
+        """What is known of the words (and of others); new ones are encoded as one batch."""
         if len(self.known) > self.cache // 2:
             self.known, self.older = {}, self.known
-        if len(self.word_ids) > self.cache // 2:
-            self.word_ids, self.older_words = {}, self.word_ids
-        known, older, words = self.known, self.older, self.word_ids
-        split: dict[str, list[str]] = {}
-        for p in pieces - known.keys():
-            if (was := older.get(p)) is not None:
-                known[p] = was
-            else:
-                split[p] = [] if p in self.special else self.piece_words(p)
+        if len(self.odd) > self.cache // 8:
+            self.odd = {}
+        known, older = self.known, self.older
         new = []
-        for w in {w for ws in split.values() for w in ws} - words.keys():
-            if (was_ids := self.older_words.get(w)) is not None:
-                words[w] = was_ids
+        for w in words - known.keys():
+            if (was := older.get(w)) is not None:
+                known[w] = was
+            elif w[0] == ALONE:
+                known[w] = (1, (self.special[w[1:]],), str(self.special[w[1:]]), w[1:])
             else:
                 new.append(w)
-        words.update(zip(new, self.encode_words(new)))
-        for p, ws in split.items():
-            ids = (self.special[p],) if p in self.special else tuple(i for w in ws for i in words[w])
-            known[p] = (len(ids), ids, " ".join(map(str, ids)), self.decode(ids))
+        table = self.alphabet
+        coded = [w[1:] if w[0] == CODED else w if w.isascii() else "".join([table[b] for b in w.encode()]) for w in new]
+        for w, ids in zip(new, self.encode_words(coded)):
+            known[w] = (len(ids), ids, " ".join(map(str, ids)), self.decode(ids))
         return known
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -199,31 +214,31 @@ _ENCODERS: dict[str, WordBpe] = {}
 
 
 def encoder(path: str) -> WordBpe:
-    """One encoder per worker process, with the pieces it has met."""
+    """One encoder per worker process, with the words it has met."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordBpe(path)
     return _ENCODERS[path]
 
 
-def encode_pieces(bpe: WordBpe, texts: Sequence[str], part: int = 1 << 20) -> Iterator[list[tuple[int, tuple[int, ...], str, str]]]:
-    """Per whole text, what is known of its pieces that have ids; texts are taken together up
-    to about ``part`` characters."""
+def encode_in_words(bpe: WordBpe, texts: Sequence[str], part: int = 1 << 22) -> Iterator[list[Known]]:
+    """Per whole text, what is known of its words; texts are taken together up to about ``part``
+    characters."""
     begin = 0
     while begin < len(texts):
         end, length, split = begin, 0, []
         while end < len(texts) and (end == begin or length + len(texts[end]) <= part):
             length += len(texts[end])
-            split.append(bpe.pieces(texts[end]))
+            split.append(bpe.words(texts[end]))
             end += 1
         known = bpe.learn(set().union(*split))
         for s in split:
-            yield [k for p in s if (k := known[p])[0]]
+            yield [known[w] for w in s]
         begin = end
 
 
 def encode_texts(bpe: WordBpe, texts: Sequence[str]) -> Iterator[list[int]]:
     """Ids of each whole text."""
-    for found in encode_pieces(bpe, texts):
+    for found in encode_in_words(bpe, texts):
         yield [i for k in found for i in k[1]]
 
 
@@ -264,7 +279,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         bpe = encoder(path)
         for b in batches:
             sizes, first, second = [], [], []
-            for found in encode_pieces(bpe, b.column("text").to_pylist()):
+            for found in encode_in_words(bpe, b.column("text").to_pylist()):
                 sizes.append(sum([k[0] for k in found]))
                 first.append(hashlib.sha256(" ".join([k[2] for k in found]).encode()).hexdigest())
                 second.append(hashlib.sha256(" ".join([k[3] for k in found]).encode()).hexdigest())
