@@ -264,7 +264,7 @@ def best(scores, own, k):
 def test_exact_topk_equals_brute_force(ws):
     df, x = vectors(ws)
     q = np.floor(64 * x).astype(np.int64)
-    got = top_products(df, F.col("id") % 20 == 0, k=7, block_rows=100, query_rows=6).collect()
+    got = top_products(df, F.col("id") % 20 == 0, k=7, block_rows=100).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
@@ -436,3 +436,25 @@ def test_entropies_equal_a_plain_recount(ws):
         assert r["pages"] == len(rows)
         assert abs(r["content"] - entropy([t for t, _ in rows])) < 1e-9
         assert abs(r["look"] - entropy([n for _, n in rows])) < 1e-9
+
+
+def test_large_components_give_exact_products(ws):
+    """Components up to 10^7 and, with scores that still fit 64 bits, far beyond; an error after that."""
+    rng = np.random.default_rng(12)
+    for size, dims in ((1e7, 5), (2e7, 2), (1e9, 3)):
+        v = [[float(x) for x in r] for r in rng.uniform(-size, size, (60, dims)) * (0.6 if size == 1e9 else 1)]
+        if size == 1e9:  # scale 1: products of 2^60, sums near the edge of 64 bits
+            v = [[float(round(x)) for x in r] for r in v]
+        scale = 1 if size == 1e9 else 64
+        q = [[int(np.floor(np.float64(x) * scale)) for x in r] for r in v]
+        df = ws.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>")
+        got = [tuple(r) for r in top_products(df, F.col("id") % 20 == 0, k=7, scale=scale, block_rows=16).collect()]
+        want = []
+        for a in range(0, 60, 20):
+            best = sorted(((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in range(60) if b != a))[:7]
+            want += [(a, i + 1, b, -s) for i, (s, b) in enumerate(best)]
+        assert sorted(got) == want
+    for bad in ([[4e9, 4e9], [4e9, 4e9]], [[1e300, 0.0], [1.0, 1.0]]):
+        df = ws.createDataFrame(list(enumerate(bad)), "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            top_products(df, F.col("id") == 0, k=1, scale=64).collect()
