@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import weakref
 import zlib
 from array import array
 from collections import Counter
@@ -20,8 +21,8 @@ from convrec.llm.common import cut, id_text, shuffle_width
 from convrec.llm.quality import labelled_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-SEARCHES = 256  # texts searched together
-KNOWN_WORDS = 200_000  # words whose terms a worker remembers
+SEARCHES = 64  # texts searched together
+KNOWN_WORDS = 100_000  # words whose terms a worker remembers
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -43,7 +44,7 @@ class BlockMaxIndex:
     summed in full, a block's bound is its largest such sum plus the bounds of the dense terms,
     and every block whose bound reaches the k-th cosine found is opened, for many queries at a
     time.  Opening works in single precision; what comes within its rounding error of the k-th
-    cosine is computed again in double precision."""
+    cosine is computed again in double precision, from the examples' own weights."""
 
     examples: int
     terms: int
@@ -53,23 +54,30 @@ class BlockMaxIndex:
     row: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
     column: np.ndarray = field(default=None)  # per term: column of the dense matrix or -1
-    dense: np.ndarray = field(default=None)
+    dense: np.ndarray = field(default=None)  # single precision
     bound: np.ndarray = field(default=None)  # dense terms x blocks
-    single: np.ndarray | None = None  # the dense matrix in single precision
+    own: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default=None)  # per example: first entry; columns and exact weights
 
     @classmethod
     def build(cls, vectors: Sequence[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64) -> BlockMaxIndex:
-        self = cls(len(vectors), terms, block)
-        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        size = np.array([len(t) for t, _ in vectors], np.int64)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        many = np.flatnonzero(np.bincount(term, minlength=terms) * self.often > len(vectors))
+        return cls.of_entries(size, term, np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0), terms, block)
+
+    @classmethod
+    def of_entries(cls, size: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = 64) -> BlockMaxIndex:
+        """The index of vectors of ``size`` entries each, all behind one another."""
+        examples = len(size)
+        self = cls(examples, terms, block)
+        row = np.repeat(np.arange(examples, dtype=np.int32), size)
+        many = np.flatnonzero(np.bincount(term, minlength=terms) * self.often > examples)
         self.column = np.full(terms, -1, np.int32)
         self.column[many] = np.arange(len(many))
-        self.dense = np.zeros((len(vectors), len(many)))
+        self.dense = np.zeros((examples, len(many)), np.float32)
         on = self.column[term] >= 0
         self.dense[row[on], self.column[term[on]]] = weight[on]
-        self.bound = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), block)).T if vectors else np.zeros((len(many), 0))
+        self.own = np.searchsorted(row[on], np.arange(examples + 1)), self.column[term[on]], weight[on]
+        self.bound = np.maximum.reduceat(self.dense, np.arange(0, examples, block)).T if examples else np.zeros((len(many), 0))
         row, term, weight = row[~on], term[~on], weight[~on]
         order = np.lexsort((row, term))
         self.row, self.weight = row[order], weight[order]
@@ -98,8 +106,6 @@ class BlockMaxIndex:
             asked[i, column[on]] = weights[on]
             partial[i] = self._postings(terms[~on], weights[~on])
         upper = np.maximum.reduceat(partial, np.arange(0, self.examples, self.block), axis=1) + asked @ self.bound
-        if self.single is None:
-            self.single = self.dense.astype(np.float32)
         slack = 1.2e-7 * (self.dense.shape[1] + 8)  # more than single precision can be off by
         cos = np.zeros(partial.shape, np.float32)
         first = np.argsort(-upper, axis=1, kind="stable")[:, : max(2, -(-2 * k // self.block))]
@@ -117,7 +123,9 @@ class BlockMaxIndex:
         out = []
         for c, low, rare, a in zip(cos, least, partial, asked):
             rows = np.flatnonzero((c > 0) & (c >= low - 2 * slack))
-            exact = rare[rows] + self.dense[rows] @ a
+            first, column, weight = self.own
+            parts = [slice(first[r], first[r + 1]) for r in rows]
+            exact = rare[rows] + np.array([weight[p] @ a[column[p]] for p in parts])
             best = np.lexsort((rows, -exact.round(12)))[:k]
             out.append((rows[best], exact[best]))
         return out
@@ -137,7 +145,7 @@ class BlockMaxIndex:
         for b in np.flatnonzero(chosen.any(axis=0)):
             rows = slice(b * self.block, (b + 1) * self.block)
             q = np.flatnonzero(chosen[:, b])
-            cos[q, rows] = partial[q, rows] + asked[q] @ self.single[rows].T
+            cos[q, rows] = partial[q, rows] + asked[q] @ self.dense[rows].T
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +174,8 @@ def unit(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
 
 
 class WordTerms(dict):
-    """Lower-cased word -> its number; ``terms`` holds its (up to three) terms, -1 for none."""
+    """Lower-cased word -> its number; ``terms`` holds its (up to three) terms, -1 for none.  Words
+    are forgotten all at once when there are ``KNOWN_WORDS`` of them."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.terms = vocabulary, array("q")
@@ -177,6 +186,23 @@ class WordTerms(dict):
         self[word] = len(self)
         return len(self) - 1
 
+    def start(self) -> None:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.terms = array("q")
+
+
+# The models of one fit share their words in a worker, as long as one of them is held.
+_SHARED: weakref.WeakValueDictionary[bytes, WordTerms] = weakref.WeakValueDictionary()
+
+
+def shared_words(names: bytes) -> WordTerms:
+    words = _SHARED.get(names)
+    if words is None:
+        text = zlib.decompress(names).decode()
+        words = _SHARED[names] = WordTerms({t: i for i, t in enumerate(text.split("\n"))} if text else {})
+    return words
+
 
 @dataclass
 class ToxicityModel:
@@ -190,6 +216,7 @@ class ToxicityModel:
     knots: tuple[np.ndarray, np.ndarray] | None = None
     words: WordTerms | None = None
     counts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # terms of the examples and how often
+    importance: np.ndarray = field(default_factory=lambda: np.zeros(0))  # training rows that each example stands for
 
     def __getstate__(self):
         """What travels is small: terms and counts, from which each worker makes the index."""
@@ -201,18 +228,23 @@ class ToxicityModel:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        names = zlib.decompress(self.vocabulary).decode()
-        self.vocabulary = {t: i for i, t in enumerate(names.split("\n"))} if names else {}
+        self.words = shared_words(self.vocabulary)
+        self.vocabulary = self.words.vocabulary
         size, packed = self.counts
-        gaps, n = [np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in packed] or [np.zeros(0, np.int64)] * 2
-        cuts = np.cumsum(size)[:-1]
-        self.counts = [(np.cumsum(g), c) for g, c in zip(np.split(gaps, cuts), np.split(n, cuts))] if len(size) else []
-        self.index = BlockMaxIndex.build([unit(t, c, self.idf) for t, c in self.counts], len(self.vocabulary))
+        self.counts = []  # a worker only searches
+        gaps, n = [np.frombuffer(zlib.decompress(x), np.int32) for x in packed] or [np.zeros(0, np.int32)] * 2
+        ends = np.cumsum(size)
+        term = np.cumsum(gaps, dtype=np.int64)
+        term -= np.repeat(np.concatenate([[0], term[ends[:-1] - 1]]) if len(size) else size, size)
+        weight = (1 + np.log(n)) * self.idf[term]
+        norm = np.sqrt(np.add.reduceat(weight**2, ends - size)) if len(size) else np.zeros(0)
+        weight /= np.repeat(norm, size)
+        self.index = BlockMaxIndex.of_entries(size, term.astype(np.int32), weight, len(self.vocabulary))
 
     def frequencies(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The terms of the vocabulary that stand in each whole text, ascending, and how often."""
-        if self.words is None or len(self.words) > KNOWN_WORDS:
-            self.words = WordTerms(self.vocabulary)
+        self.words = self.words if self.words is not None else WordTerms(self.vocabulary)
+        self.words.start()
         counts = [Counter(_LETTERS.findall(t.lower())) for t in texts]
         size = [len(c) for c in counts]
         word = np.array([i for c in counts for i in map(self.words.__getitem__, c)], np.int64)
@@ -275,7 +307,8 @@ def fit(
     """Learn from a bounded sample of labelled rows outside the held-out part: up to
     ``per_class`` of each label, weighted back to the labels' shares among all training rows.
 
-    Examples: up to ``max_examples`` of the sample, chosen by a hash of the id.  Terms: all that
+    Examples: up to ``max_examples`` of the sample, chosen by another hash of the id, so they keep
+    its mix of labels.  Terms: all that
     stand in an example, none selected.  Their document frequencies come from whole texts of
     all documents.  The votes of the examples on each other calibrate the score.
 
@@ -288,8 +321,11 @@ def fit(
     share = sizes.get(1, 0) / everything_n if everything_n else 0.5
     if len(had) < 2:
         return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
-    weight = {y: sizes[y] / had[y] for y in had}  # sampled rows back to all training rows
-    chosen = cut(sample.select("id", F.col("label").cast("int").alias("label"), "text").orderBy(F.xxhash64("id"), "id").limit(max_examples))
+    # another hash than the sample's own, which is already the smallest of each class
+    other = F.xxhash64("id", F.lit(1))
+    chosen = cut(sample.select("id", F.col("label").cast("int").alias("label"), "text").orderBy(other, "id").limit(max_examples))
+    chosen_of = {int(r["label"]): int(r["n"]) for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = {y: sizes[y] / n for y, n in chosen_of.items()}  # examples back to all training rows
     chosen = chosen.repartition(shuffle_width(docs.sparkSession))
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +345,8 @@ def fit(
         model = shared.value
         df = np.zeros(len(model.vocabulary) + 1, np.int64)  # the last counts documents
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for at in range(0, len(texts), SEARCHES):
-                found = [ids for ids, _ in model.frequencies(texts[at : at + SEARCHES])]
+            for at in range(0, b.num_rows, SEARCHES):
+                found = [ids for ids, _ in model.frequencies(b.column("text").slice(at, SEARCHES).to_pylist())]
                 df[:-1] += np.bincount(np.concatenate(found), minlength=len(df) - 1)
             df[-1] += b.num_rows
         some = np.flatnonzero(df)
@@ -341,8 +376,9 @@ def fit(
     order = sorted((r for r in range(len(ids)) if len(vectors[r][0])), key=lambda r: (heavy[r], ids[r]))  # no terms: no cosine
     vectors, counts = [vectors[r] for r in order], [(lists[0][r], lists[1][r]) for r in order]
     ids, ys = [ids[r] for r in order], ys[order]
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), ids, ys, base, k, counts=counts)
-    model.calibrate(vectors, np.array([weight[int(y)] for y in ys]))
+    importance = np.array([weight[int(y)] for y in ys])
+    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), ids, ys, base, k, counts=counts, importance=importance)
+    model.calibrate(vectors, importance)
     return model
 
 
@@ -358,13 +394,15 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            scores, evidence = [], []
-            for s, rows, cos in m.judge([t or "" for t in b.column(text_col).to_pylist()]):
-                scores.append(s)
-                evidence.append([{"id": m.ids[r], "label": int(m.labels[r]), "cosine": float(c)} for r, c in zip(rows[:shown], cos)])
-            cols = [*(b.column(c) for c in wanted), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pair))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*wanted, "score", "evidence"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 16 * SEARCHES):
+                b = whole.slice(at, 16 * SEARCHES)
+                scores, evidence = [], []
+                for s, rows, cos in m.judge([t or "" for t in b.column(text_col).to_pylist()]):
+                    scores.append(s)
+                    evidence.append([{"id": m.ids[r], "label": int(m.labels[r]), "cosine": float(c)} for r, c in zip(rows[:shown], cos)])
+                cols = [*(b.column(c) for c in wanted), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pair))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*wanted, "score", "evidence"])
 
     found = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
     fields = [*kept.select(*wanted).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", found)]

@@ -15,9 +15,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from convrec.llm import bpe, quality, toxicity
-from convrec.llm.common import table, workers_import
+from convrec.llm.common import cut, table, workers_import
 from convrec.llm.mixing import length_weight, repeat_rows, sample_mix, word_count
 from convrec.llm.simhash import near_duplicates
 from convrec.session import scratch_path
@@ -35,22 +36,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workers_import(spark)
+    # whole texts and all columns travel to the workers, which hold the index of all examples beside
+    # them: batches of this many rows, from here on, keep both within an executor's memory
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", parts=4, rest=2)
-    scored = toxicity.score_texts(docs.drop("score", "evidence"), model)
+    scored = toxicity.score_texts(docs.drop("score", "evidence"), model, shown=0)
     return scored.filter(F.col("score") < REJECT_TOXIC_FROM).select(*docs.drop("score", "evidence").columns)
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays (of repeated rows with that id,
-    one).  Rows without an id have no smallest one and stay."""
+    the one that comes first by text and then by its other columns).  Rows without an id have no smallest one and stay."""
     workers_import(spark)
-    groups = near_duplicates(docs, shingle=4, max_bits=4)
-    gone = groups.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
+    groups = cut(near_duplicates(docs, shingle=4, max_bits=4).select("id", "component_id"))
+    # written, so that the join knows their size: few or many decide whether documents are shuffled
+    gone = cut(groups.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    first = F.struct(F.coalesce("text", F.lit("")), *[F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
+    once = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), first).alias("r")).select("r.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 

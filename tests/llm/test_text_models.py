@@ -233,3 +233,16 @@ def test_near_duplicates_edges(ws):
     out = [(r["id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
     assert sorted(out, key=str) == sorted([(5, 2), (2, 2), (9, 2), (1, 1), (3, 1), (4, 4), (None, 2), (5, 2)], key=str)
     assert simhash.near_duplicates(df.filter("false")).count() == 0
+
+
+def test_toxicity_examples_stand_for_all_training_rows(ws):
+    """More labels than the sample holds, one in ten toxic: the weighted share of toxic examples is
+    that of the training rows."""
+    n = 6000
+    docs = ws.createDataFrame([(i, f"word{i % 50} other{i % 7} " + ("nasty" if i % 10 == 0 else "nice")) for i in range(n)], "doc_id bigint, text string")
+    labels = ws.createDataFrame([(i, int(i % 10 == 0)) for i in range(n)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, per_class=300, max_examples=300)
+    assert len(model.ids) == 300 and 100 < model.labels.sum() < 200  # the sample's even mix
+    share = float((model.importance * model.labels).sum() / model.importance.sum())
+    train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert abs(share - sum(i % 10 == 0 for i in train) / len(train)) < 0.01
