@@ -64,6 +64,26 @@ def test_python_literal_parse(spark):
     assert one(spark, parse_literal(F.col("v"), schemas.NAMED), "not a literal (") is None
 
 
+def test_python_literal_paths_agree(spark):
+    """Plain text, text with double quotes or escapes, and strings that hold keywords."""
+    import ast
+
+    from convrec.functions.literals import python_literal_to_json
+
+    plan = spark.range(1).select(python_literal_to_json(F.lit("[None]").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert "contains(" in plan.lower()  # plain text is not cut into placeholders
+    values = [
+        [None, "a", True], ["None", "True False"], ["O'Hara", None], ["a\\xNone", None], ["caf\xe9 \\ x", False], ["xNone", "None1"],
+        ["it's \"None\"", True, None], [],
+    ]
+    rows = [(repr(v),) for v in values] + [("['caf\\xe9', None]",), ("['open, None]",), ("[None, 'x'",), (None,)]
+    got = [r["v"] for r in spark.createDataFrame(rows, "s string").select(parse_literal("s", T.ArrayType(T.StringType())).alias("v")).collect()]
+    text = lambda x: x if x is None or isinstance(x, str) else str(x).lower()
+    assert got[: len(values)] == [[text(x) for x in v] for v in values]
+    assert got[len(values)] == [text(x) for x in ast.literal_eval(rows[len(values)][0])]
+    assert got[-3] is None and got[-1] is None
+
+
 def test_strip_split_unicode(spark):
     assert one(spark, ustrip(F.col("v")), "　 a b\n\t") == "a b"
     assert one(spark, usplit(F.col("v")), "  a　b\n c ") == ["a", "b", "c"]
