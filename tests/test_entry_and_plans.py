@@ -92,3 +92,13 @@ def test_sources_and_sinks_roundtrip(spark):
     assert out.count() == 1
     out2 = K.upsert_concept_dictionary(spark, spark.createDataFrame([("<id_2>", 6)], "concept string, concept_id bigint"), os.path.join(base, "c1"), os.path.join(base, "c2"))
     assert sorted(r["concept"] for r in out2.collect()) == ["<id_1>", "<id_2>"]
+
+
+def test_top_actors_parses_casts_once(spark):
+    """The filter on the actors stays above the projection that parses them."""
+    import re
+
+    from convrec.plans.q_stage_a import w1_top_actors
+
+    plan = w1_top_actors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"from_json\(", plan)) == 1
