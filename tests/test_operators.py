@@ -277,3 +277,25 @@ def test_only_newline_ends_a_line(spark):
     rows = [("A (b\rc) d",), ("A (b\u2028c) d",), ("A (b\nc) d",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(clean_title("t")).collect()]
     assert got == ["A  d", "A  d", "A (b\nc) d"]
+
+
+def test_prompt_lists_are_joined_once_per_item(spark):
+    """The looked-up rows carry the text of an item's lines, not its lists; empty lists give no line."""
+    from convrec import config as C
+    from convrec.operators.prompts import build_prompts
+
+    item = "struct<item_id:string,rating:double>"
+    users = spark.createDataFrame(
+        [("u1", "s", [("a", 5.0), ("b", 1.0)], ("c", 4.0))], f"user_id string, scenario string, sampled array<{item}>, target {item}"
+    )
+    lists = {c for c, _ in C.FEATURE_COLUMNS.values()} - {"Title", "Collection", "Overview", "Visual Caption"}
+    cat = spark.createDataFrame([("a", "A", ["x", None, "y"]), ("b", "B", []), ("c", "C", None)], "parent_asin string, Title string, l array<string>")
+    cat = cat.withColumns({c: F.col("l") for c in lists} | {c: F.lit("") for c in ("Collection", "Overview", "Visual Caption")}).drop("l")
+    sc = spark.createDataFrame([("s", ["Genres"], ["Genres"])], "scenario string, history array<string>, target array<string>")
+    p = build_prompts(users, cat, sc)
+    label = C.FEATURE_COLUMNS["Genres"][1]
+    assert p.first()["prompt"].count(f"{label}: ") == 1 and f"{label}: x, y\n" in p.first()["prompt"]
+    folded = [x for x in p._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in x]
+    assert folded and "array_join" not in "".join(folded)
+    shown = [x for x in p._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftOuter" in x or "array_join" in x]
+    assert any("CASE WHEN (size(" in x for x in shown)
