@@ -38,7 +38,7 @@ def j12_relations(spark, sf_dir):
 
 
 def _core_items(spark, sf_dir, k=23):
-    c = ops.k_core(fx.inter(spark, sf_dir), k).core
+    c = ops.k_core(fx.inter(spark, sf_dir).select("user_id", "item_id"), k).core  # all that the sets hold
     return g.user_item_sets(c)
 
 
