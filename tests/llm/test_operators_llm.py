@@ -355,7 +355,7 @@ def test_registry_without_the_optional_folders():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert not any(m.startswith("convrec.llm") for m in sys.modules if m.startswith("convrec.operators"))
 
 
