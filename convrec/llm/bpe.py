@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from convrec.llm.common import id_text
+from convrec.llm.common import id_text, kept
 
 # Text whose characters all lie below U+0250 (without information separators, superscript
 # digits and fractions, which libraries class differently) is split by Python's own rules; other text goes through the
@@ -210,14 +210,11 @@ class WordBpe:
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ENCODERS: dict[str, WordBpe] = {}
 
 
 def encoder(path: str) -> WordBpe:
     """One encoder per worker process, with the words it has met."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordBpe(path)
-    return _ENCODERS[path]
+    return kept(("bpe", path), lambda: WordBpe(path))
 
 
 def encode_in_words(bpe: WordBpe, texts: Sequence[str], part: int = 1 << 22) -> Iterator[list[Known]]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convrec.llm.bpe import WordBpe
-from convrec.llm.common import id_text, shuffle_width
+from convrec.llm.common import id_text, kept, shuffle_width
 from convrec.session import scratch_path
 
 MAGIC = b"CMR1"
@@ -297,9 +297,6 @@ class LibraryPieces:
             begin = end
 
 
-_PIECES: dict[str, LibraryPieces] = {}
-
-
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 22
 ) -> None:
@@ -315,8 +312,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
-        if vocabulary not in _PIECES:
-            _PIECES[vocabulary] = LibraryPieces(vocabulary)
+        pieces = kept(("pieces", vocabulary), lambda: LibraryPieces(vocabulary))
         part = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
@@ -331,7 +327,7 @@ def write_token_files(
 
         held = 0
         for b in batches:
-            for d, i in zip(b.column("id").to_pylist(), _PIECES[vocabulary].encode(b.column("text").to_pylist())):
+            for d, i in zip(b.column("id").to_pylist(), pieces.encode(b.column("text").to_pylist())):
                 doc_ids.append(d)
                 ids.append(i)
                 held += len(i) + 1

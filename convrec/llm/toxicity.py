@@ -8,8 +8,9 @@ import weakref
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convrec.llm.common import cut, id_text, shuffle_width
+from convrec.llm.common import cut, forget_kept, id_text, shuffle_width
 from convrec.llm.quality import labelled_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+# The same letters below U+10000, spelled out: one look into a table per character.
+_BMP_LETTERS = re.compile("[" + "".join(m.group()[0] + "-" + m.group()[-1] for m in _LETTERS.finditer("".join(map(chr, range(0x10000))))) + "]+")
 SEARCHES = 64  # texts searched together
 KNOWN_WORDS = 100_000  # words whose terms a worker remembers
+PACKED = 256  # examples handled together while an index is made
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -31,8 +35,16 @@ def word_terms(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "-" for n in (4, 5) if len(word) > n))
 
 
+def text_words(text: str) -> list[str]:
+    """Runs of letters of a text, lower-cased."""
+    low = text.lower()
+    if low.isascii() or len(low.encode("utf-16-le", "surrogatepass")) == 2 * len(low):
+        return _BMP_LETTERS.findall(low)
+    return _LETTERS.findall(low)
+
+
 def text_terms(text: str) -> Iterator[str]:
-    for w in _LETTERS.findall(text.lower()):
+    for w in text_words(text):
         yield from word_terms(w)
 
 
@@ -60,28 +72,51 @@ class BlockMaxIndex:
 
     @classmethod
     def build(cls, vectors: Sequence[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64) -> BlockMaxIndex:
-        size = np.array([len(t) for t, _ in vectors], np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        return cls.of_entries(size, term, np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0), terms, block)
+        def slices() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for at in range(0, len(vectors), PACKED):
+                t, w = zip(*vectors[at : at + PACKED])
+                yield np.array([len(x) for x in t], np.int64), np.concatenate(t), np.concatenate(w)
+
+        return cls.of_slices(slices, len(vectors), terms, block)
 
     @classmethod
-    def of_entries(cls, size: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int = 64) -> BlockMaxIndex:
-        """The index of vectors of ``size`` entries each, all behind one another."""
-        examples = len(size)
+    def of_slices(cls, slices: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], examples: int, terms: int, block: int = 64) -> BlockMaxIndex:
+        """The index of the vectors that ``slices()`` gives, some at a time: their sizes, and their terms
+        and weights behind one another.  They are gone through three times (sizes, dense part,
+        postings), so that nothing but the index itself is ever held for all examples."""
         self = cls(examples, terms, block)
-        row = np.repeat(np.arange(examples, dtype=np.int32), size)
-        many = np.flatnonzero(np.bincount(term, minlength=terms) * self.often > examples)
+        held = np.zeros(terms, np.int64)
+        for _, term, _ in slices():
+            held += np.bincount(term, minlength=terms)
+        many = np.flatnonzero(held * self.often > examples)
         self.column = np.full(terms, -1, np.int32)
         self.column[many] = np.arange(len(many))
         self.dense = np.zeros((examples, len(many)), np.float32)
-        on = self.column[term] >= 0
-        self.dense[row[on], self.column[term[on]]] = weight[on]
-        self.own = np.searchsorted(row[on], np.arange(examples + 1)), self.column[term[on]], weight[on]
+        entries = int(held[many].sum())
+        held[many] = 0
+        self.start = np.concatenate([[0], np.cumsum(held)])
+        self.row, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1])
+        self.own = np.zeros(examples + 1, np.int64), np.empty(entries, np.int32), np.empty(entries)
+        free = self.start[:-1].copy()  # per term: where its next posting goes
+        first_row = filled = 0
+        for size, term, weight in slices():
+            row = np.repeat(np.arange(first_row, first_row + len(size), dtype=np.int32), size)
+            column = self.column[term]
+            on = column >= 0
+            self.dense[row[on], column[on]] = weight[on]
+            now = filled + np.count_nonzero(on)
+            self.own[0][first_row + 1 : first_row + len(size) + 1] = filled + np.cumsum(np.bincount(row[on] - first_row, minlength=len(size)))
+            self.own[1][filled:now], self.own[2][filled:now] = column[on], weight[on]
+            first_row, filled = first_row + len(size), now
+            row, term, weight = row[~on], term[~on], weight[~on]
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            begins = np.flatnonzero(np.diff(term, prepend=-1))
+            counts = np.diff(begins, append=len(term))
+            to = np.repeat(free[term[begins]] - begins, counts) + np.arange(len(term))
+            self.row[to], self.weight[to] = row[order], weight[order]
+            free[term[begins]] += counts
         self.bound = np.maximum.reduceat(self.dense, np.arange(0, examples, block)).T if examples else np.zeros((len(many), 0))
-        row, term, weight = row[~on], term[~on], weight[~on]
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
         return self
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +177,12 @@ class BlockMaxIndex:
 
     def _open(self, chosen: np.ndarray, partial: np.ndarray, asked: np.ndarray, cos: np.ndarray) -> None:
         asked = asked.astype(np.float32)
-        for b in np.flatnonzero(chosen.any(axis=0)):
+        share = chosen.sum(axis=0) / max(1, len(chosen))
+        blocks = np.flatnonzero(share)
+        if share[blocks].sum() > 0.5 * len(share):  # most of everything: at once, whoever asked
+            np.add(partial, asked @ self.dense.T, out=cos, casting="same_kind")
+            return
+        for b in blocks:
             rows = slice(b * self.block, (b + 1) * self.block)
             q = np.flatnonzero(chosen[:, b])
             cos[q, rows] = partial[q, rows] + asked[q] @ self.dense[rows].T
@@ -181,10 +221,10 @@ class WordTerms(dict):
         self.vocabulary, self.terms = vocabulary, array("q")
 
     def __missing__(self, word: str) -> int:
-        found = [self.vocabulary.get(t, -1) for t in word_terms(word)]
-        self.terms.extend(found + [-1] * (3 - len(found)))
-        self[word] = len(self)
-        return len(self) - 1
+        get, letters = self.vocabulary.get, len(word)  # word_terms, spelled out
+        at = self[word] = len(self)
+        self.terms.extend((get(word, -1), get(word[:4] + "-", -1) if letters > 4 else -1, get(word[:5] + "-", -1) if letters > 5 else -1))
+        return at
 
     def start(self) -> None:
         if len(self) > KNOWN_WORDS:
@@ -197,6 +237,7 @@ _SHARED: weakref.WeakValueDictionary[bytes, WordTerms] = weakref.WeakValueDictio
 
 
 def shared_words(names: bytes) -> WordTerms:
+    forget_kept()
     words = _SHARED.get(names)
     if words is None:
         text = zlib.decompress(names).decode()
@@ -220,43 +261,62 @@ class ToxicityModel:
 
     def __getstate__(self):
         """What travels is small: terms and counts, from which each worker makes the index."""
-        size = np.array([len(t) for t, _ in self.counts], np.int64)
-        both = [np.concatenate([np.diff(t, prepend=0) for t, _ in self.counts]), np.concatenate([n for _, n in self.counts])] if self.counts else []
-        packed = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in both]
+        packed = []
+        for at in range(0, len(self.counts), PACKED):
+            some = self.counts[at : at + PACKED]
+            both = [np.concatenate([np.diff(t, prepend=0) for t, _ in some]), np.concatenate([n for _, n in some])]
+            packed.append((np.array([len(t) for t, _ in some], np.int64), *(zlib.compress(x.astype(np.int32).tobytes(), 1) for x in both)))
         names = zlib.compress("\n".join(self.vocabulary).encode(), 1)
-        return self.__dict__ | {"vocabulary": names, "counts": (size, packed), "index": None, "words": None}
+        return self.__dict__ | {"vocabulary": names, "counts": packed, "index": None, "words": None}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.words = shared_words(self.vocabulary)
         self.vocabulary = self.words.vocabulary
-        size, packed = self.counts
-        self.counts = []  # a worker only searches
-        gaps, n = [np.frombuffer(zlib.decompress(x), np.int32) for x in packed] or [np.zeros(0, np.int32)] * 2
-        ends = np.cumsum(size)
-        term = np.cumsum(gaps, dtype=np.int64)
-        term -= np.repeat(np.concatenate([[0], term[ends[:-1] - 1]]) if len(size) else size, size)
-        weight = (1 + np.log(n)) * self.idf[term]
-        norm = np.sqrt(np.add.reduceat(weight**2, ends - size)) if len(size) else np.zeros(0)
-        weight /= np.repeat(norm, size)
-        self.index = BlockMaxIndex.of_entries(size, term.astype(np.int32), weight, len(self.vocabulary))
+        packed, self.counts = self.counts, []  # a worker only searches
+
+        def slices() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for size, *both in packed:
+                gaps, n = (np.frombuffer(zlib.decompress(x), np.int32) for x in both)
+                ends = np.cumsum(size)
+                term = np.cumsum(gaps, dtype=np.int64)
+                term -= np.repeat(np.concatenate([[0], term[ends[:-1] - 1]]), size)
+                weight = (1 + np.log(n)) * self.idf[term]
+                weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, ends - size)), size)
+                yield size, term, weight
+
+        self.index = BlockMaxIndex.of_slices(slices, sum(len(size) for size, *_ in packed), len(self.vocabulary))
 
     def frequencies(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The terms of the vocabulary that stand in each whole text, ascending, and how often."""
-        self.words = self.words if self.words is not None else WordTerms(self.vocabulary)
-        self.words.start()
-        counts = [Counter(_LETTERS.findall(t.lower())) for t in texts]
-        size = [len(c) for c in counts]
-        word = np.array([i for c in counts for i in map(self.words.__getitem__, c)], np.int64)
-        n = np.array([i for c in counts for i in c.values()], np.int64)
-        terms = np.array(self.words.terms, np.int64).reshape(-1, 3)[word]
-        key = terms + np.repeat(np.arange(len(texts)), size)[:, None] * len(self.vocabulary)
-        on = terms >= 0
-        key, which = np.unique(key[on], return_inverse=True)
-        tf = np.bincount(which, np.broadcast_to(n[:, None], terms.shape)[on], len(key))
+        counts = [Counter(text_words(t)) for t in texts]
+        n = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64)
+        bits = int(n.max(initial=0)).bit_length()  # key and count sort as one number
+        terms, key = self._keys(counts)
+        both = np.sort(((key << bits) + n[:, None])[terms >= 0])
+        key = both >> bits
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        tf = np.add.reduceat(both & ((1 << bits) - 1), first).astype(float) if len(first) else np.zeros(0)
+        key = key[first]
         cuts = np.searchsorted(key, np.arange(1, len(texts)) * len(self.vocabulary))
         return [(k - i * len(self.vocabulary), f) for i, (k, f) in enumerate(zip(np.split(key, cuts), np.split(tf, cuts)))]
 
+    def document_frequencies(self, texts: Sequence[str]) -> np.ndarray:
+        """The number of these whole texts that hold each term of the vocabulary."""
+        terms, key = self._keys([set(text_words(t)) for t in texts])
+        key = np.sort(key[terms >= 0])
+        key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+        return np.bincount(key % max(1, len(self.vocabulary)), minlength=len(self.vocabulary))
+
+    def _keys(self, words: Sequence[Collection[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The (up to three) terms of the distinct words of each text, and numbers that put the terms of
+        one text behind those of the text before."""
+        self.words = self.words if self.words is not None else WordTerms(self.vocabulary)
+        self.words.start()
+        word = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64)
+        terms = np.frombuffer(self.words.terms, np.int64).reshape(-1, 3)[word]
+        return terms, terms + np.repeat(np.arange(len(words)), [len(w) for w in words])[:, None] * len(self.vocabulary)
+
     def term_frequencies(self, text: str) -> dict[int, int]:
         """``frequencies`` of one text."""
         ids, tf = self.frequencies([text])[0]
@@ -285,14 +345,35 @@ class ToxicityModel:
     def judge(self, texts: Sequence[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Score, nearest examples and their cosines of every text."""
         for at in range(0, len(texts), SEARCHES):
-            for rows, cos in self.index.nearest_many(self.vectors(texts[at : at + SEARCHES]), self.k):
+            yield from self.judge_counts(self.frequencies(texts[at : at + SEARCHES]))
+
+    def judge_counts(self, counts: Sequence[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """``judge`` for texts of these ``frequencies``."""
+        for at in range(0, len(counts), SEARCHES):
+            some = [unit(ids, tf, self.idf) for ids, tf in counts[at : at + SEARCHES]]
+            for rows, cos in self.index.nearest_many(some, self.k):
                 v = self.vote(rows, cos)
                 if len(rows) and self.knots is not None:
                     v = float(np.interp(v, *self.knots))
                 yield min(1.0, max(0.0, v)), rows, cos
 
 
-def fit(
+def pack_counts(ids: np.ndarray, tf: np.ndarray) -> bytes:
+    """Terms (ascending) and how often, as few bytes: gaps, then numbers."""
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), tf]).astype("<u4").tobytes(), 1)
+
+
+def unpack_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, tf = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int64), tf.astype(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *args, **options) -> ToxicityModel:
+    """``fit_and_count`` for the model alone."""
+    return fit_and_count(docs, labels, *args, **options)[0]
+
+
+def fit_and_count(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
@@ -303,7 +384,8 @@ def fit(
     per_class: int = 6000,
     max_examples: int = 6000,
     k: int = 15,
-) -> ToxicityModel:
+    keep: Sequence[str] | None = None,
+) -> tuple[ToxicityModel, DataFrame | None]:
     """Learn from a bounded sample of labelled rows outside the held-out part: up to
     ``per_class`` of each label, weighted back to the labels' shares among all training rows.
 
@@ -313,14 +395,18 @@ def fit(
     all documents.  The votes of the examples on each other calibrate the score.
 
     Defined cases: no training rows: 0.5 for every text; one label only, or no term: the share
-    of label 1; a document labelled twice counts once, by its larger label."""
+    of label 1; a document labelled twice counts once, by its larger label.
+
+    With ``keep`` (columns) the terms of every document, which the document frequencies are taken
+    from, are also written beside these columns, so that ``score_counted`` need not find them
+    again; the second result reads them (None without terms or without ``keep``)."""
     sample, sizes = labelled_sample(docs, labels, label_col, id_col, text_col, parts, rest, per_class)
     sample = cut(sample.dropDuplicates(["id"]))
     had = {int(r["label"]): int(r["n"]) for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     everything_n = sum(sizes.values())
     share = sizes.get(1, 0) / everything_n if everything_n else 0.5
     if len(had) < 2:
-        return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k)
+        return ToxicityModel({}, np.zeros(0), BlockMaxIndex.build([], 0), [], np.zeros(0), share, k), None
     # another hash than the sample's own, which is already the smallest of each class
     other = F.xxhash64("id", F.lit(1))
     chosen = cut(sample.select("id", F.col("label").cast("int").alias("label"), "text").orderBy(other, "id").limit(max_examples))
@@ -346,25 +432,48 @@ def fit(
         df = np.zeros(len(model.vocabulary) + 1, np.int64)  # the last counts documents
         for b in batches:
             for at in range(0, b.num_rows, SEARCHES):
-                found = [ids for ids, _ in model.frequencies(b.column("text").slice(at, SEARCHES).to_pylist())]
+                df[:-1] += model.document_frequencies(b.column("text").slice(at, SEARCHES).to_pylist())
+            df[-1] += b.num_rows
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["t", "n"])
+
+    def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, SEARCHES):
+                b = whole.slice(at, SEARCHES)
+                found = model.frequencies([t or "" for t in b.column("__text").to_pylist()])
+                packed = pa.array([pack_counts(*x) for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed], names=[*keep, "__terms"])
+
+    def packed_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(shared.value.vocabulary) + 1, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, SEARCHES):
+                found = [unpack_counts(x.as_py())[0] for x in b.column("__terms").slice(at, SEARCHES)]
                 df[:-1] += np.bincount(np.concatenate(found), minlength=len(df) - 1)
             df[-1] += b.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["t", "n"])
 
-    everything = id_text(docs, id_col, text_col)
-    counted = everything.mapInArrow(frequencies, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    if keep is None:
+        counted, partial = None, id_text(docs, id_col, text_col).mapInArrow(frequencies, "t bigint, n bigint")
+    else:
+        held = docs.select(*keep, F.col(text_col).alias("__text"))
+        counted = cut(held.mapInArrow(count_rows, T.StructType([*docs.select(*keep).schema.fields, T.StructField("__terms", T.BinaryType())])))
+        partial = counted.select("__terms").mapInArrow(packed_frequencies, "t bigint, n bigint")
+    sums = partial.groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary) + 1)
-    df[counted.column("t").to_numpy()] = counted.column("n").to_numpy()
+    df[sums.column("t").to_numpy()] = sums.column("n").to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
     def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tf = shared.value.frequencies(b.column("text").to_pylist())
-            lists = [pa.array([x[i].astype(np.int64) for x in tf], pa.list_(pa.int64())) for i in (0, 1)]
+            lists = [pa.array([x[i].astype(np.int32) for x in tf], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), *lists], names=["id", "label", "terms", "tf"])
 
-    held = chosen.mapInArrow(example_terms, "id string, label int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks()
+    held = chosen.mapInArrow(example_terms, "id string, label int, terms array<int>, tf array<int>").toArrow().combine_chunks()
     ids, ys = held.column("id").to_pylist(), held.column("label").to_numpy().astype(float)
     lists = [[x.values.to_numpy() for x in held.column(c)] for c in ("terms", "tf")]
     vectors = [unit(t, f.astype(float), idf) for t, f in zip(*lists)]
@@ -379,7 +488,7 @@ def fit(
     importance = np.array([weight[int(y)] for y in ys])
     model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build(vectors, len(vocabulary)), ids, ys, base, k, counts=counts, importance=importance)
     model.calibrate(vectors, importance)
-    return model
+    return model, counted
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: Sequence[str] | None = None, shown: int = 3) -> DataFrame:
@@ -387,9 +496,19 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", k
     and ``evidence``: the ``shown`` nearest examples (id, label, cosine).  Null and empty texts,
     and texts without any term, get the base share and no evidence.  Input columns of these
     names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
     kept = docs.drop("score", "evidence") if keep is None else docs.select(*keep, text_col)
     wanted = [c for c in kept.columns if keep is None or c in keep]
+    return _scored(kept, model, wanted, shown, text_col, lambda m, texts: m.judge([t or "" for t in texts]))
+
+
+def score_counted(counted: DataFrame, model: ToxicityModel, shown: int = 3) -> DataFrame:
+    """``score_texts`` for the rows that ``fit_and_count`` wrote, from their counted terms."""
+    wanted = [c for c in counted.columns if c != "__terms"]
+    return _scored(counted, model, wanted, shown, "__terms", lambda m, packed: m.judge_counts([unpack_counts(p) for p in packed]))
+
+
+def _scored(rows: DataFrame, model: ToxicityModel, wanted: Sequence[str], shown: int, read: str, judge: Callable) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
     pair = pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,12 +517,12 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", k
             for at in range(0, whole.num_rows, 16 * SEARCHES):
                 b = whole.slice(at, 16 * SEARCHES)
                 scores, evidence = [], []
-                for s, rows, cos in m.judge([t or "" for t in b.column(text_col).to_pylist()]):
+                for s, near, cos in judge(m, b.column(read).to_pylist()):
                     scores.append(s)
-                    evidence.append([{"id": m.ids[r], "label": int(m.labels[r]), "cosine": float(c)} for r, c in zip(rows[:shown], cos)])
+                    evidence.append([{"id": m.ids[r], "label": int(m.labels[r]), "cosine": float(c)} for r, c in zip(near[:shown], cos)])
                 cols = [*(b.column(c) for c in wanted), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pair))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*wanted, "score", "evidence"])
 
     found = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
-    fields = [*kept.select(*wanted).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", found)]
-    return kept.mapInArrow(run, T.StructType(fields))
+    fields = [*rows.select(*wanted).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", found)]
+    return rows.mapInArrow(run, T.StructType(fields))

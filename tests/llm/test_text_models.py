@@ -246,3 +246,80 @@ def test_toxicity_examples_stand_for_all_training_rows(ws):
     share = float((model.importance * model.labels).sum() / model.importance.sum())
     train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
     assert abs(share - sum(i % 10 == 0 for i in train) / len(train)) < 0.01
+
+
+def test_toxicity_index_is_made_in_little_more_memory_than_it_takes():
+    """Workers share an executor's memory: making the index must not hold several copies of all entries."""
+    import pickle
+    import tracemalloc
+
+    from convrec.llm.toxicity import BlockMaxIndex, ToxicityModel, unit
+
+    rng = np.random.default_rng(5)
+    terms, examples = 3000, 4000
+    counts = []
+    for _ in range(examples):
+        t = np.unique((terms * rng.random(150) ** 3).astype(np.int32))
+        counts.append((t, rng.integers(1, 5, len(t)).astype(np.int32)))
+    idf = rng.random(terms) + 1
+    vectors = [unit(t, n.astype(float), idf) for t, n in counts]
+    index = BlockMaxIndex.build(vectors, terms)
+    model = ToxicityModel({f"t{i:05d}": i for i in range(terms)}, idf, index, list(range(examples)), np.zeros(examples), 0.5, 15, counts=counts)
+    packed = pickle.dumps(model)
+    tracemalloc.start()
+    read = pickle.loads(packed)
+    size, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 1.3 * size
+    for name in ("row", "weight", "start", "column", "dense", "bound"):  # (norms are summed in another order)
+        assert np.allclose(getattr(read.index, name), getattr(index, name), atol=1e-7)
+    dense = np.zeros((examples, terms))
+    for r, (t, w) in enumerate(vectors):
+        dense[r, t] = w
+    for q in range(0, 40, 4):
+        cos = dense @ dense[q]
+        best = np.lexsort((np.arange(examples), -cos.round(12)))[:15]
+        rows, found = read.index.nearest(*vectors[q], 15)
+        assert rows.tolist() == best.tolist() and np.allclose(found, cos[best])
+
+
+def test_toxicity_document_frequencies_and_letters():
+    from convrec.llm.toxicity import _LETTERS, ToxicityModel, BlockMaxIndex, text_terms, text_words
+
+    texts = ["Élan vital, élan; elanvital elanvitality 12x", "", "ǅ 𝒜𝒷 x_y İstanbul ßtraße", "élan ퟿日本語 ٣abc", "..."]
+    for t in texts:
+        assert text_words(t) == _LETTERS.findall(t.lower())
+    vocabulary = {t: i for i, t in enumerate(sorted({t for x in texts for t in text_terms(x)}))}
+    model = ToxicityModel(vocabulary, np.ones(len(vocabulary)), BlockMaxIndex.build([], 0), [], np.zeros(0), 0.0, 5)
+    df = model.document_frequencies(texts)
+    assert df.tolist() == [sum(t in set(text_terms(x)) for x in texts) for t in vocabulary]
+    assert model.document_frequencies(["", "."]).sum() == 0 and len(model.frequencies(["", "."])[0][0]) == 0
+    for x, (ids, n) in zip(texts, model.frequencies(texts)):
+        assert dict(zip(ids.tolist(), n.tolist())) == {vocabulary[t]: list(text_terms(x)).count(t) for t in text_terms(x)}
+
+
+def test_worker_keeps_one_operators_words():
+    import public_tokenizers
+
+    from convrec.llm import bpe, common, toxicity
+
+    first = bpe.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe.encoder(first.path) is first
+    words = toxicity.shared_words(__import__("zlib").compress(b"a\nb"))
+    assert words.vocabulary == {"a": 0, "b": 1} and not common._KEPT
+
+
+def test_toxicity_scores_from_written_terms(ws, labelled):
+    """The terms found for the document frequencies are written once and serve the search as well."""
+    docs, labels, *_ = labelled
+    extra = ws.createDataFrame([(None, None), (7, ""), (7, "Ünïque 日本 x"), (None, "again again")], "doc_id bigint, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    model, counted = toxicity.fit_and_count(docs, labels, "toxic", parts=4, rest=2, keep=["doc_id"])
+
+    def rows(df):
+        found = df.select("doc_id", "score", "evidence").collect()
+        return sorted(found, key=lambda r: (r.doc_id is None, r.doc_id, r.score, str(r.evidence)))
+
+    assert rows(toxicity.score_counted(counted, model)) == rows(toxicity.score_texts(docs, model, keep=["doc_id"]))
+    assert np.array_equal(toxicity.fit(docs, labels, "toxic", parts=4, rest=2).idf, model.idf)
+    assert toxicity.fit_and_count(docs, labels.limit(0), "toxic", keep=["doc_id"])[1] is None
