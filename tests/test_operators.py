@@ -299,3 +299,36 @@ def test_prompt_lists_are_joined_once_per_item(spark):
     assert folded and "array_join" not in "".join(folded)
     shown = [x for x in p._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftOuter" in x or "array_join" in x]
     assert any("CASE WHEN (size(" in x for x in shown)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dialogue_chain_runs_each_step_once(spark):
+    """Names to ids, toolkit rows: the dialogues before a step are not computed again for its look-up
+    (one look-up join and one join back stand in the plan), nor is the step for the filter of explode."""
+    dic = spark.createDataFrame([("1", "Alpha"), ("2", "Beta")], "key string, title string")
+    d = _dialogue(spark, [("AI", "try <id_1> and <id_2>"), ("user", "I saw <id_1>"), ("AI", "<id_2>")], target="2")
+    r = dl.format_dialogues(dl.replace_ids_with_titles(d, dic)).drop("conversation").withColumnRenamed("messages", "conversation")
+    back = dl.names_to_ids(r, dic)
+    rows = dl.toolkit_rows(back, dic, mentions_col=None).select(F.explode("conv").alias("u"))
+    assert _plan(back).count("Join") == 2 and _plan(rows).count("Join") == 2
+    assert _plan(back.select(F.posexplode("conversation"))).count("regexp_extract(") == 3  # keys, user turns, others
+    assert _plan(rows).count("<id_(.*?)>") == 1
+    assert [(x["u"]["utt_id"], x["u"]["movies"]) for x in rows.collect()] == [(0, ["Beta"]), (1, ["Alpha"]), (2, [])]
+
+
+def test_names_to_ids_of_a_long_dialogue(spark):
+    """The last tag of a title wins; hundreds of titles in one dialogue take seconds."""
+    import time
+
+    n = 600
+    dic = spark.createDataFrame([(str(i), f"title {i % (n - 1):04d}") for i in range(n)], "key string, title string")
+    tags = [f"<id_{i}>" for i in range(n)]
+    d = spark.createDataFrame([(1, [("user", f"title {i:04d}") for i in range(n - 1)], tags, [])],
+                              "conv_id int, conversation array<struct<role:string,content:string>>, named_items array<string>, target array<string>")
+    begin = time.time()
+    got = [m["content"] for m in dl.names_to_ids(d, dic).first()["conversation"]]
+    assert time.time() - begin < 20
+    assert got == [f"<id_{i or n - 1}>" for i in range(n - 1)]
