@@ -226,7 +226,9 @@ def dialogue_mentions(
     threshold: float = 0.7,
 ) -> DataFrame:
     """Mentions for every message of every dialogue, nested back into the dialogue as
-    ``array<struct<role, content, mentions>>`` (message order kept)."""
+    ``array<struct<role, content, mentions>>`` (message order kept).  The dialogues are read twice
+    (their messages, and the rows that the mentions are joined to): they are written once first."""
+    dialogues = staged(dialogues, "mention-dialogues")
     msgs = dialogues.select(key_col, F.posexplode(conv_col).alias("__i", "m")).select(
         key_col, "__i", F.col("m.content").alias("text")
     )
