@@ -332,3 +332,12 @@ def test_names_to_ids_of_a_long_dialogue(spark):
     got = [m["content"] for m in dl.names_to_ids(d, dic).first()["conversation"]]
     assert time.time() - begin < 20
     assert got == [f"<id_{i or n - 1}>" for i in range(n - 1)]
+
+
+def test_title_dictionary_sorts_after_the_shuffle(spark):
+    """However few files the catalogue has, its titles are cleaned and sorted in shuffled parts."""
+    cat = spark.createDataFrame([(1, "B (x)"), (1, "A [y]"), (2, None)], "item_id int, title string").coalesce(1)
+    dic = dl.title_dictionary(cat, "item_id", "title")
+    plan = dic._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "regexp_replace" not in plan[plan.index("Exchange") :]
+    assert sorted(map(tuple, dic.collect())) == [("1", "A "), ("2", "None")]
