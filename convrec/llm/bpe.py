@@ -21,8 +21,8 @@ from convrec.llm.common import id_text, kept
 # tokenizer file's normalizer and pre-tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 # A text of these characters (white space and printable ones of the range above) is split as a whole.
-_FAST = re.compile("[\t-\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
-_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+FAST = re.compile("[\t-\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def byte_alphabet() -> list[str]:
@@ -86,8 +86,8 @@ class WordBpe:
         if not _PLAIN.fullmatch(low):
             return self.library_words(piece)
         if low.isascii():
-            return [w for m in _RULE.finditer(low) if (w := m.group())] if low.isprintable() else self.library_words(piece)
-        return ["".join(self.alphabet[b] for b in m.group().encode("utf-8")) for m in _RULE.finditer(low)] if low.isprintable() else self.library_words(piece)
+            return [w for m in RULE.finditer(low) if (w := m.group())] if low.isprintable() else self.library_words(piece)
+        return ["".join(self.alphabet[b] for b in m.group().encode("utf-8")) for m in RULE.finditer(low)] if low.isprintable() else self.library_words(piece)
 
     def encode_words(self, words: Sequence[str]) -> list[tuple[int, ...]]:
         """Ids of distinct words.  One linked list holds the symbols of all words; an index maps
@@ -165,12 +165,12 @@ class WordBpe:
         return out
 
     def part_words(self, part: str) -> list[str]:
-        if _FAST.fullmatch(part) and _FAST.fullmatch(low := part.lower()):
-            return _RULE.findall(low)
+        if FAST.fullmatch(part) and FAST.fullmatch(low := part.lower()):
+            return RULE.findall(low)
         out = []
         for piece in self.white_split(part):
-            if _FAST.fullmatch(piece) and _FAST.fullmatch(low := piece.lower()):
-                out += _RULE.findall(low)
+            if FAST.fullmatch(piece) and FAST.fullmatch(low := piece.lower()):
+                out += RULE.findall(low)
             else:
                 if (coded := self.odd.get(piece)) is None:
                     coded = self.odd[piece] = [CODED + w for w in self.piece_words(piece)]

@@ -5,6 +5,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,35 @@ def test_blocks_are_independent_and_checked():
     assert one == token_files.encode_blocks(np.r_[ids[1024:2048], ids[1024:2048]])[0]
 
 
+def test_coder_lanes_beyond_one_refresh():
+    n = (token_files.LANES + 3) * token_files.BLOCK - 500
+    rng = np.random.default_rng(n)
+    ids = np.where(rng.random(n) < 0.7, np.resize(rng.zipf(1.3, 3000) % 49408, n), rng.integers(0, 65536, n))
+    assert (token_files.decode_blocks(token_files.encode_blocks(ids), n) == ids).all()
+
+
+def test_token_file_words_reach_the_model_once(monkeypatch):
+    pieces, asked = token_files.LibraryPieces(PATH), []
+    model_ids = pieces.model_ids
+    monkeypatch.setattr(pieces, "model_ids", lambda words: asked.extend(words) or model_ids(words))
+    texts = ["Cat, cat. CAT", "", " cat,cat\n", "Mélange mélange"]
+    got = [i.tolist() for i in pieces.encode(pa.array(texts), 1, part=14)]
+    assert got == [[*Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sorted(asked) == [",", ".", "cat", "mélange"]
+
+
+def test_token_file_ids_of_random_texts_and_small_cache():
+    lib = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(5)
+    letters = [*"abcdeé'sStTθΣİ012 ½_-%$#üßÿñ\n\t\x0b\x1c\x85\u2028\u3000\u0301\0 <|>­²—😀", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(600)]
+    for cache in (40, 600_000):
+        pieces = token_files.LibraryPieces(PATH, cache)
+        for part in (texts[:150], texts[100:400], texts):
+            for t, ids in zip(part, pieces.encode(pa.array(part), 1, part=900), strict=True):
+                assert ids.tolist() == [*lib.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def test_token_files_of_documents(ws):
     lib = Tokenizer.from_file(PATH)
     rows = [(i * 3 % 13, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (0, TEXTS[0])]
