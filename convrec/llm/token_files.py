@@ -218,7 +218,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     flat[at] = low >> 30
     at += n
     flat[at] = (low & (LEAST - 1)) << 2
-    for t in range(steps + 1, 0, -1):
+    out = out[: at.max() // n + 1]
+    for t in range(len(out) - 1, 0, -1):
         out[t - 1] += out[t] >> 32
     words = np.ascontiguousarray(out.T.astype("<u4"))
     return [w[:e].tobytes() for w, e in zip(words, (at // n + 1).tolist())]
