@@ -2,6 +2,7 @@
 and properties that hold on random input."""
 
 import random
+import re
 
 from convrec.functions.text import usplit
 from convrec.operators.fuzzy_titles import replace_titles_with_ids
@@ -182,3 +183,49 @@ def test_fuzzy_titles_leave_far_text_alone(spark):
         rows.append((rid, "Star Wars " + "-" * 90 + " " + tail, ["b2"]))
     for (_, before), after in _cleaned(spark, rows, span=10).items():
         assert after.startswith("<id_b2>") and after.endswith(before[100:])
+
+
+def _replaced_plainly(text, items, titles, span=50, passes=5):
+    """T13 by brute force: of all pieces longer than half the title the longest, at its first place."""
+    clean = {k: re.sub(r"[\(\[].*?[\)\]]", "", t) for k, t in titles}
+    for _ in range(passes):
+        for k in items:
+            t, tag = clean[k], f"<id_{k}>"
+            cuts = {t[i : i + w] for w in range(len(t) // 2 + 1, len(t) + 1) for i in range(len(t) - w + 1)}
+            hits = [(-len(c), text.find(c), c) for c in cuts if c in text]
+            if not hits or not min(hits)[2].strip():
+                continue
+            size, at, block = min(hits)
+            s0, e0 = max(0, at - span - len(tag)), at - size + span + len(tag)
+            w = text[s0:e0]
+            if tag in w:
+                w = re.sub(r"\(?" + re.escape(tag) + r"\)?", "", w).strip()
+            text = text[:s0] + w.replace(block.strip(), tag).strip() + text[e0:]
+    return text
+
+
+def test_fuzzy_titles_as_by_brute_force(spark):
+    """Titles that share words, of every small length, whole, cut and mistyped in the texts."""
+    rnd = random.Random(11)
+    words = ["red", "é", "blue ring", "bolt", "aa", "a", "of the", "pins"]
+    titles = [(f"k{i}", "".join(rnd.choice("ab é") for _ in range(i))) for i in range(1, 9)]
+    titles += [(f"t{i}", " ".join(rnd.sample(words, rnd.randint(1, 5))) + rnd.choice(["", " (x)", "  [y] (z)"])) for i in range(14)]
+    rows = []
+    for rid in range(150):
+        items = [k for k, _ in rnd.sample(titles, rnd.randint(0, 6))]
+        piece = lambda t: t[rnd.randint(0, 3) : len(t) - rnd.randint(0, 3)]
+        said = [piece(rnd.choice(titles)[1]) for _ in range(rnd.randint(0, 6))] + [rnd.choice(["<id_t1>", "(<id_k3>)", ", ", "-" * 30])]
+        rows.append((rid, " ".join(rnd.sample(said, len(said))), items))
+    got = _cleaned(spark, rows, titles, span=5)
+    assert got == {(r, t): _replaced_plainly(t, items, titles, span=5) for r, t, items in rows}
+    assert sum(t != c for (_, t), c in got.items()) > 50
+
+
+def test_fuzzy_titles_look_for_pieces_as_bytes(spark):
+    """Whether a piece occurs is not asked with ``instr``, which counts characters up to the place, and
+    an item's pieces are found once per row, not at every look."""
+    tdf = spark.createDataFrame(TITLES, "item_id string, title string")
+    df = spark.createDataFrame([(1, "Star Wars", ["b2"])], "rid int, response string, history_items array<string>")
+    plan = replace_titles_with_ids(df, tdf, row_key="rid")._jdf.queryExecution().analyzed().toString()
+    assert "instr(" in plan and not re.search(r"instr\([^()]*(\([^()]*(\([^()]*\))*[^()]*\))*[^()]*\) > 0", plan)
+    assert "seeds" in plan
