@@ -341,3 +341,63 @@ def test_title_dictionary_sorts_after_the_shuffle(spark):
     plan = dic._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "regexp_replace" not in plan[plan.index("Exchange") :]
     assert sorted(map(tuple, dic.collect())) == [("1", "A "), ("2", "None")]
+
+
+def _prompt_inputs(spark, users):
+    item = "struct<item_id:string,rating:double,title:string,text:string>"
+    users = spark.createDataFrame(users, f"user_id string, scenario string, sampled array<{item}>, target {item}")
+    lists = {c for c, _ in C.FEATURE_COLUMNS.values()} - {"Title", "Collection", "Overview", "Visual Caption"}
+    cat = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "parent_asin string, Title string")
+    cat = cat.withColumns({c: F.array(F.lit("l"), F.col("Title")) for c in lists} | {c: F.col("Title") for c in ("Collection", "Overview", "Visual Caption")})
+    sc = [("s", ["Genres", "Review"], []), ("cold", None, ["Genres"]), ("open", ["Genres"], None)]
+    return users, cat, spark.createDataFrame(sc, "scenario string, history array<string>, target array<string>")
+
+
+def test_prompts_read_their_users_once(spark):
+    """Users, scenarios and catalogue each stand once in the plan, and what is folded per user is text."""
+    from convrec.operators.prompts import build_prompts
+
+    users, cat, sc = _prompt_inputs(spark, [("u", "s", [("a", 5.0, "t", "fine")], ("b", 4.0, "t", "x"))])
+    plan = _plan(build_prompts(users, cat, sc))
+    assert plan.count("LogicalRDD") == 3
+    assert "info" not in next(x for x in plan.split("\n") if "collect_list" in x)
+
+
+def test_prompts_of_repeated_null_and_empty_rows(spark):
+    from convrec.operators.prompts import build_prompts
+
+    a, b, c = ("a", 5.0, "ta", "liked it"), ("b", 1.0, None, "bad one"), ("c", None, "tc", "x")
+    rows = [
+        ("twice", "s", [a], c), ("twice", "open", [b], a), (None, "s", [a], b), ("none", "s", None, c), ("bare", "cold", [], c),
+        ("lost", "no such", [a], b), ("gone", "s", [("z", 4.0, "t", "text"), (None, 4.0, "t", "text")], None), ("hidden", "cold", [a, b], c),
+    ]
+    got = {(r["user_id"], r["scenario"]): (r["target_item"], r["prompt"]) for r in build_prompts(*_prompt_inputs(spark, rows)).collect()}
+    line = lambda t, *more: f"Item: {t}, ID: <id_{t.lower()}>\n" + "".join(more)
+    genres = lambda t: f"Genres: l, {t}\n"
+    review = lambda t, x: f"User Review Title: {t}\nUser Review: {x}\n"
+    head, good, poor, goal = C.PROMPT_HISTORY_HEADER, C.PROMPT_LIKED_HEADER, C.PROMPT_DISLIKED_HEADER, C.PROMPT_TARGET_HEADER
+    told = [line("A", genres("A"), review("ta", "liked it")), line("B", genres("B"), review("None", "bad one"))]
+    brief = [line("A", genres("A")), line("B", genres("B"))]
+    want = {
+        ("twice", "s"): ("a", head + good + told[0] + "\n\n" + poor + told[1] + "\n\n" + goal + line("A").rstrip()),
+        ("twice", "open"): ("a", (head + good + brief[0] + "\n\n" + poor + brief[1]).rstrip()),
+        ("none", "s"): (None, None),
+        ("bare", "cold"): ("c", (goal + line("C", genres("C"))).strip()),
+        ("lost", "no such"): ("b", ""),
+        ("gone", "s"): (None, None),
+        ("hidden", "cold"): ("c", (goal + line("C", genres("C"))).strip()),
+    }
+    assert got == want
+
+
+def test_last_rows_take_one_shuffle_and_no_unread_length(spark):
+    rows = [(u, t, t % 5, f"i{t}") for u in (1, 2, None) for t in range(30)]
+    df = spark.createDataFrame(rows, "user_id int, ts int, rating int, item_id string")
+    s = ops.latest_interactions(df, 10, order_cols=("ts", "rating", "item_id"))
+    plan = s.select("user_id", "target", "sampled")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
+    many = ops.latest_interactions(df, 2000, order_cols=("ts", "rating", "item_id"))  # beyond Spark's group limit
+    for got, n in ((s, 9), (many, 29)):
+        assert [(r["user_id"], r["interaction_len"], r["target"]["ts"], [x["ts"] for x in r["sampled"]]) for r in got.orderBy("user_id").collect()] == [
+            (u, 30, 29, list(range(29 - n, 29))) for u in (1, 2)
+        ]
