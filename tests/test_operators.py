@@ -401,3 +401,35 @@ def test_last_rows_take_one_shuffle_and_no_unread_length(spark):
         assert [(r["user_id"], r["interaction_len"], r["target"]["ts"], [x["ts"] for x in r["sampled"]]) for r in got.orderBy("user_id").collect()] == [
             (u, 30, 29, list(range(29 - n, 29))) for u in (1, 2)
         ]
+
+
+def test_kcore_broadcasts_fallen_keys_by_their_number(spark, monkeypatch):
+    """Whatever the optimizer would do, the joins with at most BROADCAST_KEYS fallen keys are broadcast
+    (no shuffle of the pairs), more are not, and the core is the same."""
+    from convrec.session import Generations
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, *range(60)]), rnd.choice([None, *(f"i{n}" for n in range(60))])) for _ in range(420)]
+    rows += [(100 + j // 2, f"p{(j + 1) // 2}") for j in range(16)]
+    left = rows
+    while True:  # plainly: whoever has fewer than 5 rows goes
+        left = [r for r in left if None not in r]
+        many = lambda n: {k for k in {r[n] for r in left} if sum(r[n] == k for r in left) >= 5}
+        kept = [r for r in left if r[0] in many(0) and r[1] in many(1)]
+        if kept == left:
+            break
+        left = kept
+    plans, put = [], Generations.put
+    monkeypatch.setattr(Generations, "put", lambda self, name, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, name, df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, broadcast in ((500_000, True), (8, True), (0, False)):
+            monkeypatch.setattr(ops, "BROADCAST_KEYS", limit)
+            plans.clear()
+            core = ops.k_core(spark.createDataFrame(rows, "user_id int, item_id string"), 5).core
+            assert sorted(tuple(r) for r in core.collect()) == sorted(left) and len(left) > 50
+            assert any("BroadcastHashJoin" in p for p in plans) == broadcast
+            if limit > 8:
+                assert not any("SortMergeJoin" in p for p in plans if "Union" in p)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
