@@ -431,5 +431,7 @@ def test_kcore_broadcasts_fallen_keys_by_their_number(spark, monkeypatch):
             assert any("BroadcastHashJoin" in p for p in plans) == broadcast
             if limit > 8:
                 assert not any("SortMergeJoin" in p for p in plans if "Union" in p)
+                # texts are looked up by one whole number, not by a row of a number and a text
+                assert any("BroadcastHashJoin [xxhash64(item_id" in p and "HashedRelationBroadcastMode(List(xxhash64(" in p for p in plans)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
