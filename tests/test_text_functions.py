@@ -112,3 +112,17 @@ def test_chat_render_parse_roundtrip(spark):
     text = df.select(render_chat(F.col("m")).alias("t")).first()["t"]
     back = spark.createDataFrame([(text,)], "v string").select(parse_chat(F.col("v")).alias("r")).first()["r"]
     assert [(x["role"], x["content"]) for x in back] == msgs
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    """The same as the pattern of Unicode white space for every character at the ends and inside, without a
+    pattern (one that ends in ``$`` is tried at every character)."""
+    from convrec.functions.text import ustrip
+
+    chars = spark.range(1, 0x11000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    t = chars.selectExpr("stack(4, concat(c, '\\n', c, ' a ', c, 'b', c, '\\n', c), c, concat(' ', c), concat(c, 'a', c, '\\r\\n')) as t")
+    assert t.filter(~ustrip("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert t.filter(ustrip("t") == "").count() > 40
+    ends = spark.createDataFrame([(None,), ("",), (" 　\n",)], "t string").select(ustrip("t").alias("s"))
+    assert [r["s"] for r in ends.collect()] == [None, "", ""]
+    assert "regexp" not in ends._jdf.queryExecution().analyzed().toString()
